@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_CHARS, MIN_CHARS, CHARS_AN_EDIT = 4_000_000, 20, 15
@@ -135,15 +135,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out
 
 
+def is_clean(items: list[tuple[int, str]], text_col: str) -> Column:
+    """True where none of the items is found; a column, so that a filter needs no join."""
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items)
+        for texts in parts:
+            yield pd.Series([not matcher.find(t) for t in texts], dtype="bool")
+
+    return clean(text_col)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     for items in item_slices(benchmark, item_col, item_text):
-
-        @F.pandas_udf("boolean")
-        def clean(parts: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
-            matcher = Matcher(items)
-            for texts in parts:
-                yield pd.Series([not matcher.find(t) for t in texts], dtype="bool")
-
-        docs = docs.where(clean(text_col))
+        docs = docs.where(is_clean(items, text_col))
     return docs
