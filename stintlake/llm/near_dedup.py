@@ -14,8 +14,8 @@
    ``MISS`` the pair is dropped, most after the first batch.
 4. What survives is confirmed on the full sets, as integers: 100 * shared >= percent * union.
 
-``BANDS`` x ``ROWS`` find a pair at the threshold 0.85 with probability 1 - 2e-5, at 0.9 with
-1 - 2e-8. Defined results: null, empty or blank text has an empty set, is linked with nothing
+25 bands of 6 values find a pair at 0.85 with probability 1 - 7e-6 and at 0.9 with 1 - 6e-9;
+below 0.85, 30 bands of 5 find a pair at 0.8 with 1 - 7e-6. Defined results: null, empty or blank text has an empty set, is linked with nothing
 and kept; with fewer words than a shingle the whole sequence is one shingle; rows that repeat a
 doc_id count as one document that has all their links; an empty table gives no rows.
 """
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import stars
 
-BANDS, ROWS, BATCH, MISS = 25, 6, 15, 1e-6
+VALUES, BATCH, MISS = 150, 15, 1e-6
 SALTS, ROUNDS, CACHED_WORDS = 16, 3, 200_000
 SMALL, BLOCK = 32, 256
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
+_A = _RNG.integers(0, 1 << 31, VALUES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, VALUES, dtype=np.int64).astype(np.uint32)
 _MIX = _RNG.integers(0, 1 << 62, 16, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,12 +76,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = sig.reshape(BANDS, ROWS).astype(np.uint64) @ _MIX[:ROWS] + np.arange(BANDS, dtype=np.uint64) * _MIX[14]
+def rows_a_band(percent: int) -> int:
+    return 6 if percent >= 85 else 5
+
+
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = sig.reshape(-1, rows).astype(np.uint64)
+    keys = bands @ _MIX[:rows] + np.arange(len(bands), dtype=np.uint64) * _MIX[14]
     return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
 
-def least_matches(percent: int, size: int = BANDS * ROWS, miss: float = MISS) -> np.ndarray:
+def least_matches(percent: int, size: int = VALUES, miss: float = MISS) -> np.ndarray:
     """For n compared values, the fewest matches at which P(similarity >= threshold) >= miss.
 
     With a uniform prior the posterior is Beta(m+1, n-m+1); its upper tail at t equals
@@ -112,7 +117,7 @@ def _kind(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in batches:
@@ -121,7 +126,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 s, d = shingles(text.as_py(), width, cache)
                 size.append(len(s)), digest.append(d)
                 m = signature(s) if len(s) else None
-                sig.append(m.tobytes() if len(s) else b""), keys.append(band_keys(m) if len(s) else [])
+                sig.append(m.tobytes() if len(s) else b""), keys.append(band_keys(m, rows) if len(s) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "sig", "keys"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {_kind(docs, id_col)}, n bigint, digest binary, sig binary, keys array<bigint>")
@@ -224,7 +229,7 @@ def _open_buckets(members: DataFrame, star: DataFrame | None) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    all_rows = stored(sketches(docs, id_col, text_col, width), "sketches")
+    all_rows = stored(sketches(docs, id_col, text_col, width, rows_a_band(percent)), "sketches")
     reps = stored(
         all_rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sig", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "r.*"), "classes"
     )

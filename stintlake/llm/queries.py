@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, pii, quality, toxicity
+from . import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -58,11 +70,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_windows(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.tokenize_and_pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op7_decontamination, op8_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_near_dedup, op5_suffix_dedup, op6_html_text, op7_decontamination, op8_exact_dedup, op9_substring_dedup, op10_packing)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

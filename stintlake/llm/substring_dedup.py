@@ -131,7 +131,8 @@ class FingerprintIndex:
 
 def batches_by_id(docs: DataFrame, parts: int, id_col: str) -> list[DataFrame]:
     """``docs`` cut at evenly spread quantiles of the id, in order; every row is in one part."""
-    cuts = sorted(set(docs.where(F.col(id_col).isNotNull()).approxQuantile(id_col, [k / parts for k in range(1, parts)], 0.01)))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(id_col, shares, 100)).first()[0] or [])) if shares else []
     edges = [None, *cuts, None]
     out = []
     for low, high in zip(edges, edges[1:], strict=False):
