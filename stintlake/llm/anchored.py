@@ -92,21 +92,40 @@ def kind_of(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def first_of_equal(f: np.ndarray, ctx: np.ndarray, owner: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """For each row, how many rows share its (f, ctx), at the earliest of them; 0 at the others."""
+    copies = np.zeros(len(f), np.int64)
+    if len(f):
+        order = np.lexsort((lo, owner, ctx, f))
+        new = np.flatnonzero(np.concatenate([[True], (f[order][1:] != f[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])]))
+        copies[order[new]] = np.diff(np.append(new, len(f)))
+    return copies
+
+
 def anchor_rows(docs: DataFrame, reader: Callable[[], Callable[[str | None], np.ndarray]], length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (f, ctx, id, lo, hi) of all documents. ``reader()`` makes, once a worker, the function
-    from a text to its symbols."""
+    """Rows (f, ctx, id, lo, hi, copies) of all documents. ``reader()`` makes, once a worker, the
+    function from a text to its symbols.
+
+    Equal contexts are combined before any shuffle: of those met together in a task the earliest
+    carries their number, and the others, with 0, take a hash of their own place for ``f``, so a
+    line that fills a third of the corpus does not meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = reader()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 made = [anchor_runs(symbols(t.as_py()), length, gram) for t in piece.column(1)]
+                ids = piece.column(0)
+                rank = np.unique(np.array([x if x is not None else -1 for x in ids.to_pylist()]), return_inverse=True)[1]
                 owner = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
                 f, ctx, lo, hi = (np.concatenate(x) for x in zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(ctx), piece.column(0).take(pa.array(owner)), pa.array(lo), pa.array(hi)], names=["f", "ctx", "id", "lo", "hi"])
+                copies = first_of_equal(f, ctx, rank[owner], lo)
+                spread = mixed((f ^ rank[owner] * 1_000_003 + lo * 8_191).astype(np.uint64)).view(np.int64)
+                f = np.where(copies > 0, f, spread)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(ctx), ids.take(pa.array(owner)), pa.array(lo), pa.array(hi), pa.array(copies)], names=["f", "ctx", "id", "lo", "hi", "copies"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"f bigint, ctx bigint, id {kind_of(docs, id_col)}, lo bigint, hi bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"f bigint, ctx bigint, id {kind_of(docs, id_col)}, lo bigint, hi bigint, copies bigint")
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

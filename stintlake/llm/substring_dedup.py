@@ -1,7 +1,7 @@
 """Substring de-duplication of word windows with a log-structured fingerprint index.
 
 The index is a list of immutable runs, each a table bucketed and sorted by anchor hash, holding
-the earliest place of every (anchor, context) of the batches it covers. A new batch becomes a
+the places of every (anchor, context) of the batches it covers, after ``compact`` the earliest. A new batch becomes a
 run of its own, is merge-joined with the older runs bucket by bucket (no further shuffle), and
 candidates are verified window by window. ``compact`` merges runs into one.
 
@@ -61,34 +61,28 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> tuple[DataFrame, DataFrame]:
         """Take in a batch. Returns (spans, unsure): stretches (id, lo, end) whose windows are all
-        repeats, and the contexts (f, id, lo, hi, new) to be verified by window."""
+        repeats, and the contexts (id, lo, hi, new) to be verified by window."""
         name = self._write(anchor_rows(docs, word_reader, self.window, self.gram, id_col, text_col))
         batch = self.spark.table(name)
-        place = F.struct("id", "lo")
-        first = F.min(place).over(Window.partitionBy("f", "ctx"))
-        rows = batch.withColumn("_first", first)
-        again = rows.where(place != F.col("_first"))
-        fresh = rows.where(place == F.col("_first")).drop("_first")
-        spans, old = [again], []
+        rows = batch.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy("f", "ctx").orderBy("id", "lo")))
+        rows = rows.withColumns({"seen": F.lit(False), "old": F.lit(0)})
         for run in self.runs:
-            past = self.spark.table(run)
-            key = past.select("f", "ctx").distinct()
-            spans.append(fresh.join(key, ["f", "ctx"], "left_semi"))
-            fresh = fresh.join(key, ["f", "ctx"], "left_anti")
-            old.append(past.join(fresh.select("f").distinct(), "f", "left_semi"))
-        spans = [s.select("id", "lo", (F.col("hi") + self.window).alias("end")) for s in spans]
-        # anchors with several contexts, old or new: all earliest places of each context
-        rest = rows.where(place == F.col("_first")).select("f", "id", "lo", "hi", F.lit(True).alias("new"))
-        for past in old:
-            rest = rest.unionByName(past.select("f", "id", "lo", "hi", F.lit(False).alias("new")))
-        several = rest.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("any")).where("n > 1 and any").select("f")
-        unsure = rest.join(several, "f", "left_semi")
+            past = self.spark.table(run).where("copies > 0")
+            rows = rows.join(past.select("f", "ctx", F.lit(True).alias("_s")).distinct(), ["f", "ctx"], "left").withColumn("seen", F.col("seen") | F.coalesce("_s", F.lit(False))).drop("_s")
+            rows = rows.join(past.groupBy("f").agg(F.lit(1).alias("_o")), "f", "left").withColumn("old", F.col("old") + F.coalesce("_o", F.lit(0))).drop("_o")
+        # how many contexts of the anchor are new, and which rows that leaves to look at
+        rows = rows.withColumn("fresh", (F.col("_n") == 1) & ~F.col("seen"))
+        rows = rows.withColumn("_k", F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("f")) + F.col("old"))
+        rows = stored(rows.where(~F.col("fresh") | (F.col("_k") > 1)).select("f", "id", "lo", "hi", "fresh"), "repeats")
+        new = rows.where("fresh").select("f", "id", "lo", "hi", F.lit(True).alias("new"))
+        unsure = new
+        for run in self.runs:
+            past = self.spark.table(run).where("copies > 0").groupBy("f", "ctx").agg(F.min(F.struct("id", "lo", "hi")).alias("p")).select("f", "p.*")
+            unsure = unsure.unionByName(past.join(new.select("f").distinct(), "f", "left_semi").withColumn("new", F.lit(False)))
         if keep:
             self.runs.append(name)
-        out = spans[0]
-        for s in spans[1:]:
-            out = out.unionByName(s)
-        return out, unsure
+        again = rows.where("not fresh").select("id", "lo", "hi").unionByName(batch.where("copies = 0").select("id", "lo", "hi"))
+        return again.select("id", "lo", (F.col("hi") + self.window).alias("end")), unsure.drop("f")
 
     def compact(self) -> None:
         """Merge all runs into one; the earliest place of a context stays."""
@@ -96,7 +90,7 @@ class FingerprintIndex:
             merged = self.spark.table(self.runs[0])
             for run in self.runs[1:]:
                 merged = merged.unionByName(self.spark.table(run))
-            best = merged.groupBy("f", "ctx").agg(F.min(F.struct("id", "lo", "hi")).alias("p")).select("f", "ctx", "p.*")
+            best = merged.where("copies > 0").groupBy("f", "ctx").agg(F.min(F.struct("id", "lo", "hi", "copies")).alias("p")).select("f", "ctx", "p.*")
             old, self.runs = self.runs, [self._write(best)]
             for run in old:
                 self.spark.sql(f"DROP TABLE IF EXISTS {run}")
