@@ -10,7 +10,8 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else is
    sorting and its permuted common prefixes tell which strings start twice. Shards hold about
    ``SHARD`` bytes.
 4. An anchor with more than ``MOST`` distinct contexts would make a shard too large. Its strings
-   are counted by digest instead, which combines before the shuffle and is exact for any number.
+   are counted by digest instead, which combines before the shuffle and is exact for any number;
+   how far contexts agree beside the anchor bounds the strings that need a digest.
 
 Defined results: null or empty text has no bytes; matches never cross documents; rows that
 repeat a doc_id share the stretches of their id, cut to each text's length; an empty table
@@ -29,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import anchor_rows, covered, kind_of, mixed, spans_by_document
+from .anchored import Roller, anchor_rows, covered, kind_of, mixed, spans_by_document
 from .common import stored
 from .suffixes import repeated_starts
 
 LENGTH, GRAM = 400, 150
-SHARD, MOST = 1_000_000, 1_500
+SHARD, MOST = 400_000, 1_500
+DEPTHS = (4, 16, 48, 112)
 _SYMBOL = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -87,29 +89,74 @@ def _by_shard(contexts: DataFrame, shards: int, length: int, id_kind: str) -> Da
     return sharded.groupBy("shard").applyInArrow(scan, f"id {id_kind}, lo bigint, end bigint")
 
 
-def _by_digest(contexts: DataFrame, length: int, id_kind: str) -> DataFrame:
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reach(contexts: DataFrame, gram: int, id_kind: str) -> DataFrame:
+    """Contexts with ``left`` and ``right``: how far from the anchor two of one anchor can agree at
+    most, from counts of the stretches of a few sizes on either side of it."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, start, digest = [], [], []
-            for row, (lo, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for k in range(len(data) - length + 1):
-                    own.append(row), start.append(lo + k), digest.append(xxhash.xxh3_128_digest(data[k : k + length]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], names=["id", "lo", "h"])
+            own, side, depth, digest = [], [], [], []
+            for row, (f, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                p = _anchor(data, f, gram)
+                for d in DEPTHS:
+                    for k, part in ((0, data[p - d : p] if p >= d else b""), (1, data[p + gram : p + gram + d])):
+                        if len(part) == d:
+                            own.append(row), side.append(k), depth.append(d), digest.append(xxhash.xxh3_128_digest(part))
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(side, pa.int64()), pa.array(depth, pa.int64()), pa.array(digest, pa.binary())], names=["f", "id", "lo", "side", "d", "h"])
+
+    rows = contexts.select("f", "id", "lo", "data").mapInArrow(sides, f"f bigint, id {id_kind}, lo bigint, side bigint, d bigint, h binary")
+    shared = rows.groupBy("f", "side", "d", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    most = rows.join(shared, ["f", "side", "d", "h"], "left_semi").groupBy("id", "lo").agg(*[F.max(F.when(F.col("side") == k, F.col("d"))).alias(n) for k, n in ((0, "left"), (1, "right"))])
+    return contexts.join(most, ["id", "lo"], "left").na.fill(0, ["left", "right"])
+
+
+def _anchor(data: bytes, f: int, gram: int) -> int:
+    return int(np.argmax(Roller(_SYMBOL[np.frombuffer(data, np.uint8)]).every(gram).view(np.int64) == f))
 
-    rows = contexts.select("id", "lo", "data").mapInArrow(digests, f"id {id_kind}, lo bigint, h binary")
-    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    return rows.join(twice, "h", "left_semi").select("id", "lo", (F.col("lo") + length).alias("end"))
+
+def _by_digest(contexts: DataFrame, length: int, gram: int, id_kind: str) -> DataFrame:
+    """Repeats among contexts of anchors that have many: strings are counted by digest. Only
+    strings that lie within reach of another context are, and equal ones met in a task at once."""
+    near = stored(_reach(contexts, gram, id_kind), "reach")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where: dict[bytes, list[tuple[int, int]]] = {}
+            for row, (f, lo, data, left, right) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True)):
+                p = _anchor(data, f, gram)
+                low, high = (next((d for d in DEPTHS if d > x), len(data)) for x in (left, right))
+                for k in range(max(0, p - low + 1), min(len(data) - length, p + gram + high - 1 - length) + 1):
+                    where.setdefault(xxhash.xxh3_128_digest(data[k : k + length]), []).append((row, lo + k))
+            own, start, end, digest, count = [], [], [], [], []
+            sure: dict[int, list[int]] = {}
+            for h, places in where.items():
+                row, at = places[0]
+                own.append(row), start.append(at), end.append(at + length), digest.append(h), count.append(len(places))
+                if len(places) > 1:
+                    for row, at in places:
+                        sure.setdefault(row, []).append(at)
+            for row, starts in sure.items():
+                for first, last in _runs(np.unique(starts)):
+                    own.append(row), start.append(first), end.append(last + length), digest.append(None), count.append(0)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(own, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, end)), pa.array(digest, pa.binary()), pa.array(count, pa.int64())], names=["id", "lo", "end", "h", "c"])
+
+    rows = stored(near.select("f", "id", "lo", "data", "left", "right").mapInArrow(digests, f"id {id_kind}, lo bigint, end bigint, h binary, c bigint"), "digests")
+    twice = rows.where("h is not null").groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
+    return rows.where("h is null").select("id", "lo", "end").unionByName(rows.join(twice, "h", "left_semi").select("id", "lo", "end"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """Stretches (id, lo, end) of bytes covered by strings that start twice; they may overlap."""
     id_kind = kind_of(docs, id_col)
-    rows = stored(anchor_rows(docs, byte_reader, length, gram, id_col, text_col), "anchors")
-    twice = rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
+    anchors = stored(anchor_rows(docs, byte_reader, length, gram, id_col, text_col), "anchors")
+    copied = anchors.where("copies = 0").select("id", "lo", (F.col("hi") + length).alias("end"))
+    rows = anchors.where("copies > 0")
+    twice = rows.groupBy("f").agg(F.sum("copies").alias("c")).where("c > 1").select("f")
     rows = stored(rows.join(twice, "f", "left_semi"), "repeats")
-    contexts = rows.groupBy("f", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "lo", "hi")).alias("p"))
+    contexts = rows.groupBy("f", "ctx").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("p"))
     several = contexts.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    sure = rows.join(contexts.where("n > 1").select("f", "ctx"), ["f", "ctx"], "left_semi").select("id", "lo", (F.col("hi") + length).alias("end"))
+    sure = rows.join(contexts.where("n > 1").select("f", "ctx"), ["f", "ctx"], "left_semi").select("id", "lo", (F.col("hi") + length).alias("end")).unionByName(copied)
     unsure = stored(contexts.join(several, "f").select("f", "n", "k", "p.*"), "unsure")
     size = unsure.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0]
     if not size:
@@ -117,7 +164,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(_contexts(unsure, docs, length, id_col, text_col), "contexts")
     spans = sure.unionByName(_by_shard(found.where(F.col("k") <= most), max(1, math.ceil(size / SHARD)), length, id_kind))
     if not unsure.where(F.col("k") > most).isEmpty():
-        spans = spans.unionByName(_by_digest(found.where(F.col("k") > most), length, id_kind))
+        spans = spans.unionByName(_by_digest(found.where(F.col("k") > most), length, gram, id_kind))
     return stored(spans, "spans")
 
 
