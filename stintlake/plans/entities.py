@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stintlake.functions import text as T
+from stintlake.functions.results import status_class
 from stintlake.operators.core import follow_redirects, page, union_all
 from stintlake.sources.tables import article_links
 
@@ -234,3 +235,25 @@ def reconcile_entities(supplier, customer):
     hit = supplier.select("s_suppkey", F.col("s_nationkey").alias("nat"), F.floor(F.col("s_acctbal") / 100).alias("b")).join(c, ["nat", "b"], "left")
     method = F.when(F.col("n").isNull(), "create").when(F.col("n") > 1, "ambiguous").otherwise("exact")
     return hit.select("s_suppkey", method.alias("method"), F.when(F.col("n") == 1, F.col("id")).alias("entity"))
+
+
+@query("part", sql="""
+WITH p AS (SELECT p_partkey AS id, p_brand AS provider, string_split(lower(p_name), ' ') AS w, p_size, p_type FROM part)
+SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.w = b.w THEN 'exact_title' ELSE 'shared' END AS method FROM p a JOIN p b ON a.provider <> b.provider AND a.id < b.id AND a.p_size = b.p_size AND a.p_type = b.p_type
+WHERE a.w = b.w OR len(list_intersect(a.w, b.w)) >= 1""")
+def blocked_candidates(part):
+    """JN17, SO03: candidate pairs of different providers that meet in a block."""
+    p = part.select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"), "p_size", "p_type")
+    o = p.select(F.col("p_partkey").alias("right_id"), F.col("p_brand").alias("brand"), F.col("w").alias("v"), "p_size", "p_type")
+    both = p.join(o, ["p_size", "p_type"]).where("p_brand <> brand and p_partkey < right_id").where(F.arrays_overlap("w", "v"))
+    return both.select(F.col("p_partkey").alias("left_id"), "right_id", F.when(F.col("w") == F.col("v"), "exact_title").otherwise("shared").alias("method"))
+
+
+@query("orders", sql="""
+WITH s AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Finished' WHEN '2-HIGH' THEN '+1  Lap' WHEN '3-MEDIUM' THEN 'Did not start' WHEN '5-LOW' THEN 'disqualified' ELSE 'Engine' END AS status FROM orders)
+SELECT o_orderkey, CASE status WHEN 'Finished' THEN 'classified' WHEN '+1  Lap' THEN 'classified' WHEN 'Did not start' THEN 'dns' WHEN 'disqualified' THEN 'dsq' ELSE 'dnf' END AS class FROM s""")
+def status_classification(orders):
+    """AG03, DM17: the class of a free-text status."""
+    words = {"1-URGENT": "Finished", "2-HIGH": "+1  Lap", "3-MEDIUM": "Did not start", "5-LOW": "disqualified"}
+    status = T.cascade([(F.col("o_orderpriority") == k, v) for k, v in words.items()], "Engine")
+    return orders.select("o_orderkey", status_class(status).alias("class"))
