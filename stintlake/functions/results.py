@@ -34,3 +34,19 @@ def segment_tokens(codes: Column) -> Column:
     """Mini-sector codes as (index from 1, code, token); a null array gives an empty one."""
     token = lambda v: F.when(v.isNull(), "segment-unavailable").otherwise(F.coalesce(_lookup(SEGMENTS, v), F.lit("segment-unknown")))
     return F.coalesce(F.transform(codes.cast("array<int>"), lambda v, k: F.struct((k + 1).alias("index"), v.alias("code"), token(v).alias("token"))), F.array().cast("array<struct<index:int,code:int,token:string>>"))
+
+
+def flag_token(flag: Column, category: Column, label: Column) -> Column:
+    """The token of a race-control message: its flag decides first, then what the text speaks of."""
+    f = F.upper(F.coalesce(flag, F.lit("")))
+    said = F.upper(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(label, F.lit(""))))
+    out = F.when(f.rlike("CHEQUERED|CHECKERED"), "flag-chequered").when(f.contains("BLACK AND WHITE"), "flag-black-white").when(f.startswith("BLACK"), "flag-black").when(f == "RED", "flag-red")
+    for colour in ("yellow", "green", "blue"):
+        out = out.when(f.contains(colour.upper()), f"flag-{colour}")
+    return out.when(said.rlike("VIRTUAL SAFETY CAR|VSC"), "virtual-safety-car").when(said.contains("SAFETY CAR"), "safety-car").when(said.contains("DRS"), "drs")
+
+
+def outcome(dsq: Column, dns: Column, dnf: Column) -> Column:
+    """Of a session result's marks the gravest; a missing mark doesn't count."""
+    mark = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(mark(dsq), "DSQ").when(mark(dns), "DNS").when(mark(dnf), "DNF").otherwise("CLASSIFIED")
