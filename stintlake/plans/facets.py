@@ -44,7 +44,7 @@ def _entity(key: str, prefix: str, name: str | None = None) -> Lookup:
 
 LOOKUPS = {
     "session": Lookup("race_sessions", "session_id", "id", (("_race_id", "race_id"), ("session_code", "session_code"), ("session_name", "session_name")), "inner"),
-    "race_of_session": Lookup("races", "_race_id", "id", (("race_key", "slug"), ("season", "season"), ("round", "round")), "inner"),
+    "race_of_session": Lookup("races", "_race_id", "id", (("race_key", "slug"), ("_race_name", "official_name"), ("season", "season"), ("round", "round")), "inner"),
     "race": Lookup("races", "race_id", "id", (("race_key", "slug"), ("race_name", "official_name"), ("season", "season"), ("round", "round")), "inner"),
     "driver": _entity("driver_entity_id", "driver"),
     "team": _entity("team_entity_id", "team"),
@@ -166,14 +166,19 @@ def _widen(df: DataFrame, look: Lookup, tables: Mapping[str, DataFrame]) -> Data
     return df.select([c for c in df.columns if c not in side.columns or c == look.local]).join(side, F.col(look.local) == F.col("__key"), look.how).drop("__key")
 
 
+def select_rows(tables: Mapping[str, DataFrame], spec: Facet, key) -> DataFrame:
+    """The rows of a specification for a target, with the columns that only serve the selection."""
+    rows = reduce(lambda df, hop: _widen(df, LOOKUPS[hop], tables), spec.lookups, tables[spec.table])
+    return rows.where(reduce(lambda a, b: a | b, [F.col(c) == F.lit(key) for c in spec.scope]))
+
+
 def facet(tables: Mapping[str, DataFrame], target: str, name: str, key) -> DataFrame:
     """All rows of a facet. Tables without the facet's columns fail; an unknown facet is a KeyError.
 
     Without look-ups between the scope and the table the filter reaches the scan; with inner
     look-ups Catalyst pushes it through to the table that holds the scope."""
     spec = FACETS[target, name]
-    rows = reduce(lambda df, hop: _widen(df, LOOKUPS[hop], tables), spec.lookups, tables[spec.table])
-    rows = rows.where(reduce(lambda a, b: a | b, [F.col(c) == F.lit(key) for c in spec.scope]))
+    rows = select_rows(tables, spec, key)
     rows = rows.drop(*[c for c in rows.columns if c.startswith("_")])
     return rows.distinct() if spec.distinct else rows
 

@@ -11,13 +11,13 @@ from .registry import QUERIES, query
 
 
 @query("orders", sql="""
-WITH u AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS v FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0)
+WITH u AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS v FROM orders UNION ALL SELECT o_custkey, o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderstatus = 'F')
 SELECT o_custkey, o_orderkey, o_totalprice, v FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY v DESC, o_orderkey DESC) AS n FROM u) WHERE n = 1""")
 def keyed_merge_orders(orders):
-    """SNK01-03, TS03: upsert; the new version of a key wins (two halves stand for old and new)."""
+    """SNK01-03, TS03: upsert; the new version of a key wins. Finished orders arrive again, corrected."""
     cols = ["o_custkey", "o_orderkey", "o_totalprice"]
-    old = orders.where("o_orderkey % 2 = 0").select(*cols, F.lit(0).alias("v"))
-    new = orders.where("o_orderkey % 3 = 0").select(*cols[:2], (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).alias("v"))
+    old = orders.select(*cols, F.lit(0).alias("v"))
+    new = orders.where("o_orderstatus = 'F'").select(*cols[:2], (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).alias("v"))
     return keyed_merge(old, new, ["o_custkey"], [F.col("v").desc(), F.col("o_orderkey").desc()])
 
 
@@ -32,11 +32,11 @@ def snapshot_dedup(orders):
 
 
 @query("lineitem", sql="""
-WITH new AS (SELECT l_orderkey, l_quantity + 100 AS q FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0)
+WITH new AS (SELECT l_orderkey, l_quantity + 100 AS q FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R')
 SELECT l_orderkey, l_quantity AS q FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def replace_partition(lineitem):
     """SNK04: a partition that arrives replaces all of its old rows."""
-    new = lineitem.where("l_linenumber = 1 and l_orderkey % 5 = 0").select("l_orderkey", (F.col("l_quantity") + 100).alias("q"))
+    new = lineitem.where("l_linenumber = 1 and l_returnflag = 'R'").select("l_orderkey", (F.col("l_quantity") + 100).alias("q"))
     return replace_partitions(lineitem.select("l_orderkey", F.col("l_quantity").alias("q")), new, ["l_orderkey"])
 
 
