@@ -102,13 +102,14 @@ def first_of_equal(f: np.ndarray, ctx: np.ndarray, owner: np.ndarray, lo: np.nda
     return copies
 
 
-def anchor_rows(docs: DataFrame, reader: Callable[[], Callable[[str | None], np.ndarray]], length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
+def anchor_rows(docs: DataFrame, reader: Callable[[], Callable[[str | None], np.ndarray]], length: int, gram: int, id_col: str, text_col: str, once: bool = False) -> DataFrame:
     """Rows (f, ctx, id, lo, hi, copies) of all documents. ``reader()`` makes, once a worker, the
     function from a text to its symbols.
 
     Equal contexts are combined before any shuffle: of those met together in a task the earliest
     carries their number, and the others, with 0, take a hash of their own place for ``f``, so a
-    line that fills a third of the corpus does not meet in one task."""
+    line that fills a third of the corpus does not meet in one task. With ``once``, a place (id, lo)
+    that is met again in a task, in a row that repeats the id, is no copy and is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = reader()
@@ -120,6 +121,10 @@ def anchor_rows(docs: DataFrame, reader: Callable[[], Callable[[str | None], np.
                 rank = np.unique(np.array([x if x is not None else -1 for x in ids.to_pylist()]), return_inverse=True)[1]
                 owner = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
                 f, ctx, lo, hi = (np.concatenate(x) for x in zip(*made, strict=True))
+                if once and len(np.unique(rank)) < len(made):
+                    null = np.asarray(ids.is_null())[owner]
+                    place = np.sort(np.unique(np.stack([f, ctx, rank[owner], lo, null]), axis=1, return_index=True)[1])
+                    f, ctx, lo, hi, owner = f[place], ctx[place], lo[place], hi[place], owner[place]
                 copies = first_of_equal(f, ctx, rank[owner], lo)
                 spread = mixed((f ^ rank[owner] * 1_000_003 + lo * 8_191).astype(np.uint64)).view(np.int64)
                 f = np.where(copies > 0, f, spread)

@@ -62,9 +62,12 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> tuple[DataFrame, DataFrame]:
         """Take in a batch. Returns (spans, unsure): stretches (id, lo, end) whose windows are all
         repeats, and the contexts (id, lo, hi, new) to be verified by window."""
-        name = self._write(anchor_rows(docs, word_reader, self.window, self.gram, id_col, text_col))
+        name = self._write(anchor_rows(docs, word_reader, self.window, self.gram, id_col, text_col, once=True))
         batch = self.spark.table(name)
-        rows = batch.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy("f", "ctx").orderBy("id", "lo")))
+        by_place = Window.partitionBy("f", "ctx").orderBy("id", "lo")
+        rows = batch.where("copies > 0").withColumns({"_n": F.row_number().over(by_place), "_first": F.first(F.struct("id", "lo")).over(by_place)})
+        # the earliest place met again, in a row that repeats its id, is no repeat
+        rows = rows.where((F.col("_n") == 1) | (F.struct("id", "lo") != F.col("_first"))).drop("_first")
         rows = rows.withColumns({"seen": F.lit(False), "old": F.lit(0)})
         for run in self.runs:
             past = self.spark.table(run).where("copies > 0")

@@ -142,6 +142,19 @@ def test_substring_dedup_equals_brute_force(odd, empty, parts):
     assert substring_dedup.dedup_windows(empty).count() == 0
 
 
+@pytest.mark.parametrize(("parts", "tasks"), [(1, 1), (1, 6), (3, 2)])
+def test_substring_dedup_keeps_rows_that_repeat_an_id(spark, parts, tasks):
+    rng = random.Random(4)
+    text = {k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for k in range(1, 9)}
+    shared = " ".join(f"s{k}" for k in range(30))
+    text[2], text[6] = f"{text[2]} {shared}", f"{shared} {text[6]} {shared}"
+    rows = [(k, t) for k, t in text.items() for _ in range(1 + k % 2 + 2 * (k in (2, 6)))] + [(9, text[3]), (9, text[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.dedup_windows(docs, parts=parts).collect())
+    unique = text[6].removeprefix(f"{shared} ").removesuffix(f" {shared}")
+    assert got == sorted((k, 60, unique) if k == 6 else (k, 60, "") if k == 9 else (k, 0, t) for k, t in rows)
+
+
 def test_html_layout(spark, empty):
     html = (
         "<title>x</title><style>.h{display:none}</style><h1>Head &amp; er</h1><p>One <b>two</b><p>three<div class=h>no</div>"
