@@ -17,7 +17,8 @@
 25 bands of 6 values find a pair at 0.85 with probability 1 - 7e-6 and at 0.9 with 1 - 6e-9;
 below 0.85, 30 bands of 5 find a pair at 0.8 with 1 - 7e-6. Defined results: null, empty or blank text has an empty set, is linked with nothing
 and kept; with fewer words than a shingle the whole sequence is one shingle; rows that repeat a
-doc_id count as one document that has all their links; an empty table gives no rows.
+doc_id count as one document that has all their links; a null doc_id loses against any other id,
+and where a group has no other, component_id is null and its rows are all kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,9 +52,13 @@ class Words(dict):
         return value
 
 
+def sequence(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+
+
 def shingles(text: str | None, width: int, cache: Words) -> tuple[np.ndarray, bytes]:
     """The sorted distinct shingle hashes, and a digest of the word sequence."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    words = sequence(text)
     if not words:
         return np.zeros(0, np.uint64), b""
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -229,9 +234,14 @@ def _open_buckets(members: DataFrame, star: DataFrame | None) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
+    return _groups(docs, id_col, text_col, width, percent, rounds).drop("digest")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of ``near_groups`` with the digests of their word sequences."""
     all_rows = stored(sketches(docs, id_col, text_col, width, rows_a_band(percent)), "sketches")
     reps = stored(
-        all_rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sig", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "r.*"), "classes"
+        all_rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "n", "sig", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "r.id", "r.n", "r.sig", "r.keys"), "classes"
     )
     keyed = reps.select(F.col("digest").alias("node"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -242,7 +252,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the texts that can be compared: those of classes with a band in common with another
     needed = reps.join(degree, reps["digest"] == degree["node"], "left_semi").select(F.col("id").alias(id_col), "digest")
     picked = docs.select(id_col, text_col).join(needed.select(id_col).distinct(), id_col, "left_semi")
-    sets = stored(full_sets(picked, id_col, text_col, width).join(needed.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    # a class without any id is found by its digest alone
+    nameless = full_sets(docs.where(F.col(id_col).isNull()), id_col, text_col, width).dropDuplicates(["digest"])
+    sets = stored(full_sets(picked, id_col, text_col, width).unionByName(nameless).join(needed.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
     star, edges, tested = None, None, None
     for turn in range(rounds + 1):
@@ -281,13 +293,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         classes = root.join(least, "root", "left").select("digest", "id", "copies", F.coalesce("comp", "id").alias("comp"))
     else:
         classes = classes.withColumn("comp", F.col("id"))
-    moved = classes.where("copies > 1 or comp != id").select("digest", "comp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    moved = classes.where("copies > 1 or not (comp <=> id)").select("digest", "comp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
     rows = all_rows.select("id", "n", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     own = F.coalesce("comp", "id")
-    return rows.join(moved, ["digest", "salt"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    return rows.join(moved, ["digest", "salt"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), "digest")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    losers = near_groups(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(id_col)
-    return docs.join(losers, id_col, "left_anti")
+    losers = stored(_groups(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col(id_col), "digest"), "losers")
+
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(b" ".join(sequence(t.as_py()))) for t in texts], pa.binary())
+
+    # rows without an id are told apart by their words
+    lost = losers.where(F.col(id_col).isNull()).select(F.col("digest").alias("_digest")).distinct()
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_digest", digest(F.col(text_col))).join(lost, "_digest", "left_anti").drop("_digest")
+    return docs.where(F.col(id_col).isNotNull()).join(losers.select(id_col), id_col, "left_anti").unionByName(nameless)

@@ -76,6 +76,18 @@ def test_near_groups_equal_brute_force(odd, empty, monkeypatch, width, percent):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_groups_with_null_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    one, near, other = " ".join(words), " ".join([*words[:99], "end"]), " ".join(f"v{k}" for k in range(50))
+    rows = [(4, one), (7, one), (None, one), (9, near), (None, near + " more"), (None, other), (12, other + " x"), (None, "lone text here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect()), key=str)
+    want = [(4, 4, True), (7, 4, False), (None, 4, False), (9, 4, False), (None, 4, False), (None, 12, False), (12, 12, True), (None, None, True), (None, None, True)]
+    assert got == sorted(want, key=str)
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(4, one), (12, other + " x"), (None, "lone text here"), (None, None)], key=str)
+
+
 def test_sequential_test_keeps_similar_pairs():
     import numpy as np
 
