@@ -17,16 +17,19 @@ loses against any other id; an empty table gives no rows; extra columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE
 
 
+def content_of(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    content = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    rows = docs.select(F.col(id_col).alias("_id"), content.alias("_content")).select(
+    rows = docs.select(F.col(id_col).alias("_id"), content_of(text_col).alias("_content")).select(
         "_id",
         "_content",
         F.sha2(F.col("_content"), 256).alias("_sha"),
@@ -54,6 +57,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Losers are few against the
-    corpus, so they are the side that is joined."""
-    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(id_col)
-    return docs.join(losers, id_col, "left_anti")
+    corpus, so they are the side that is joined: by id, null or not, and digest, as another
+    text of a loser's id may be clean."""
+    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_lost_id"), F.col("text_sha256").alias("_lost_sha256")).distinct()
+    rows = docs.withColumn("_text_sha256", F.sha2(content_of(text_col), 256))
+    return rows.join(losers, F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_text_sha256") == F.col("_lost_sha256")), "left_anti").drop("_text_sha256")

@@ -86,6 +86,12 @@ def test_exact_dedup(odd, empty):
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(odd.where("doc_id is not null")).collect()) == [1, 3, 5, 5]
 
 
+def test_exact_losers_are_rows_not_ids(spark, odd):
+    assert sorted((r.doc_id for r in exact_dedup.drop_exact_duplicates(odd).collect()), key=str) == [1, 3, 5, 5]
+    docs = spark.createDataFrame([(3, "a"), (5, "a"), (5, "b"), (None, "a"), (None, "c"), (None, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(docs).collect()), key=str) == sorted([(3, "a"), (5, "b"), (None, "c"), (None, None)], key=str)
+
+
 def test_packing_round_trip(spark, odd, empty, tmp_path):
     path = queries.tokenizer_path()
     exact, words = Tokenizer.from_file(path), packing.WordTokens(path)
