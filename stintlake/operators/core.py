@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +81,21 @@ def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return first
 
 
-def follow_redirects(links: DataFrame, source: str, target: str, passes: int = 32) -> DataFrame:
-    """The end of each redirect chain by pointer jumping: the distance covered doubles a pass.
-    Cycles end after ``passes``."""
-    from functools import reduce
-
-    def jump(now: DataFrame, _: int) -> DataFrame:
-        nxt = now.select(F.col(source).alias(target), F.col(target).alias("_n"))
-        return now.join(nxt, target, "left").select(source, F.coalesce("_n", target).alias(target))
-
-    return reduce(jump, range(max(1, passes.bit_length() - 1)), links)
+def follow_redirects(links: DataFrame, source: str, target: str) -> DataFrame:
+    """The end of each redirect chain by pointer jumping: the distance covered doubles a pass, until
+    no row changes, so a chain may be of any length. Each pass is checkpointed, as its plan holds
+    the last one twice. A chain that runs into a cycle, which passes over as many links as there
+    are make certain, ends at the smallest member of the cycle. A source has one target."""
+    spark = links.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stintlake-"))
+    now = links.select(source, target, F.least(source, target).alias("_least")).checkpoint()
+    for _ in range(now.count().bit_length()):
+        nxt = now.where(F.col(target).isNotNull()).select(F.col(source).alias(target), F.col(target).alias("_n"), F.col("_least").alias("_l"))
+        moved = now.join(nxt, target, "left").select(source, F.coalesce("_n", target).alias(target), F.least("_least", "_l").alias("_least"), (F.col("_n") != F.col(target)).alias("_moved")).checkpoint()
+        now = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            break
+    # what still points at a source has gone round a cycle, and that source is on it
+    cycle = now.where(F.col(target).isNotNull()).select(F.col(source).alias(target), F.col("_least").alias("_l"))
+    return now.join(cycle, target, "left").select(source, F.coalesce("_l", target).alias(target))

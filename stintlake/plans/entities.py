@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stintlake.functions import text as T
 from stintlake.functions.results import status_class
-from stintlake.operators.core import follow_redirects, page, union_all
+from stintlake.operators.core import follow_redirects, page, union_all, with_scalar
 from stintlake.sources.tables import article_links
 
 from .registry import query
@@ -154,12 +154,19 @@ def token_jaccard_pairs(part):
 WITH a AS (SELECT n_nationkey, lower(n_name) AS alias FROM nation), t AS (SELECT c_custkey, lower('deal with ' || n_name || ' team') AS txt FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT c_custkey, n_nationkey FROM t JOIN a ON contains(' ' || txt || ' ', ' ' || alias || ' ')""")
 def alias_match(nation, customer):
-    """ST05, ST06, DM35: whole-token alias mentions. Texts are exploded into their n-grams up to
+    """ST05, ST06, DM35: whole-token alias mentions."""
+    texts = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select("c_custkey", F.concat(F.lit("deal with "), "n_name", F.lit(" team")).alias("text"))
+    return alias_mentions(texts, "text", nation, "n_name").select("c_custkey", "n_nationkey")
+
+
+def alias_mentions(texts, text, entities, alias):
+    """The pairs of a text and an entity whose alias it holds. Texts are exploded into their n-grams up to
     the longest alias, so the match is an equi-join, not a test of every alias on every text."""
-    aliases = nation.select("n_nationkey", T.normal(F.col("n_name")).alias("gram"))
-    texts = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select("c_custkey", F.split(T.normal(F.concat(F.lit("deal with "), "n_name", F.lit(" team"))), " ").alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))))
-    return texts.select("c_custkey", F.explode(F.array_distinct(grams)).alias("gram")).join(aliases, "gram").select("c_custkey", "n_nationkey")
+    aliases = entities.withColumn("gram", T.normal(F.col(alias)))
+    longest = aliases.agg(F.coalesce(F.max(F.size(F.split("gram", " "))), F.lit(1)).alias("longest"))
+    rows = with_scalar(texts.withColumn("w", F.split(T.normal(F.col(text)), " ")), longest)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.greatest("longest", F.lit(1)), F.size("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))))
+    return rows.select(*texts.columns, F.explode(F.array_distinct(grams)).alias("gram")).join(aliases, "gram").drop("gram")
 
 
 @query("part", sql="""

@@ -11,6 +11,7 @@ from stintlake import plans
 from stintlake.functions import text as T
 from stintlake.operators import core
 from stintlake.operators.downsample import greedy_downsample
+from stintlake.plans.entities import alias_mentions
 from stintlake.sources import tables as S
 
 FOLDER = "/root/testdata/sf0.001"
@@ -110,3 +111,16 @@ def test_feed_and_links(spark):
     assert (one.external_id, one.title, one.categories) == ("g1", "A & B", ["c"]) and len(two.external_id) == 64
     html = '<a href="/news/x?q=1">x</a><a href="https://e.x/news/x/">y</a><a href="https://other/news/x">z</a>'
     assert [r.url for r in S.article_links(spark.createDataFrame([(html,)], "h string"), "h", "https://e.x", "/news/").collect()] == ["https://e.x/news/x"]
+
+
+def test_redirects_of_any_length_and_into_cycles(spark):
+    rows = [(k, k + 1) for k in range(100)] + [(203, 201), (201, 202), (202, 200), (200, 201), (300, 300), (310, None)]
+    got = {r.a: r.b for r in core.follow_redirects(spark.createDataFrame(rows, "a int, b int"), "a", "b").collect()}
+    assert got == {k: 100 for k in range(100)} | {k: 200 for k in range(200, 204)} | {300: 300, 310: None}
+
+
+def test_alias_of_five_words(spark):
+    texts = spark.createDataFrame([(1, "News of The Royal Racing Club Nord today"), (2, "Royal Racing"), (3, None)], "id int, text string")
+    entities = spark.createDataFrame([(7, "The Royal Racing Club Nord"), (8, "racing"), (9, None)], "entity int, alias string")
+    got = alias_mentions(texts, "text", entities, "alias").collect()
+    assert sorted((r.id, r.entity) for r in got) == [(1, 7), (1, 8), (2, 8)]
