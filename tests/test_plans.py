@@ -124,3 +124,20 @@ def test_alias_of_five_words(spark):
     entities = spark.createDataFrame([(7, "The Royal Racing Club Nord"), (8, "racing"), (9, None)], "entity int, alias string")
     got = alias_mentions(texts, "text", entities, "alias").collect()
     assert sorted((r.id, r.entity) for r in got) == [(1, 7), (1, 8), (2, 8)]
+
+
+def test_greedy_downsampling_streams_over_batches(spark):
+    base, gap = dt.datetime(2024, 1, 1), 7
+    rows = [(None if k % 5 == 0 else k % 2, base + dt.timedelta(seconds=k * k % 997), k) for k in range(700)] + [(1, None, 900), (1, None, 901)]
+    want, last = [], {}
+    for d, t, k in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or base, r[2])):
+        if last.get(d) is None or (t - last[d]).total_seconds() >= gap:
+            want.append(k)
+            last[d] = t
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = greedy_downsample(spark.createDataFrame(rows, "driver int, ts timestamp_ntz, k long"), ["driver"], "ts", "k", gap)
+        assert sorted(r.k for r in out.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
