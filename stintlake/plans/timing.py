@@ -213,8 +213,20 @@ WITH l AS (SELECT l_orderkey, count(*) AS items, sum(l_quantity) AS qty FROM lin
 SELECT o_orderkey, o_orderdate, o_orderstatus, items, qty FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE o_custkey = 7""")
 def season_results(orders, lineitem):
     """DM21, JN02: one key's rows with pre-aggregated facts."""
+    return results_of(orders.where("o_custkey = 7"), lineitem).drop("o_custkey")
+
+
+@query("orders", "lineitem", sql="""
+WITH l AS (SELECT l_orderkey, count(*) AS items, sum(l_quantity) AS qty FROM lineitem GROUP BY 1)
+SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, items, qty FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""")
+def season_results_all(orders, lineitem):
+    """DM21, JN02: the same for every key of the table."""
+    return results_of(orders, lineitem)
+
+
+def results_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     l = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("items"), F.sum("l_quantity").alias("qty"))  # noqa: E741
-    return orders.where("o_custkey = 7").join(l, "o_orderkey", "left").select("o_orderkey", "o_orderdate", "o_orderstatus", "items", "qty")
+    return orders.join(l, "o_orderkey", "left").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "items", "qty")
 
 
 @query("events", sql="""

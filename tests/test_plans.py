@@ -141,3 +141,10 @@ def test_greedy_downsampling_streams_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_season_queries_over_all_keys(spark):
+    orders = S.table(spark, FOLDER, "orders")
+    drivers, seasons = (plans.QUERIES[n](spark, FOLDER) for n in ("season_results_all", "facet_season_results_all"))
+    assert drivers.count() == orders.count() and drivers.select("o_custkey").distinct().count() == orders.select("o_custkey").distinct().count()
+    assert seasons.count() == orders.where("o_orderdate is not null").count() and seasons.select("season").distinct().count() > 1
