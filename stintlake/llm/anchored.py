@@ -3,8 +3,8 @@
 A window of ``length`` symbols (bytes or words) holds ``length - gram + 1`` grams; the gram with
 the smallest hash, leftmost on ties, is the window's anchor. Equal windows have equal anchors at
 equal offsets, so windows need comparing only within one anchor hash. Runs of window starts with
-the same anchor are one row: hash, context hash (all symbols of its windows), first and last
-start. There are about ``2 / (length - gram + 2)`` rows a symbol instead of one.
+the same anchor are one row: hash, 128-bit digest of the context (the bytes of all its windows),
+first and last start. There are about ``2 / (length - gram + 2)`` rows a symbol instead of one.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,23 +69,29 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchor_runs(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, context hash, first start, last start) of each run of windows."""
+def anchor_runs(symbols: np.ndarray, data: bytes, offsets: np.ndarray | None, length: int, gram: int, reach: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, two halves of the context digest, first start, last start) of each run of windows.
+
+    The context runs from the first start to ``reach`` symbols after the last one, or to the end of
+    the text. ``offsets`` tells where symbols start in ``data``, with one byte between symbols;
+    without it symbols are bytes."""
+    none = np.zeros(0, np.int64)
     if len(symbols) < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    parts = []
-    for at in range(0, max(1, len(symbols) - length + 1), PART):
+        return (none,) * 5
+    view, parts = memoryview(data), []
+    for at in range(0, len(symbols) - length + 1, PART):
         part = symbols[at : at + PART + length - 1]
-        roll = Roller(part)
-        grams = roll.every(gram)
+        grams = Roller(part).every(gram)
         place = np.arange(len(grams), dtype=np.uint64)
         least = sliding_min(grams >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | place, length - gram + 1)
         where = (least & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         last = np.append(first[1:], len(where)) - 1
-        context = roll.stretch(first, last - first + length) + (where[first] - first).astype(np.uint64)
-        parts.append((grams[where[first]].view(np.int64), context.view(np.int64), first + at, last + at))
+        start, stop = first + at, np.minimum(last + at + reach, len(symbols))
+        low, high = (start, stop) if offsets is None else (offsets[start], offsets[stop] - 1)
+        digest = b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(low.tolist(), high.tolist(), strict=True)])
+        context = np.frombuffer(digest, np.int64).reshape(-1, 2)
+        parts.append((grams[where[first]].view(np.int64), context[:, 0] + where[first] - first, context[:, 1], start, last + at))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -92,52 +99,64 @@ def kind_of(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def first_of_equal(f: np.ndarray, ctx: np.ndarray, owner: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """For each row, how many rows share its (f, ctx), at the earliest of them; 0 at the others."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, text): ``k``, a hash of the text, tells rows apart that share an id or have none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
+
+
+def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """Join on (id, k), where a null id equals a null id."""
+    other = places.withColumnsRenamed({"id": "_id", "k": "_k"})
+    return texts.join(other, (texts["k"] == other["_k"]) & texts["id"].eqNullSafe(other["_id"]), how).drop("_id", "_k")
+
+
+def first_of_equal(f: np.ndarray, c1: np.ndarray, c2: np.ndarray, owner: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """For each row, how many rows share its anchor and context, at the earliest of them; 0 at the others."""
     copies = np.zeros(len(f), np.int64)
     if len(f):
-        order = np.lexsort((lo, owner, ctx, f))
-        new = np.flatnonzero(np.concatenate([[True], (f[order][1:] != f[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])]))
+        order = np.lexsort((lo, owner, c2, c1, f))
+        key = np.stack([f, c1, c2])[:, order]
+        new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
         copies[order[new]] = np.diff(np.append(new, len(f)))
     return copies
 
 
-def anchor_rows(docs: DataFrame, reader: Callable[[], Callable[[str | None], np.ndarray]], length: int, gram: int, id_col: str, text_col: str, once: bool = False) -> DataFrame:
-    """Rows (f, ctx, id, lo, hi, copies) of all documents. ``reader()`` makes, once a worker, the
-    function from a text to its symbols.
+def _ranks(ids: list, keys: list) -> np.ndarray:
+    """The rank of each (id, k), null ids first, as Spark orders them."""
+    pairs = [(i is not None, 0 if i is None else i, k) for i, k in zip(ids, keys, strict=True)]
+    rank = {p: n for n, p in enumerate(sorted(set(pairs)))}
+    return np.array([rank[p] for p in pairs], np.int64)
+
+
+def anchor_rows(texts: DataFrame, reader: Callable[[], Callable[[str | None], tuple]], length: int, gram: int, reach: int, once: bool = False) -> DataFrame:
+    """Rows (f, c1, c2, id, k, lo, hi, copies) of all texts (id, k, text). ``reader()`` makes, once a
+    worker, the function from a text to its symbols, bytes and offsets.
 
     Equal contexts are combined before any shuffle: of those met together in a task the earliest
     carries their number, and the others, with 0, take a hash of their own place for ``f``, so a
-    line that fills a third of the corpus does not meet in one task. With ``once``, a place (id, lo)
-    that is met again in a task, in a row that repeats the id, is no copy and is left out."""
+    line that fills a third of the corpus does not meet in one task. With ``once``, a place (id, k, lo)
+    that is met again in a task, in a row that repeats the document, is no copy and is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = reader()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                made = [anchor_runs(symbols(t.as_py()), length, gram) for t in piece.column(1)]
-                ids = piece.column(0)
-                rank = np.unique(np.array([x if x is not None else -1 for x in ids.to_pylist()]), return_inverse=True)[1]
+                made = [anchor_runs(*symbols(t.as_py()), length, gram, reach) for t in piece.column(2)]
+                rank = _ranks(piece.column(0).to_pylist(), piece.column(1).to_pylist())
                 owner = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
-                f, ctx, lo, hi = (np.concatenate(x) for x in zip(*made, strict=True))
+                f, c1, c2, lo, hi = (np.concatenate(x) for x in zip(*made, strict=True))
                 if once and len(np.unique(rank)) < len(made):
-                    null = np.asarray(ids.is_null())[owner]
-                    place = np.sort(np.unique(np.stack([f, ctx, rank[owner], lo, null]), axis=1, return_index=True)[1])
-                    f, ctx, lo, hi, owner = f[place], ctx[place], lo[place], hi[place], owner[place]
-                copies = first_of_equal(f, ctx, rank[owner], lo)
+                    seen = np.sort(np.unique(rank, return_index=True)[1])
+                    stay = np.isin(owner, seen)
+                    f, c1, c2, lo, hi, owner = (x[stay] for x in (f, c1, c2, lo, hi, owner))
+                copies = first_of_equal(f, c1, c2, rank[owner], lo)
                 spread = mixed((f ^ rank[owner] * 1_000_003 + lo * 8_191).astype(np.uint64)).view(np.int64)
-                f = np.where(copies > 0, f, spread)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(ctx), ids.take(pa.array(owner)), pa.array(lo), pa.array(hi), pa.array(copies)], names=["f", "ctx", "id", "lo", "hi", "copies"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"f bigint, ctx bigint, id {kind_of(docs, id_col)}, lo bigint, hi bigint, copies bigint")
-
+                f, at_ = np.where(copies > 0, f, spread), pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c1), pa.array(c2), piece.column(0).take(at_), piece.column(1).take(at_), pa.array(lo), pa.array(hi), pa.array(copies)], names=["f", "c1", "c2", "id", "k", "lo", "hi", "copies"])
 
-def spans_by_document(spans: DataFrame) -> DataFrame:
-    """(id, starts, ends): a document's removed stretches (lo, end), as arrays in one order.
-    A document has at most as many as it has windows."""
-    both = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "end"))).alias("s"))
-    return both.select("id", F.col("s.lo").alias("starts"), F.col("s.end").alias("ends"))
+    return texts.select("id", "k", "text").mapInArrow(run, f"f bigint, c1 bigint, c2 bigint, id {kind_of(texts, 'id')}, k bigint, lo bigint, hi bigint, copies bigint")
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share. The session's ``spark.checkpoint.dir``
-    names it; only where that is unset (tests, one machine) a temporary one is made."""
+    names it; only where that is unset, on one machine (tests), a temporary one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stintlake-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -36,6 +38,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(id_col: str):
     """True where crc32 of the id's text leaves 2 modulo 4; such rows never teach a model."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -43,15 +50,16 @@ def held_out(id_col: str):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out quarter, chosen by a hash of
-    the id, so the choice neither depends on partitioning nor grows with the corpus.
+    the id, so the choice neither depends on partitioning nor grows with the corpus. Of several
+    labels of one id the smallest counts.
 
     The sampled ids are at most ``rows`` pairs of numbers, which bounds the broadcast."""
     picked = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-        .select(F.col(id_col), F.col(label).cast("double").alias("_label"))
-        .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col), F.col("_label"))
+        .groupBy(id_col)
+        .agg(F.min(F.col(label).cast("double")).alias("_label"))
+        .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
         .limit(rows)
-        .dropDuplicates([id_col])
     )
     return docs.join(F.broadcast(picked), id_col)
 

@@ -1,150 +1,201 @@
 """Substring de-duplication of word windows with a log-structured fingerprint index.
 
-The index is a list of immutable runs, each a table bucketed and sorted by anchor hash, holding
-the places of every (anchor, context) of the batches it covers, after ``compact`` the earliest. A new batch becomes a
-run of its own, is merge-joined with the older runs bucket by bucket (no further shuffle), and
-candidates are verified window by window. ``compact`` merges runs into one.
-
-A window (``WINDOW`` consecutive words) is removed where its words also start earlier: in a
-document with a smaller id, or before in the same one. A context seen earlier settles all of
-its windows at once; only anchors that occur with several contexts are read again and compared
-by window hash, the earliest place being found by an aggregation that combines before the
-shuffle.
-
-Batches must come in order of id. Defined results: null or empty text has no words; rows that
-repeat a doc_id are taken as one document read twice, so they remove nothing of each other and
-share one verdict; an empty table gives no rows.
+The index is a folder of immutable runs and of small manifests, so a later job opens it where the
+last one stopped. A run is a table bucketed and sorted by fingerprint. Neighbouring windows
+(``WINDOW`` consecutive words) that share their anchor are one entry: fingerprint, digest of all
+their words, place; that is about an eighth of the entries that single windows would take. A new
+batch becomes a run, is merge-joined with the older runs bucket by bucket (no further shuffle)
+and verified; ``compact`` merges runs into one, which keeps the earliest place of every entry.
+
+A window is removed where its words also start earlier: in a document with a smaller id, or
+before in the same one. An entry whose words (128-bit digest of their bytes) were seen earlier
+settles all of its windows at once. Where a fingerprint occurs with several contents, the texts
+are read again and single windows are compared by the digest of their words; the earliest place is
+found by an aggregation that combines before the shuffle.
+
+Batches must come in order of id. Defined results: null or empty text has no words; rows with the same
+doc_id and text are one document read twice, so they remove nothing of each other and share one
+verdict; rows with the same doc_id and other texts are documents of their own, in order of a hash
+of their text; a null doc_id comes before all others; ids may be of any type that Spark orders; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .anchored import Roller, anchor_rows, covered, kind_of, spans_by_document
-from .common import scratch_root, stored
+from .anchored import anchor_rows, covered, keyed, kind_of, with_places
+from .common import delete_folder, scratch_root, stored
 from .near_dedup import Words
 
-WINDOW, GRAM = 20, 5
-_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
+WINDOW, GRAM, PARTS = 20, 5, 3
+PLACE = ("id", "k", "lo")
+
+
+def _bytes_of(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The words joined by one space, and where each starts (and where one more would)."""
+    return b" ".join(words), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
 
 
 def word_reader():
     cache = Words()
 
-    def symbols(text: str | None) -> np.ndarray:
+    def symbols(text: str | None) -> tuple[np.ndarray, bytes, np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), *_bytes_of(words)
 
     return symbols
 
 
 class FingerprintIndex:
-    """Runs of (f, ctx, id, lo, hi), each bucketed by f in the shared folder."""
+    """Runs of entries (f, c1, c2, id, k, lo, hi, copies) below ``path``, each bucketed by f.
+
+    Manifest n names the runs that are valid after step n; the newest one counts, so a job that
+    dies while it writes a run leaves the index as it was."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> None:
         self.spark, self.window, self.gram = spark, window, gram
+        self.path = path or f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
+        self.step, self.runs, self.tables, self.kind = 0, [], [], None
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that an earlier job left at ``path``."""
+        last = spark.read.parquet(f"{path}/manifest-*").orderBy(F.desc("step")).first()
+        index = cls(spark, path, last["window"], last["gram"], last["buckets"])
+        index.step, index.runs, index.kind = last["step"], list(last["runs"]), last["kind"]
+        return index
+
+    def _commit(self, runs: list[str]) -> None:
+        self.step, self.runs = self.step + 1, runs
+        row = [(self.step, runs, self.window, self.gram, self.buckets, self.kind)]
+        frame = self.spark.createDataFrame(row, "step int, runs array<string>, window int, gram int, buckets int, kind string")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{self.step:06d}")
+
+    def _schema(self) -> str:
+        return f"f bigint, c1 bigint, c2 bigint, id {self.kind}, k bigint, lo bigint, hi bigint, copies bigint"
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"stintlake_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "f").write.bucketBy(self.buckets, "f").sortBy("f", "ctx").option("path", f"{scratch_root(self.spark)}/{name}").saveAsTable(name)
-        return name
-
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> tuple[DataFrame, DataFrame]:
-        """Take in a batch. Returns (spans, unsure): stretches (id, lo, end) whose windows are all
-        repeats, and the contexts (id, lo, hi, new) to be verified by window."""
-        name = self._write(anchor_rows(docs, word_reader, self.window, self.gram, id_col, text_col, once=True))
-        batch = self.spark.table(name)
-        by_place = Window.partitionBy("f", "ctx").orderBy("id", "lo")
-        rows = batch.where("copies > 0").withColumns({"_n": F.row_number().over(by_place), "_first": F.first(F.struct("id", "lo")).over(by_place)})
-        # the earliest place met again, in a row that repeats its id, is no repeat
-        rows = rows.where((F.col("_n") == 1) | (F.struct("id", "lo") != F.col("_first"))).drop("_first")
+        run, name = f"run-{uuid.uuid4().hex}", f"fingerprints_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "f").write.bucketBy(self.buckets, "f").sortBy("f", "c1", "c2").option("path", f"{self.path}/{run}").saveAsTable(name)
+        self.tables.append(name)
+        return run
+
+    def _table(self, run: str) -> DataFrame:
+        """A run with its buckets, through a catalogue entry that ``release`` takes away again."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self._schema()}) USING parquet CLUSTERED BY (f) SORTED BY (f, c1, c2) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def release(self) -> None:
+        """Drop the catalogue entries; the runs stay."""
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
+
+    def add(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Take in a batch (id, k, text). Returns (spans, unsure), both written: stretches (id, k,
+        lo, end) whose windows are all repeats, and the entries to be verified window by window."""
+        self.kind = kind_of(texts, "id")
+        run = self._write(anchor_rows(texts, word_reader, self.window, self.gram, self.window, once=True))
+        batch = self._table(run)
+        by_place = Window.partitionBy("f", "c1", "c2").orderBy(*PLACE)
+        rows = batch.where("copies > 0").withColumns({"_n": F.row_number().over(by_place), "_first": F.first(F.struct(*PLACE)).over(by_place)})
+        # the earliest place met again, in a row that repeats its document, is no repeat
+        rows = rows.where((F.col("_n") == 1) | ~F.struct(*PLACE).eqNullSafe(F.col("_first"))).drop("_first")
         rows = rows.withColumns({"seen": F.lit(False), "old": F.lit(0)})
-        for run in self.runs:
-            past = self.spark.table(run).where("copies > 0")
-            rows = rows.join(past.select("f", "ctx", F.lit(True).alias("_s")).distinct(), ["f", "ctx"], "left").withColumn("seen", F.col("seen") | F.coalesce("_s", F.lit(False))).drop("_s")
+        for old in self.runs:
+            past = self._table(old).where("copies > 0")
+            rows = rows.join(past.select("f", "c1", "c2", F.lit(True).alias("_s")).distinct(), ["f", "c1", "c2"], "left").withColumn("seen", F.col("seen") | F.coalesce("_s", F.lit(False))).drop("_s")
             rows = rows.join(past.groupBy("f").agg(F.lit(1).alias("_o")), "f", "left").withColumn("old", F.col("old") + F.coalesce("_o", F.lit(0))).drop("_o")
-        # how many contexts of the anchor are new, and which rows that leaves to look at
+        # how many contents of the fingerprint are new, and which rows that leaves to look at
         rows = rows.withColumn("fresh", (F.col("_n") == 1) & ~F.col("seen"))
         rows = rows.withColumn("_k", F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("f")) + F.col("old"))
-        rows = stored(rows.where(~F.col("fresh") | (F.col("_k") > 1)).select("f", "id", "lo", "hi", "fresh"), "repeats")
-        new = rows.where("fresh").select("f", "id", "lo", "hi", F.lit(True).alias("new"))
+        rows = stored(rows.where(~F.col("fresh") | (F.col("_k") > 1)).select("f", "id", "k", "lo", "hi", "fresh"), "repeats")
+        new = rows.where("fresh").select("f", "id", "k", "lo", "hi", F.lit(True).alias("new"))
         unsure = new
-        for run in self.runs:
-            past = self.spark.table(run).where("copies > 0").groupBy("f", "ctx").agg(F.min(F.struct("id", "lo", "hi")).alias("p")).select("f", "p.*")
+        for old in self.runs:
+            past = self._table(old).where("copies > 0").groupBy("f", "c1", "c2").agg(F.min(F.struct("id", "k", "lo", "hi")).alias("p")).select("f", "p.*")
             unsure = unsure.unionByName(past.join(new.select("f").distinct(), "f", "left_semi").withColumn("new", F.lit(False)))
-        if keep:
-            self.runs.append(name)
-        again = rows.where("not fresh").select("id", "lo", "hi").unionByName(batch.where("copies = 0").select("id", "lo", "hi"))
-        return again.select("id", "lo", (F.col("hi") + self.window).alias("end")), unsure.drop("f")
+        again = rows.where("not fresh").unionByName(batch.where("copies = 0").select("f", "id", "k", "lo", "hi", F.lit(False).alias("fresh")))
+        out = stored(again.select("id", "k", "lo", (F.col("hi") + self.window).alias("end")), "spans"), stored(unsure.drop("f"), "unsure")
+        self._commit([*self.runs, run])
+        self.release()
+        return out
 
     def compact(self) -> None:
-        """Merge all runs into one; the earliest place of a context stays."""
-        if len(self.runs) > 1:
-            merged = self.spark.table(self.runs[0])
-            for run in self.runs[1:]:
-                merged = merged.unionByName(self.spark.table(run))
-            best = merged.where("copies > 0").groupBy("f", "ctx").agg(F.min(F.struct("id", "lo", "hi", "copies")).alias("p")).select("f", "ctx", "p.*")
-            old, self.runs = self.runs, [self._write(best)]
-            for run in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-
-    def verify(self, unsure: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Stretches (id, lo, end) of new windows whose words start earlier. ``docs`` holds the
-        texts of all batches so far."""
-        wanted = unsure.groupBy("id").agg(F.collect_set(F.struct("lo", "hi", "new")).alias("w")).select("id", "w.lo", "w.hi", "w.new")
-        texts = docs.select(F.col(id_col).alias("id"), text_col).join(wanted, "id")
+        """Merge all runs into one; the earliest place of an entry stays. Old runs are deleted once
+        the manifest names the new one."""
+        if len(self.runs) < 2:
+            return
+        old, merged = self.runs, None
+        for run in old:
+            table = self._table(run).where("copies > 0")
+            merged = table if merged is None else merged.unionByName(table)
+        best = merged.groupBy("f", "c1", "c2").agg(F.min(F.struct("id", "k", "lo", "hi", "copies")).alias("p")).select("f", "c1", "c2", "p.*")
+        self._commit([self._write(best)])
+        self.release()
+        for run in old:
+            delete_folder(self.spark, f"{self.path}/{run}")
+
+    def verify(self, unsure: DataFrame, texts: DataFrame) -> DataFrame:
+        """Stretches (id, k, lo, end) of new windows whose words start earlier. ``texts`` holds
+        the texts (id, k, text) of all batches so far."""
+        wanted = unsure.groupBy("id", "k").agg(F.collect_set(F.struct("lo", "hi", "new")).alias("w")).select("id", "k", "w.lo", "w.hi", "w.new")
+        both = with_places(texts, wanted, "inner").select("id", "k", "text", "lo", "hi", "new")
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            symbols = word_reader()
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
                     piece = batch.slice(at, 200)
-                    owner, hashes, starts, news = [], [], [], []
+                    owner, digests, starts, news = [], [], [], []
                     for row in range(piece.num_rows):
-                        _, text, lo, hi, new = (piece.column(k)[row].as_py() for k in range(5))
-                        every = Roller(symbols(text)).every(window)
+                        text, lo, hi, new = (piece.column(c)[row].as_py() for c in (2, 3, 4, 5))
+                        data, where = _bytes_of(text.encode("utf-8", "surrogatepass").split())
+                        view = memoryview(data)
                         at_ = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)])
-                        owner.append(np.full(len(at_), row)), hashes.append(every[at_].view(np.int64)), starts.append(at_)
+                        digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(where[at_].tolist(), (where[at_ + window] - 1).tolist(), strict=True)]
+                        owner.append(np.full(len(at_), row)), starts.append(at_)
                         news.append(np.repeat(np.array(new, bool), np.array(hi) - np.array(lo) + 1))
                     if owner:
-                        owner, hashes, starts, news = (np.concatenate(x) for x in (owner, hashes, starts, news))
-                        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(owner)), pa.array(hashes), pa.array(starts), pa.array(news)], names=["id", "h", "lo", "new"])
-
-        windows = stored(texts.mapInArrow(run, f"id {kind_of(docs, id_col)}, h bigint, lo bigint, new boolean"), "windows")
-        first = windows.groupBy("h").agg(F.min(F.struct("id", "lo")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "p")
-        return windows.where("new").join(first, "h").where(F.struct("id", "lo") != F.col("p")).select("id", "lo", (F.col("lo") + window).alias("end"))
-
-
-def batches_by_id(docs: DataFrame, parts: int, id_col: str) -> list[DataFrame]:
-    """``docs`` cut at evenly spread quantiles of the id, in order; every row is in one part."""
-    shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(id_col, shares, 100)).first()[0] or [])) if shares else []
-    edges = [None, *cuts, None]
-    out = []
-    for low, high in zip(edges, edges[1:], strict=False):
-        rule = F.lit(True)
-        if low is not None:
-            rule = rule & (F.col(id_col) > low)
-        if high is not None:
-            rule = rule & (F.col(id_col) <= high)
-        out.append(docs.where(rule if low is None and high is None else F.coalesce(rule, F.lit(low is None))))
+                        owner, starts, news = (np.concatenate(x) for x in (owner, starts, news))
+                        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(owner)), piece.column(1).take(pa.array(owner)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(starts), pa.array(news)], names=["id", "k", "h1", "h2", "lo", "new"])
+
+        windows = stored(both.mapInArrow(run, f"id {kind_of(texts, 'id')}, k bigint, h1 bigint, h2 bigint, lo bigint, new boolean"), "windows")
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "p")
+        return windows.where("new").join(first, ["h1", "h2"]).where(~F.struct(*PLACE).eqNullSafe(F.col("p"))).select("id", "k", "lo", (F.col("lo") + window).alias("end"))
+
+
+def batches_by_id(docs: DataFrame, parts: int, id_col: str, sample: int = 1000) -> list[tuple[DataFrame, DataFrame]]:
+    """``docs`` cut into about equal parts in order of id, as (part, all parts up to it); every row is
+    in one part. The cuts are quantiles of the ``sample`` ids with the smallest hashes, so an
+    id of any type that has an order will do. Cuts decide how even the parts are, nothing else."""
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(sample if parts > 1 else 0)
+    known = sorted(r[0] for r in ids.collect())
+    cuts = sorted({known[len(known) * k // parts] for k in range(1, parts)}) if known else []
+    out, low = [], F.lit(True)
+    for cut in [*cuts, None]:
+        upto = F.lit(True) if cut is None else F.coalesce(F.col(id_col) <= F.lit(cut), F.lit(True))
+        out.append((docs.where(low & upto), docs.where(upto)))
+        low = F.lit(False) if cut is None else F.coalesce(F.col(id_col) > F.lit(cut), F.lit(False))
     return out
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_text and its SHA-256."""
-    both = docs.select(F.col(id_col).alias("id"), text_col).join(spans_by_document(spans), "id", "left")
+    arrays = spans.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("lo", "end"))).alias("s")).select("id", "k", F.col("s.lo").alias("starts"), F.col("s.end").alias("ends"))
+    both = with_places(keyed(docs, id_col, text_col), arrays, "left").select("id", "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,14 +217,18 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
     return both.mapInArrow(run, f"id {kind_of(docs, id_col)}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Take ``docs`` in as ``parts`` batches by id and remove repeated windows of all of them."""
-    index, spans = FingerprintIndex(docs.sparkSession, window, gram), None
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, window: int = WINDOW, gram: int = GRAM, path: str | None = None) -> DataFrame:
+    """Take ``docs`` in as ``parts`` batches by id and remove repeated windows of all of them. After
+    each batch but the last the index is compacted. With ``path`` it is left there for later jobs."""
+    spark = docs.sparkSession
+    index, spans = FingerprintIndex(spark, path, window, gram), None
     batches = batches_by_id(docs, parts, id_col)
-    for n, batch in enumerate(batches):
-        sure, unsure = index.add(batch, id_col, text_col, keep=n + 1 < len(batches))
-        more = stored(sure.unionByName(index.verify(stored(unsure, "unsure"), docs, id_col, text_col)), "spans")
+    for n, (batch, so_far) in enumerate(batches):
+        sure, unsure = index.add(keyed(batch, id_col, text_col))
+        more = sure.unionByName(stored(index.verify(unsure, keyed(so_far, id_col, text_col)), "spans"))
         spans = more if spans is None else spans.unionByName(more)
-        if n + 2 < len(batches):
+        if n + 1 < len(batches):
             index.compact()
+    if path is None:
+        delete_folder(spark, index.path)
     return remove_spans(docs, spans, id_col, text_col)

@@ -1,21 +1,26 @@
 """Byte-exact substring removal with sharded suffix arrays.
 
-Every byte covered by a ``LENGTH``-byte string that also starts anywhere else is removed.
+Every byte covered by a ``LENGTH``-byte string that also starts anywhere else is removed. The
+same search tells how many bytes lie in shorter repeats, of ``SHORT`` bytes, about a passage of
+fifty words; these are counted, not removed.
 
-1. Anchors (see ``anchored``) of all texts, about one a 126 bytes; only those whose hash occurs
+1. Anchors (see ``anchored``) of all texts, about one a 79 bytes; only those whose hash occurs
    twice can take part in a repeat.
 2. Occurrences with equal context are repeats as they stand; counting them combines before the
    shuffle, so copies by the thousand cost one row a task.
 3. Distinct contexts of one anchor share a shard. A shard's suffix array is built by induced
    sorting and its permuted common prefixes tell which strings start twice. Shards hold about
    ``SHARD`` bytes.
-4. An anchor with more than ``MOST`` distinct contexts would make a shard too large. Its strings
-   are counted by digest instead, which combines before the shuffle and is exact for any number;
-   how far contexts agree beside the anchor bounds the strings that need a digest.
-
-Defined results: null or empty text has no bytes; matches never cross documents; rows that
-repeat a doc_id share the stretches of their id, cut to each text's length; an empty table
-gives no rows. Bytes that no longer form UTF-8 are kept in ``kept`` (binary) as they are.
+4. An anchor with more than ``MOST`` distinct contexts would make a shard too large. Such a group is
+   split: a window reaches either so far to the left of the anchor, or so far to the right, so
+   contexts that share a window share the stretch there, and each half goes on with its own
+   stretch as part of the group's key. Each split halves the room a window has, so after eight a
+   group shares the whole window.
+
+Defined results: null or empty text has no bytes; matches never cross documents; every row is a
+document of its own, also rows that repeat a doc_id or have none, so equal rows repeat each
+other; an empty table gives no rows. Bytes that no longer form UTF-8 are kept in ``kept`` (binary)
+as they are. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +35,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import Roller, anchor_rows, covered, kind_of, mixed, spans_by_document
+from .anchored import Roller, anchor_rows, covered, keyed, kind_of, mixed, with_places
 from .common import stored
 from .suffixes import repeated_starts
 
-LENGTH, GRAM = 400, 150
+LENGTH, SHORT, GRAM = 400, 256, 100
 SHARD, MOST = 400_000, 1_500
-DEPTHS = (4, 16, 48, 112)
 _SYMBOL = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def byte_reader():
-    return lambda text: _SYMBOL[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+    def symbols(text: str | None) -> tuple[np.ndarray, bytes, None]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        return _SYMBOL[np.frombuffer(raw, np.uint8)], raw, None
+
+    return symbols
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -52,10 +60,11 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
 
 
-def _contexts(unsure: DataFrame, docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(f, id, lo, n, bytes) of contexts (f, id, lo, hi, n), read from the texts."""
-    wanted = unsure.groupBy("id").agg(F.collect_list(F.struct("f", "lo", "hi", "n", "k")).alias("w"))
-    texts = docs.select(F.col(id_col).alias("id"), text_col).dropDuplicates(["id"]).join(wanted, "id")
+def _contexts(unsure: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(g, id, k, lo, n, m, data) of contexts (f, id, k, lo, hi, n), read from the texts; windows
+    start in the first m bytes of the data, since those after belong to other contexts."""
+    wanted = unsure.groupBy("id", "k").agg(F.collect_list(F.struct("f", "lo", "hi", "n")).alias("w"))
+    both = with_places(texts.dropDuplicates(["id", "k"]), wanted, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,131 +72,149 @@ def _contexts(unsure: DataFrame, docs: DataFrame, length: int, id_col: str, text
                 piece = batch.slice(at, 200)
                 owner, out = [], []
                 for row in range(piece.num_rows):
-                    raw = (piece.column(1)[row].as_py() or "").encode("utf-8", "surrogatepass")
-                    for w in piece.column(2)[row].as_py():
+                    raw = piece.column(2)[row].as_py().encode("utf-8", "surrogatepass")
+                    for w in piece.column(3)[row].as_py():
                         owner.append(row)
-                        out.append((w["f"], w["lo"], w["n"], w["k"], raw[w["lo"] : w["hi"] + length]))
+                        out.append((w["f"], w["lo"], w["n"], w["hi"] - w["lo"] + 1, raw[w["lo"] : w["hi"] + length]))
                 if out:
-                    f, lo, n, k, data = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), piece.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (lo, n, k)), pa.array(data, pa.binary())], names=["f", "id", "lo", "n", "k", "data"])
+                    f, lo, n, m, data = zip(*out, strict=True)
+                    at_ = pa.array(owner)
+                    numbers = [pa.array(x, pa.int64()) for x in (lo, n, m)]
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), piece.column(0).take(at_), piece.column(1).take(at_), *numbers, pa.array(data, pa.binary())], names=["g", "id", "k", "lo", "n", "m", "data"])
+
+    return both.select("id", "k", "text", "w").mapInArrow(run, f"g bigint, id {kind_of(texts, 'id')}, k bigint, lo bigint, n bigint, m bigint, data binary")
 
-    return texts.mapInArrow(run, f"f bigint, id {kind_of(docs, id_col)}, lo bigint, n bigint, k bigint, data binary")
 
+def _by_shard(contexts: DataFrame, length: int, short: int, id_kind: str) -> DataFrame:
+    """Runs of repeated starts (id, k, lo, hi, full) within each group g of contexts."""
 
-def _by_shard(contexts: DataFrame, shards: int, length: int, id_kind: str) -> DataFrame:
     def scan(table: pa.Table) -> pa.Table:
-        own, start, end = [], [], []
-        found = repeated_starts([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()], length)
+        own, low, high, full = [], [], [], []
+        found = repeated_starts([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()], table.column("m").to_pylist(), (short, length))
         lo, n = table.column("lo").to_pylist(), table.column("n").to_pylist()
-        for row, starts in enumerate(found):
+        for row, (some, whole) in enumerate(zip(*found, strict=True)):
             if n[row] == 1:  # contexts that occur twice are removed already
-                for a, b in _runs(starts):
-                    own.append(row), start.append(lo[row] + a), end.append(lo[row] + b + length)
-        return pa.table({"id": table.column("id").take(pa.array(own, pa.int64())), "lo": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
+                for starts, is_full in ((np.setdiff1d(some, whole), False), (whole, True)):
+                    for a, b in _runs(starts):
+                        own.append(row), low.append(lo[row] + a), high.append(lo[row] + b), full.append(is_full)
+        at = pa.array(own, pa.int64())
+        return pa.table({"id": table.column("id").take(at), "k": table.column("k").take(at), "lo": pa.array(low, pa.int64()), "hi": pa.array(high, pa.int64()), "full": pa.array(full, pa.bool_())})
 
-    sharded = contexts.withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInArrow(scan, f"id {id_kind}, lo bigint, end bigint")
+    size = contexts.agg(F.sum(F.length("data"))).first()[0] or 0
+    sharded = contexts.select("id", "k", "lo", "n", "m", "data", F.pmod(F.xxhash64("g"), F.lit(max(1, math.ceil(size / SHARD)))).alias("shard"))
+    return sharded.groupBy("shard").applyInArrow(scan, f"id {id_kind}, k bigint, lo bigint, hi bigint, full boolean")
 
 
-def _reach(contexts: DataFrame, gram: int, id_kind: str) -> DataFrame:
-    """Contexts with ``left`` and ``right``: how far from the anchor two of one anchor can agree at
-    most, from counts of the stretches of a few sizes on either side of it."""
+_GROUPED = "g binary, id {}, k bigint, lo bigint, n bigint, m bigint, data binary, p bigint, a bigint, b bigint"
 
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, side, depth, digest = [], [], [], []
-            for row, (f, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                p = _anchor(data, f, gram)
-                for d in DEPTHS:
-                    for k, part in ((0, data[p - d : p] if p >= d else b""), (1, data[p + gram : p + gram + d])):
-                        if len(part) == d:
-                            own.append(row), side.append(k), depth.append(d), digest.append(xxhash.xxh3_128_digest(part))
-            at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(side, pa.int64()), pa.array(depth, pa.int64()), pa.array(digest, pa.binary())], names=["f", "id", "lo", "side", "d", "h"])
 
-    rows = contexts.select("f", "id", "lo", "data").mapInArrow(sides, f"f bigint, id {id_kind}, lo bigint, side bigint, d bigint, h binary")
-    shared = rows.groupBy("f", "side", "d", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    most = rows.join(shared, ["f", "side", "d", "h"], "left_semi").groupBy("id", "lo").agg(*[F.max(F.when(F.col("side") == k, F.col("d"))).alias(n) for k, n in ((0, "left"), (1, "right"))])
-    return contexts.join(most, ["id", "lo"], "left").na.fill(0, ["left", "right"])
+def _with_anchor(contexts: DataFrame, gram: int, id_kind: str) -> DataFrame:
+    """Contexts with the place ``p`` of their anchor, of which no neighbourhood (a, b) is shared yet."""
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [int(np.argmax(Roller(_SYMBOL[np.frombuffer(d, np.uint8)]).every(gram).view(np.int64) == g)) for g, d in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            zero = pa.array(np.zeros(len(found), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([g.to_bytes(8, "little", signed=True) for g in batch.column(0).to_pylist()], pa.binary()), *batch.columns[1:], pa.array(found, pa.int64()), zero, zero], names=["g", *batch.schema.names[1:], "p", "a", "b"])
 
-def _anchor(data: bytes, f: int, gram: int) -> int:
-    return int(np.argmax(Roller(_SYMBOL[np.frombuffer(data, np.uint8)]).every(gram).view(np.int64) == f))
+    return contexts.mapInArrow(place, _GROUPED.format(id_kind))
 
 
-def _by_digest(contexts: DataFrame, length: int, gram: int, id_kind: str) -> DataFrame:
-    """Repeats among contexts of anchors that have many: strings are counted by digest. Only
-    strings that lie within reach of another context are, and equal ones met in a task at once."""
-    near = stored(_reach(contexts, gram, id_kind), "reach")
+def _split(contexts: DataFrame, room: int, gram: int, length: int, id_kind: str) -> DataFrame:
+    """Each context in the groups of its two halves: with the stretch before what its group shares,
+    for windows that reach so far to the left, or the one after it, for all others."""
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where: dict[bytes, list[tuple[int, int]]] = {}
-            for row, (f, lo, data, left, right) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True)):
-                p = _anchor(data, f, gram)
-                low, high = (next((d for d in DEPTHS if d > x), len(data)) for x in (left, right))
-                for k in range(max(0, p - low + 1), min(len(data) - length, p + gram + high - 1 - length) + 1):
-                    where.setdefault(xxhash.xxh3_128_digest(data[k : k + length]), []).append((row, lo + k))
-            own, start, end, digest, count = [], [], [], [], []
-            sure: dict[int, list[int]] = {}
-            for h, places in where.items():
-                row, at = places[0]
-                own.append(row), start.append(at), end.append(at + length), digest.append(h), count.append(len(places))
-                if len(places) > 1:
-                    for row, at in places:
-                        sure.setdefault(row, []).append(at)
-            for row, starts in sure.items():
-                for first, last in _runs(np.unique(starts)):
-                    own.append(row), start.append(first), end.append(last + length), digest.append(None), count.append(0)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(own, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, end)), pa.array(digest, pa.binary()), pa.array(count, pa.int64())], names=["id", "lo", "end", "h", "c"])
-
-    rows = stored(near.select("f", "id", "lo", "data", "left", "right").mapInArrow(digests, f"id {id_kind}, lo bigint, end bigint, h binary, c bigint"), "digests")
-    twice = rows.where("h is not null").groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
-    return rows.where("h is null").select("id", "lo", "end").unionByName(rows.join(twice, "h", "left_semi").select("id", "lo", "end"))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """Stretches (id, lo, end) of bytes covered by strings that start twice; they may overlap."""
-    id_kind = kind_of(docs, id_col)
-    anchors = stored(anchor_rows(docs, byte_reader, length, gram, id_col, text_col), "anchors")
-    copied = anchors.where("copies = 0").select("id", "lo", (F.col("hi") + length).alias("end"))
+            own, out = [], []
+            for row, (g, lo, n, m, data, p, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7, 8, 9)), strict=True)):
+                x = (room - a - b + 1) // 2
+                y = room - a - b - x + 1
+                if p - a - x >= 0:
+                    key = xxhash.xxh3_128_digest(g + b"<" + data[p - a - x : p - a])
+                    own.append(row), out.append((key, lo, n, min(m, p - a - x + 1), data[: p - a - x + length], p, a + x, b))
+                cut = max(0, p - a - x + 1)
+                if p + gram + b + y <= len(data) and cut < m:
+                    key = xxhash.xxh3_128_digest(g + b">" + data[p + gram + b : p + gram + b + y])
+                    own.append(row), out.append((key, lo + cut, n, m - cut, data[cut:], p - cut, a, b + y))
+            if out:
+                g, lo, n, m, data, p, a, b = zip(*out, strict=True)
+                at = pa.array(own, pa.int64())
+                numbers = [pa.array(v, pa.int64()) for v in (lo, n, m, p, a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), batch.column(1).take(at), batch.column(2).take(at), *numbers[:3], pa.array(data, pa.binary()), *numbers[3:]], names=batch.schema.names)
+
+    return contexts.mapInArrow(halves, _GROUPED.format(id_kind))
+
+
+def _by_parts(contexts: DataFrame, length: int, short: int, gram: int, most: int, id_kind: str) -> DataFrame:
+    """Repeats among contexts of anchors that have more than ``most``: (id, k, lo, hi, full)."""
+    room, spans = short - gram, None
+    rows = stored(_with_anchor(contexts, gram, id_kind), "anchored")
+    while not rows.isEmpty():
+        whole = rows.where(F.col("a") + F.col("b") == room)
+        # a group that shares a whole window, which starts in one place of each context: all of it
+        # repeats, and the longer strings there are counted
+        place, text = F.col("lo") + F.col("p") - F.col("a"), F.expr(f"substring(data, cast(p - a + 1 as int), {length})")
+        whole = whole.where("p - a between 0 and m - 1").select("id", "k", "n", place.alias("lo"), place.alias("hi"), F.when(F.length(text) == length, F.sha2(text, 256)).alias("h"))
+        again = whole.where("h is not null").groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
+        long = whole.where("n = 1").join(again, "h", "left_semi").select("id", "k", "lo", "hi", F.lit(True).alias("full"))
+        done = whole.where("n = 1").select("id", "k", "lo", "hi", F.lit(False).alias("full")).unionByName(long)
+        halves = stored(_split(rows.where(F.col("a") + F.col("b") < room), room, gram, length, id_kind), "halves")
+        sizes = stored(halves.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        halves = stored(halves.join(sizes, "g"), "halves")
+        found = stored(done.unionByName(_by_shard(halves.where(F.col("size") <= most), length, short, id_kind)), "spans")
+        spans = found if spans is None else spans.unionByName(found)
+        rows = halves.where(F.col("size") > most).drop("size")
+    return spans
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = SHORT, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """Runs of starts (id, k, lo, hi, full): the strings of ``short`` bytes that start there also
+    start elsewhere, and with ``full`` those of ``length`` bytes as well, where the text has as many."""
+    id_kind, texts = kind_of(docs, id_col), keyed(docs, id_col, text_col)
+    anchors = stored(anchor_rows(texts, byte_reader, short, gram, length), "anchors")
+    whole = F.lit(True).alias("full")
+    copied = anchors.where("copies = 0").select("id", "k", "lo", "hi", whole)
     rows = anchors.where("copies > 0")
-    twice = rows.groupBy("f").agg(F.sum("copies").alias("c")).where("c > 1").select("f")
+    # counts are written first, so that the joins with them can split a frequent key
+    twice = stored(rows.groupBy("f").agg(F.sum("copies").alias("c")).where("c > 1").select("f"), "twice")
     rows = stored(rows.join(twice, "f", "left_semi"), "repeats")
-    contexts = rows.groupBy("f", "ctx").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("p"))
-    several = contexts.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    sure = rows.join(contexts.where("n > 1").select("f", "ctx"), ["f", "ctx"], "left_semi").select("id", "lo", (F.col("hi") + length).alias("end")).unionByName(copied)
-    unsure = stored(contexts.join(several, "f").select("f", "n", "k", "p.*"), "unsure")
-    size = unsure.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0]
-    if not size:
-        return stored(sure, "spans")
-    found = stored(_contexts(unsure, docs, length, id_col, text_col), "contexts")
-    spans = sure.unionByName(_by_shard(found.where(F.col("k") <= most), max(1, math.ceil(size / SHARD)), length, id_kind))
-    if not unsure.where(F.col("k") > most).isEmpty():
-        spans = spans.unionByName(_by_digest(found.where(F.col("k") > most), length, gram, id_kind))
+    contexts = stored(rows.groupBy("f", "c1", "c2").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "k", "lo", "hi")).alias("p")), "contexts")
+    several = stored(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
+    sure = rows.join(contexts.where("n > 1").select("f", "c1", "c2"), ["f", "c1", "c2"], "left_semi").select("id", "k", "lo", "hi", whole).unionByName(copied)
+    unsure = contexts.join(several, "f").select("f", "n", "p.*", "size")
+    found = stored(_contexts(unsure.where(F.col("size") <= most), texts, length), "contexts")
+    spans = sure.unionByName(_by_shard(found, length, short, id_kind))
+    large = unsure.where(F.col("size") > most)
+    if not several.where(F.col("size") > most).isEmpty():
+        spans = spans.unionByName(_by_parts(_contexts(large, texts, length), length, short, gram, most, id_kind))
     return stored(spans, "spans")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256."""
-    spans = repeated_spans(docs, id_col, text_col, length, gram, most)
-    both = docs.select(F.col(id_col).alias("id"), text_col).join(spans_by_document(spans), "id", "left")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = SHORT, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, and
+    n_repeated, the bytes in strings of ``short`` bytes that start twice."""
+    spans = repeated_spans(docs, id_col, text_col, length, short, gram, most)
+    arrays = spans.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "full"))).alias("s")).select("id", "k", *[F.col(f"s.{c}").alias(c) for c in ("lo", "hi", "full")])
+    both = with_places(keyed(docs, id_col, text_col), arrays, "left").select("id", "text", "lo", "hi", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 out = []
-                for text, starts, ends in zip(*(piece.column(k) for k in (1, 2, 3)), strict=True):
-                    kept = raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    gone = spans = 0
-                    if starts.is_valid and raw:
-                        cut = np.array([starts.as_py(), ends.as_py()], np.int64)
-                        mask = covered(len(raw), *np.minimum(cut, len(raw)))
+                for text, lo, hi, full in zip(*(piece.column(k) for k in (1, 2, 3, 4)), strict=True):
+                    kept = raw = text.as_py().encode("utf-8", "surrogatepass")
+                    gone = spans = repeated = 0
+                    if lo.is_valid and raw:
+                        first, last, long = np.array(lo.as_py()), np.array(hi.as_py()), np.array(full.as_py()) & (np.array(lo.as_py()) + length <= len(raw))
+                        repeated = int(covered(len(raw), first, last + short).sum())
+                        mask = covered(len(raw), first[long], np.minimum(last[long] + length, len(raw)))
                         gone, spans = int(mask.sum()), int((np.diff(np.concatenate([[False], mask]).astype(np.int8)) == 1).sum())
                         kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                    out.append((len(raw), gone, spans, kept, hashlib.sha256(kept).hexdigest()))
+                    out.append((len(raw), gone, spans, kept, hashlib.sha256(kept).hexdigest(), repeated))
                 columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_repeated"])
 
-    return both.mapInArrow(run, f"id {kind_of(docs, id_col)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string").withColumnRenamed("id", id_col)
+    return both.mapInArrow(run, f"id {kind_of(docs, id_col)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, n_repeated bigint").withColumnRenamed("id", id_col)

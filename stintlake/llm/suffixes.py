@@ -158,18 +158,23 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.maximum(value[last] - (i - last), 0), before
 
 
-def repeated_starts(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each byte array, the starts of ``length``-byte strings that start anywhere else too."""
+def repeated_starts(parts: list[np.ndarray], room: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each of ``lengths``, and each byte array, the starts of strings of that many bytes that
+    start anywhere else too. Only the first ``room`` places of an array count as starts."""
     size = np.array([len(p) for p in parts])
     text = np.zeros(size.sum() + len(parts), np.int64)
     start = np.cumsum(size + 1) - size - 1
     left = np.zeros(len(text), np.int64)
-    for p, s in zip(parts, start, strict=True):
+    for p, s, m in zip(parts, start, room, strict=True):
         text[s : s + len(p)] = p.astype(np.int64) + 1
-        left[s : s + len(p)] = np.arange(len(p), 0, -1)
-    most = int(size.max()) + 1
-    plcp, before = permuted_lcp(text, suffix_array(text, most))
-    hit = (plcp >= length) & (left >= length)
-    again = hit.copy()
-    again[before[hit]] = True
-    return [np.flatnonzero(again[s : s + n]) for s, n in zip(start, size, strict=True)]
+        left[s : s + min(m, len(p))] = np.arange(len(p), max(len(p) - m, 0), -1)
+    sa = suffix_array(text, max(lengths))
+    plcp, _ = permuted_lcp(text, sa)
+    out = []
+    for length in lengths:
+        alike = np.empty(len(text), np.int64)
+        alike[sa] = np.cumsum(plcp[sa] < length)  # suffixes with a common prefix of that length
+        fits = left >= length
+        again = fits & (np.bincount(alike[fits], minlength=len(text) + 1)[alike] > 1)
+        out.append([np.flatnonzero(again[s : s + n]) for s, n in zip(start, size, strict=True)])
+    return out

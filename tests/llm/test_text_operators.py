@@ -116,27 +116,61 @@ def test_stars_find_components(spark):
     assert got == {x: find(x) for x in list(root) if find(x) != x}
 
 
-@pytest.mark.parametrize(("length", "gram", "most"), [(400, 150, 1500), (40, 15, 1500), (40, 15, 2)])
-def test_suffix_dedup_equals_brute_force(odd, empty, length, gram, most):
-    rows = pairs_of(odd)
+def brute_repeats(rows, length):
+    """A mask of the bytes in strings that start twice, for each text."""
     count = collections.Counter()
     for _, t in rows:
         b = t.encode()
         count.update(b[k : k + length] for k in range(len(b) - length + 1))
-    want = {}
-    for d, t in rows:
+    masks = []
+    for _, t in rows:
         b = t.encode()
         mask = [0] * len(b)
         for k in range(len(b) - length + 1):
             if count[b[k : k + length]] > 1:
                 mask[k : k + length] = [1] * length
+        masks.append(mask)
+    return masks
+
+
+def brute_suffix(rows, length, short):
+    want = []
+    for (d, t), mask, less in zip(rows, brute_repeats(rows, length), brute_repeats(rows, short), strict=True):
         spans = sum(m and not p for m, p in zip(mask, [0, *mask], strict=False))
-        want[d] = (len(b), sum(mask), spans, hashlib.sha256(bytes(x for x, m in zip(b, mask, strict=True) if not m)).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(odd, length=length, gram=gram, most=most).collect()}
-    assert got == want
+        kept = bytes(x for x, m in zip(t.encode(), mask, strict=True) if not m)
+        want.append((d, len(mask), sum(mask), spans, hashlib.sha256(kept).hexdigest(), sum(less)))
+    return sorted(want, key=str)
+
+
+def suffix_rows(docs, **how):
+    rows = suffix_dedup.remove_repeats(docs, **how).collect()
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in rows), key=str)
+
+
+@pytest.mark.parametrize(("length", "short", "gram", "most"), [(400, 256, 100, 1500), (40, 40, 15, 1500), (40, 30, 10, 2)])
+def test_suffix_dedup_equals_brute_force(odd, empty, length, short, gram, most):
+    assert suffix_rows(odd, length=length, short=short, gram=gram, most=most) == brute_suffix(pairs_of(odd), length, short)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_splits_large_groups(spark):
+    """One phrase in many surroundings, some of which agree further on one side or the other."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    middle, sides = some(34), [some(20) for _ in range(6)]
+    texts = [some(10) + rng.choice(sides)[-rng.randint(1, 20) :] + middle + rng.choice(sides)[: rng.randint(1, 20)] + some(10) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert suffix_rows(docs, length=60, short=44, gram=12, most=3) == brute_suffix(list(enumerate(texts)), 60, 44)
+
+
+def test_suffix_dedup_takes_rows_not_ids(spark):
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(2))
+    rows = [(None, a), (5, a), (5, b), (5, "x" + b), (7, "q" * 30), (None, None), (8, b[:450]), (9, "z" * 300)]
+    got = suffix_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_suffix([(d, t or "") for d, t in rows], 400, 256)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_substring_dedup_equals_brute_force(odd, empty, parts):
     seen, want = set(), {}
@@ -154,6 +188,32 @@ def test_substring_dedup_equals_brute_force(odd, empty, parts):
     assert substring_dedup.dedup_windows(empty).count() == 0
 
 
+def test_substring_dedup_orders_rows_of_one_id(spark):
+    shared, one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "sab")
+    rows = [("b", f"{shared} {one}"), ("b", f"{shared} {two}"), ("a", one), (None, two), ("c", "too short"), ("b", f"{shared} {two}")]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id string, text string")).collect()]
+    by = collections.Counter(got)
+    assert by["a", 30, 0] == by[None, 30, 0] == by["c", 2, 0] == 1
+    # all rows of "b" lose what other ids hold; of its two texts one keeps the shared words
+    assert sorted(n for d, _, n in got if d == "b") in ([30, 30, 60], [30, 60, 60])
+
+
+def test_fingerprint_index_is_opened_again(spark, odd, tmp_path):
+    want = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_windows(odd, parts=1).collect())
+    spans, path = None, f"{tmp_path}/index"
+    for n, (batch, so_far) in enumerate(substring_dedup.batches_by_id(odd, 3, "doc_id")):
+        session = spark.newSession()
+        index = substring_dedup.FingerprintIndex.open(session, path) if n else substring_dedup.FingerprintIndex(session, path)
+        sure, unsure = index.add(substring_dedup.keyed(batch, "doc_id", "text"))
+        more = sure.unionByName(substring_dedup.stored(index.verify(unsure, substring_dedup.keyed(so_far, "doc_id", "text"))))
+        index.compact()
+        assert len(index.runs) == 1
+        spans = more if spans is None else spans.unionByName(more)
+    got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_spans(odd, spans, "doc_id", "text").collect())
+    assert got == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
 @pytest.mark.parametrize(("parts", "tasks"), [(1, 1), (1, 6), (3, 2)])
 def test_substring_dedup_keeps_rows_that_repeat_an_id(spark, parts, tasks):
     rng = random.Random(4)
