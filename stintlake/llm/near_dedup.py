@@ -8,7 +8,8 @@
    of a family), then other choices. Pairs whose members are in one component already need no
    comparison. Buckets that still hold several components after the pivot rounds are compared
    completely, so no candidate is skipped: small ones by a join, large ones in blocks of a
-   bounded number of members, of which only the surviving pairs leave the task.
+   bounded number of members and of bytes, of which only the surviving pairs leave the task.
+   A bucket of more than ``HOT`` members is spread over several keys for its joins.
 3. A pair's signatures are compared a batch at a time. With m of n values equal, the posterior
    of the similarity (uniform prior) gives the chance of reaching the threshold; below
    ``MISS`` the pair is dropped, most after the first batch.
@@ -37,7 +38,7 @@ from .components import stars
 
 VALUES, BATCH, MISS = 150, 15, 1e-6
 SALTS, ROUNDS, CACHED_WORDS = 16, 3, 200_000
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK, BLOCK_SHINGLES, HOT = 32, 256, 300_000, 500
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 31, VALUES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, VALUES, dtype=np.int64).astype(np.uint32)
@@ -166,16 +167,16 @@ def _family_links(large: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
     """Confirmed links (a, b) of members (key, node, comp) of large buckets.
 
     Large buckets that share members form a family, met once instead of once a band. A family
-    is cut into blocks of about ``BLOCK`` members, and each task compares one block with one
+    is cut into blocks of about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, and each task compares one block with one
     other: signatures by the sequential test, then full sets. Of the links of a task only
     those that join two of its components leave it."""
     fewest = least_matches(percent)
     head = large.groupBy("key").agg(F.min("node").alias("head"))
     roots = stars(large.join(head, "key").select(F.col("node").alias("a"), F.col("head").alias("b")))
     nodes = large.groupBy("node").agg(F.min("comp").alias("comp")).join(roots.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left")
-    nodes = nodes.select("node", "comp", F.coalesce("root", "node").alias("family"))
-    blocks = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = nodes.join(blocks, "family").join(reps.select(F.col("digest").alias("node"), "n", "sig"), "node").join(sets.select(F.col("digest").alias("node"), "shingles"), "node")
+    nodes = nodes.select("node", "comp", F.coalesce("root", "node").alias("family")).join(reps.select(F.col("digest").alias("node"), "n", "sig"), "node")
+    blocks = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = nodes.join(blocks, "family").join(sets.select(F.col("digest").alias("node"), "shingles"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
@@ -223,13 +224,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def _spread(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` of members joined with one row a bucket, (key, size, ...): a bucket has a salt for
+    each ``HOT`` members, so that no task gets more of a large one. The bucket rows are
+    written first: counted in the same stage, they would bind the join to whole keys."""
+    salts = F.ceil(F.col("size") / HOT).cast("long")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), salts))
+    right = stored(buckets, "buckets").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("size")
+    return left.join(right, ["key", "salt"]).drop("salt")
+
+
 def _open_buckets(members: DataFrame, star: DataFrame | None) -> DataFrame:
     """The members of buckets that hold more than one component, with their components."""
     if star is None:
         return members.withColumn("comp", F.col("node"))
-    known = members.join(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    return known.join(mixed, "key")
+    known = members.join(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left").select("key", "size", "node", "degree", F.coalesce("root", "node").alias("comp"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("size").alias("size")).where("x != y").select("key", "size")
+    return _spread(stored(known, "known"), mixed)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
@@ -244,10 +255,10 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         all_rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "n", "sig", "keys")).alias("r"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "r.id", "r.n", "r.sig", "r.keys"), "classes"
     )
     keyed = reps.select(F.col("digest").alias("node"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = stored(keyed.join(shared, "key"), "members")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = stored(members.select("key", "node").join(degree, "node"), "members")
+    degree = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
+    members = stored(members.join(degree, "node"), "members")
 
     # the texts that can be compared: those of classes with a band in common with another
     needed = reps.join(degree, reps["digest"] == degree["node"], "left_semi").select(F.col("id").alias(id_col), "digest")
@@ -264,16 +275,16 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         links = None
         if turn < rounds:
             order = [F.struct("degree", "node")] if turn == 0 else [F.struct(F.xxhash64("node", F.lit(turn * 8 + k)), "node") for k in range(2 * turn)]
-            pivots = open_now.groupBy("key").agg(*[F.max(o).alias(f"p{k}") for k, o in enumerate(order)])
-            pivots = pivots.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.node") for k in range(len(order))]))).alias("pivot"))
-            heads = pivots.join(open_now.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pc")), ["key", "pivot"])
-            pairs = open_now.join(heads, "key").where("comp != pc").select("node", "pivot")
+            chosen = [F.max(F.struct(o, F.struct(F.col("node").alias("pivot"), F.col("comp").alias("pc")).alias("head"))).alias(f"p{k}") for k, o in enumerate(order)]
+            pivots = open_now.groupBy("key").agg(*chosen, F.first("size").alias("size"))
+            heads = F.array_distinct(F.array(*[F.col(f"p{k}.head") for k in range(len(order))]))
+            pivots = pivots.select("key", "size", F.explode(heads).alias("h")).select("key", "size", "h.pivot", "h.pc")
+            pairs = _spread(open_now, pivots).where("comp != pc").select("node", "pivot")
         else:
-            sizes = open_now.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-            small = open_now.join(sizes.where(F.col("size") <= SMALL), "key")
+            small = open_now.where(F.col("size") <= SMALL)
             other = small.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pc"))
             pairs = small.join(other, "key").where("comp != pc and node < pivot").select("node", "pivot")
-            large = stored(open_now.join(sizes.where(F.col("size") > SMALL), "key"), "large")
+            large = open_now.where(F.col("size") > SMALL)
             links = None if large.isEmpty() else _family_links(large, reps, sets, percent)
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
