@@ -5,8 +5,9 @@ pieces there are of each length: at most ``capacity`` numbers, whatever the corp
 the longest length left is fixed and a bitset dynamic programme over the available lengths
 finds the fullest feasible rest; that combination is used as often as the counts allow, then
 removed. Since each round exhausts a length (or nearly), the plan has a bounded number of
-patterns. Pieces take their places by rank within their length, counted per hash bucket so
-that a length with a third of all rows is numbered in parallel.
+patterns. Pieces take their places by rank within their length, counted per hash bucket; a
+length has a bucket for each ``BUCKET_ROWS`` pieces, so that one with a third of all rows is numbered
+in parallel, and the driver sees one number a bucket.
 
 Defined results: null or empty text is the end token alone, one piece of length 1; rows that
 repeat a doc_id are packed as pieces of their own; an empty table gives no pieces.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CAPACITY, END, BUCKETS = 4096, 1, 64
+CAPACITY, END, BUCKET_ROWS = 4096, 1, 200_000
 CACHED_WORDS, CACHED_FORMS = 600_000, 150_000
 
 
@@ -150,11 +151,17 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "n", "base", "offset"]).sort_values(["length", "first"])
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` (stored: it is read twice) with sequence_id and offset."""
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most capacity x buckets rows
-    counted = sizes.toPandas()
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """``pieces`` (stored: it is read three times) with sequence_id and offset."""
+    known = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).collect()  # at most capacity rows
+    buckets = pd.Series({int(r["length"]): -(-r["_n"] // bucket_rows) for r in known}, dtype="int64")
+
+    @F.pandas_udf("bigint")
+    def bucket(length: pd.Series, spread: pd.Series) -> pd.Series:
+        return spread % length.map(buckets)
+
+    pieces = pieces.withColumn("_bucket", bucket("length", F.xxhash64(id_col, "piece", "ids_crc32")))
+    counted = pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")).toPandas()
     table = places(plan({int(k): int(v) for k, v in counted.groupby("length")["_n"].sum().items()}, capacity))
     first = counted.sort_values(["length", "_bucket"])
     first = dict(zip(zip(first["length"], first["_bucket"], strict=True), first.groupby("length")["_n"].cumsum() - first["_n"], strict=True))
