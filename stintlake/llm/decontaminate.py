@@ -7,11 +7,14 @@ Myers' bit-parallel distance verifies the item. Texts and items are compared in
 with each run of white space as one space.
 
 Items travel to the executors in slices of at most about ``SLICE_CHARS`` characters, however
-large the benchmark is; each slice is one pass over the documents.
+large the benchmark is; each slice is one pass over the documents, whose result is written
+before the next slice is fetched, so that the driver holds one slice at a time.
 
 Defined results: null, empty or blank items and texts match nothing; items that repeat are
-reported under each id; an item shorter than ``MIN_CHARS`` is not searched, since it would be
-found by chance.
+reported under each id; an item shorter than ``SHORT_CHARS`` has no edits and must stand between
+characters that are no letters or digits, since inside words it would be found by chance; rows
+that repeat a doc_id or have none are searched each for itself; extra columns are ignored by
+``find_contamination`` and kept by ``drop_contaminated``; empty tables give no rows found.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CHARS, MIN_CHARS, CHARS_AN_EDIT = 4_000_000, 20, 15
+from .common import stored
+
+SLICE_CHARS, SHORT_CHARS, CHARS_AN_EDIT = 4_000_000, 20, 15
 
 
 def normal(text: str | None) -> str:
@@ -32,7 +37,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    return m // CHARS_AN_EDIT
+    return m // CHARS_AN_EDIT if m >= SHORT_CHARS else 0
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -65,6 +70,11 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    return not (start and text[start].isalnum() and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 class Matcher:
     """All items of a slice; built once in each Python worker."""
 
@@ -86,7 +96,9 @@ class Matcher:
         text, spans, found = normal(text), {}, []
         for last, owners in self.automaton.iter(text):
             for n, offset in owners:
-                spans.setdefault(n, []).append(last + 1 - offset)
+                start, size = last + 1 - offset, len(self.items[n][1])
+                if size >= SHORT_CHARS or stands_alone(text, start, start + size):
+                    spans.setdefault(n, []).append(start)
         for n, starts in spans.items():
             key, item = self.items[n]
             most, best, at, ends = budget(len(item)), None, 0, []
@@ -105,24 +117,28 @@ class Matcher:
         return sorted(found)
 
 
+def slice_count(benchmark: DataFrame, text_col: str = "text", slice_chars: int = SLICE_CHARS) -> int:
+    total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(1, math.ceil(total / slice_chars))
+
+
 def item_slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", slice_chars: int = SLICE_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The normalised items, in slices whose size has a bound; a slice at a time is on the driver."""
-    total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = max(1, math.ceil(total / slice_chars))
+    n = slice_count(benchmark, text_col, slice_chars)
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     for k in range(n):
         rows = benchmark.where(F.col(text_col).isNotNull() & (part == k)).select(id_col, text_col).collect()
-        items = [(key, item) for key, text in rows if len(item := normal(text)) >= MIN_CHARS]
+        items = [(key, item) for key, text in rows if (item := normal(text))]
         if items:
             yield sorted(items)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """One row per (document, item) within the item's edit budget: id, item id, distance, end."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, distance int, end_at bigint"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_slices(benchmark, item_col, item_text):
+    out, single = docs.sparkSession.createDataFrame([], schema), slice_count(benchmark, item_text, slice_chars) == 1
+    for items in item_slices(benchmark, item_col, item_text, slice_chars):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items)
@@ -131,7 +147,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 columns = list(zip(*hits, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], (None if hits else pa.int64(), pa.int32(), pa.int64()), strict=True))], names=["id", "item", "distance", "end"])
 
-        out = out.unionByName(docs.select(id_col, text_col).mapInArrow(run, schema))
+        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        out = out.unionByName(found if single else stored(found, "found"))
     return out
 
 
@@ -147,8 +164,10 @@ def is_clean(items: list[tuple[int, str]], text_col: str) -> Column:
     return clean(text_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    for items in item_slices(benchmark, item_col, item_text):
-        docs = docs.where(is_clean(items, text_col))
+    single = slice_count(benchmark, item_text, slice_chars) == 1
+    for items in item_slices(benchmark, item_col, item_text, slice_chars):
+        clean = docs.where(is_clean(items, text_col))
+        docs = clean if single else stored(clean, "clean")
     return docs

@@ -178,6 +178,15 @@ def test_decontamination_equals_brute_force(spark, odd, empty):
     assert decontaminate.drop_contaminated(odd, bench.limit(0)).count() == 9
 
 
+def test_short_items_are_found_between_word_boundaries(spark):
+    bench = spark.createDataFrame([(1, "Ab c"), (2, "?!"), (3, "x" * 19), (4, "the answer is forty two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "an ab  C."), (2, "grab cab ab co"), (3, "what?!no"), (4, "x" * 20), (None, "AB c"), (6, "y" + "x" * 19), (7, "(" + "x" * 19 + ")"), (8, None), (9, "so the answer is forty-two then")], "doc_id long, text string")
+    want = {(1, 1), (3, 2), (None, 1), (7, 3), (9, 4)}
+    for size in (decontaminate.SLICE_CHARS, 10):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench, slice_chars=size).collect()} == want
+        assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, slice_chars=size).collect()} == {2, 4, 6, 8}
+
+
 def labelled(spark, n=600):
     rng = random.Random(2)
     docs, labels = [], []
@@ -202,6 +211,9 @@ def test_classifiers_on_held_out_rows(spark, odd, empty, tmp_path):
         held = [r for r in rows if r.held_out]
         assert {r.doc_id for r in held} == {k for k in range(600) if zlib.crc32(str(k).encode()) % 4 == 2}
         assert sum(r.predicted == label(r.doc_id) for r in held) / len(held) > 0.95
+    twice = labels.unionByName(labels.where("doc_id = 1").withColumn("quality", labels.quality * 0))
+    picked = queries.quality.labelled_sample(docs, twice, "quality", 10**6) if hasattr(queries.quality, "labelled_sample") else None
+    assert picked is None or [r._label for r in picked.where("doc_id = 1").collect()] in ([0.0], [])
     model, tox = quality.fit(docs, labels), toxicity.fit(docs, labels)
     assert quality.with_quality(odd.drop("n_chars"), model, out="q").count() == 9
     assert odd.select(toxicity.toxicity_score(tox, odd.text).alias("s")).where("s between 0 and 1").count() == 9
