@@ -241,6 +241,35 @@ def test_html_layout(spark, empty):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<style>@media print{.m{display:none}} /* .m{display:none} */</style><p class=m>seen", "seen"),
+        ("<style>@media screen{.m{display:none}}@media (max-width:9px){.n{display:none}}</style><p class=m>no<p class=n>seen", "seen"),
+        ("<style>@media print{a{color:red}.m{display:none}}.h{display:none}</style><p class=m>seen<p class=h>no", "seen"),
+        ("<style>.m{display:none} .m{display:block}</style><p class=m>seen", "seen"),
+        ("<style>p.m{display:none} .m{display:block}</style><p class=m>no", ""),
+        ("<style>.m{display:none!important} #i{display:block}</style><p class=m id=i>no", ""),
+        ("<style>.m{display:none}</style><p class=m style='display:block'>seen<p hidden>no", "seen"),
+        ("<style>div .m{display:none} ul>li.k{display:none} a:hover{display:none}</style><p class=m>one<div><b><i class=m>no</i></b>two</div><ul><li class=k>no<li><b class=k>three</b></ul><a>four</a>", "one\n\ntwo\n\n- three\n\nfour"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>seen</b> no</div>", "seen"),
+        ("<svg><title>no</title><desc>no</desc><text>drawn</text><path/></svg> after <math><mi>x</mi><mo>=</mo><annotation>no</annotation></math>", "drawn after x="),
+        ("<p>a<svg class=z /> b <svg><g/>c</svg>", "a b c"),
+        ("<input value=name><input type=hidden value=no><input type=submit value=Go>", "nameGo"),
+        ("<style>@font-face{font-family:x}@supports (display:grid){.m{display:none}}</style><p class=m>no<p>yes", "yes"),
+    ],
+)
+def test_html_visibility(html, want):
+    assert html_text.extract(html) == want
+
+
+def test_html_tables_stay_linear():
+    long = "word " * 5_000
+    out = html_text.extract("<table><tr><td>" + long + "<td>x" + "<tr><td>a<td>b" * 300 + "</table>")
+    assert len(out) < 120_000 and out.count("word") == 5_000 and max(map(len, out.split("\n"))) <= html_text.COLUMN + 5
+    assert html_text.extract("<p>" + "y" * 3_000_000).count("y") == 3_000_000
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
