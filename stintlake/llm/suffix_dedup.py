@@ -4,15 +4,15 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else is
 same search tells how many bytes lie in shorter repeats, of ``SHORT`` bytes, about a passage of
 fifty words; these are counted, not removed.
 
-1. Anchors (see ``anchored``) of all texts, about one a 79 bytes; only those whose hash occurs
+1. Anchors (see ``anchored``) of all texts, about one a 86 bytes; only those whose hash occurs
    twice can take part in a repeat.
 2. Occurrences with equal context are repeats as they stand; counting them combines before the
    shuffle, so copies by the thousand cost one row a task.
 3. Distinct contexts of one anchor share a shard. A shard's suffix array is built by induced
    sorting and its permuted common prefixes tell which strings start twice. Shards hold about
    ``SHARD`` bytes.
-4. An anchor with more than ``MOST`` distinct contexts would make a shard too large. Such a group is
-   split: a window reaches either so far to the left of the anchor, or so far to the right, so
+4. An anchor with more than ``MOST`` distinct contexts (some 2.5 MB, whose arrays take 300 MB)
+   would make a shard too large. Such a group is split: a window reaches either so far to the left of the anchor, or so far to the right, so
    contexts that share a window share the stretch there, and each half goes on with its own
    stretch as part of the group's key. Each split halves the room a window has, so after eight a
    group shares the whole window.
@@ -39,8 +39,8 @@ from .anchored import Roller, anchor_rows, covered, keyed, kind_of, mixed, with_
 from .common import stored
 from .suffixes import repeated_starts
 
-LENGTH, SHORT, GRAM = 400, 256, 100
-SHARD, MOST = 400_000, 1_500
+LENGTH, SHORT, GRAM = 400, 300, 130
+SHARD, MOST = 400_000, 5_000
 _SYMBOL = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -64,7 +64,8 @@ def _contexts(unsure: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(g, id, k, lo, n, m, data) of contexts (f, id, k, lo, hi, n), read from the texts; windows
     start in the first m bytes of the data, since those after belong to other contexts."""
     wanted = unsure.groupBy("id", "k").agg(F.collect_list(F.struct("f", "lo", "hi", "n")).alias("w"))
-    both = with_places(texts.dropDuplicates(["id", "k"]), wanted, "inner")
+    # equal rows give equal contexts; these occur twice (n > 1) and only serve to compare with
+    both = with_places(texts, wanted, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
