@@ -84,9 +84,10 @@ class FingerprintIndex:
     def _schema(self) -> str:
         return f"f bigint, c1 bigint, c2 bigint, id {self.kind}, k bigint, lo bigint, hi bigint, copies bigint"
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, placed: bool = False) -> str:
+        """A new run; ``placed`` rows are in their buckets' partitions already."""
         run, name = f"run-{uuid.uuid4().hex}", f"fingerprints_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "f").write.bucketBy(self.buckets, "f").sortBy("f", "c1", "c2").option("path", f"{self.path}/{run}").saveAsTable(name)
+        (rows if placed else rows.repartition(self.buckets, "f")).write.bucketBy(self.buckets, "f").sortBy("f", "c1", "c2").option("path", f"{self.path}/{run}").saveAsTable(name)
         self.tables.append(name)
         return run
 
@@ -141,8 +142,8 @@ class FingerprintIndex:
         for run in old:
             table = self._table(run).where("copies > 0")
             merged = table if merged is None else merged.unionByName(table)
-        best = merged.groupBy("f", "c1", "c2").agg(F.min(F.struct("id", "k", "lo", "hi", "copies")).alias("p")).select("f", "c1", "c2", "p.*")
-        self._commit([self._write(best)])
+        best = merged.repartition(self.buckets, "f").groupBy("f", "c1", "c2").agg(F.min(F.struct("id", "k", "lo", "hi", "copies")).alias("p")).select("f", "c1", "c2", "p.*")
+        self._commit([self._write(best, placed=True)])
         self.release()
         for run in old:
             delete_folder(self.spark, f"{self.path}/{run}")
