@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stintlake import plans
 from stintlake.functions import text as T
-from stintlake.operators import core
+from stintlake.operators import core, lookup
 from stintlake.operators.downsample import greedy_downsample
 from stintlake.plans.entities import alias_mentions
 from stintlake.sources import tables as S
@@ -148,3 +148,24 @@ def test_season_queries_over_all_keys(spark):
     drivers, seasons = (plans.QUERIES[n](spark, FOLDER) for n in ("season_results_all", "facet_season_results_all"))
     assert drivers.count() == orders.count() and drivers.select("o_custkey").distinct().count() == orders.select("o_custkey").distinct().count()
     assert seasons.count() == orders.where("o_orderdate is not null").count() and seasons.select("season").distinct().count() > 1
+
+
+def test_exclusive_nearest_takes_each_row_once(spark):
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    left = spark.createDataFrame([(1, 10, day(1)), (1, 11, day(1, 6)), (1, 12, day(9)), (2, 13, day(1)), (1, 14, None)], "g int, id long, at timestamp_ntz")
+    right = spark.createDataFrame([(1, 20, day(1, 5)), (1, 21, day(2, 12)), (1, 22, day(8)), (1, 23, day(10)), (3, 24, day(1))], "g int, id long, at timestamp_ntz")
+    got = {(r.left_id, r.right_id) for r in lookup.exclusive_nearest(left, right, "g", "at", 36).collect()}
+    assert got == {(10, 20), (11, 21), (12, 22)}
+    assert lookup.exclusive_nearest(left.limit(0), right, "g", "at", 36).count() == 0
+
+
+def test_exclusive_dates_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{FOLDER}/orders.parquet").toPandas().sort_values(["o_orderdate", "o_orderkey"])
+    want = set()
+    for _, g in rows.groupby("o_custkey"):
+        free = [(r.o_orderkey, r.o_orderdate) for r in g[g.o_orderstatus == "F"].itertuples()]
+        for r in g[g.o_orderstatus == "O"].itertuples():
+            near = [(abs(t - r.o_orderdate), n) for n, (_, t) in enumerate(free) if abs(t - r.o_orderdate) <= dt.timedelta(hours=36)]
+            if near:
+                want.add((r.o_orderkey, free.pop(min(near)[1])[0]))
+    assert {(r.left_id, r.right_id) for r in plans.QUERIES["exclusive_dates"](spark, FOLDER).collect()} == want
