@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+
 
 def top1_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``, which should be total."""
@@ -88,7 +88,7 @@ def follow_redirects(links: DataFrame, source: str, target: str) -> DataFrame:
     are make certain, ends at the smallest member of the cycle. A source has one target."""
     spark = links.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stintlake-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     now = links.select(source, target, F.least(source, target).alias("_least")).checkpoint()
     for _ in range(now.count().bit_length()):
         nxt = now.where(F.col(target).isNotNull()).select(F.col(source).alias(target), F.col(target).alias("_n"), F.col("_least").alias("_l"))

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, on one machine (tests), a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or tempfile.mkdtemp(prefix="stintlake-")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -12,5 +20,5 @@ def durable(df: DataFrame) -> DataFrame:
     (``spark.checkpoint.dir``); otherwise, as in tests, a temporary one is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stintlake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -17,6 +17,8 @@ STOP = ["a", "an", "and", "are", "as", "at", "for", "from", "in", "is", "of", "o
 TEAMS = ("alpine", "aston martin", "audi", "cadillac", "ferrari", "haas", "mclaren", "mercedes", "racing bulls", "red bull", "williams")
 LEADERS = ("chief technical officer", "technical chief", "tech chief", "technical boss")
 APPOINTS = ("joins", "join", "hires", "hire", "appoints", "appointed")
+CALENDAR_OF = ("formula 1", "formula one", "f1")
+EXHIBITION, EXHIBITION_WORDS = "max vs 100", ("verstappen", "100", "kart")
 WINDOW_DAYS, CLOSE_HOURS = 14, 72
 
 
@@ -29,9 +31,12 @@ def event_fingerprint(title: Column) -> Column:
     v = T.normal(title)
     season = F.nullif(F.regexp_extract(v, r"\b(20\d{2})\b", 1), F.lit(""))
     team = F.coalesce(*[F.when(F.contains(v, F.lit(t)), F.lit(t.replace(" ", "_"))) for t in TEAMS])
-    exhibition = F.contains(v, F.lit("max vs 100")) | (F.contains(v, F.lit("verstappen")) & F.contains(v, F.lit("100")) & F.contains(v, F.lit("kart")))
+    all_of = F.lit(True)
+    for word in EXHIBITION_WORDS:
+        all_of = all_of & F.contains(v, F.lit(word))
+    exhibition = F.contains(v, F.lit(EXHIBITION)) | all_of
     return (
-        F.when(season.isNotNull() & F.contains(v, F.lit("calendar")) & _any(v, ("formula 1", "formula one", "f1")), F.concat(F.lit("calendar_announcement:"), season))
+        F.when(season.isNotNull() & F.contains(v, F.lit("calendar")) & _any(v, CALENDAR_OF), F.concat(F.lit("calendar_announcement:"), season))
         .when(exhibition, F.lit("exhibition_event:max_vs_100"))
         .when(team.isNotNull() & _any(v, APPOINTS) & _any(v, LEADERS), F.concat(F.lit("personnel_appointment:"), team, F.lit(":technical_leadership")))
     )

@@ -128,8 +128,33 @@ SELECT l_orderkey, l_linenumber, l_suppkey, o_custkey, s_name AS overtaker, c_na
 def overtakes(lineitem, supplier, customer, orders):
     """DM12: an event with the names of both of its sides."""
     rows = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    rows = rows.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("overtaker")), "l_suppkey", "left").join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("overtaken")), "o_custkey", "left")
-    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "o_custkey", "overtaker", "overtaken")
+    events = rows.select(
+        F.col("l_orderkey").alias("session_id"), "l_linenumber", "l_suppkey", "o_custkey", F.col("l_suppkey").alias("overtaking_driver_number"),
+        F.concat(F.lit("s"), "l_suppkey").alias("overtaking_driver_entity_id"), F.concat(F.lit("c"), "o_custkey").alias("overtaken_driver_entity_id"),
+    )
+    named = lambda df, kind, key, name: df.select(F.concat(F.lit(kind), key).alias("id"), F.lower(name).alias("slug"), F.col(name).alias("display_name"))
+    entities = named(supplier, "s", "s_suppkey", "s_name").unionByName(named(customer, "c", "c_custkey", "c_name"))
+    entries = events.select("session_id", F.col("l_suppkey").alias("driver_number")).distinct().withColumns({"name_acronym": F.lit("ACR"), "team_colour": F.lit("00ff00")})
+    chart = overtake_chart(events, entities, entries).where("color = '#00FF00'")
+    return chart.select(F.col("session_id").alias("l_orderkey"), "l_linenumber", "l_suppkey", "o_custkey", F.col("overtaker_label").alias("overtaker"), F.col("overtaken_label").alias("overtaken"))
+
+
+@query("orders", "customer", "nation", "lineitem", sql="""
+WITH e AS (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, -l_linenumber, l_returnflag)) AS acronym FROM (SELECT l_orderkey, l_shipdate, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT o_orderkey, c_name AS driver, n_name AS team, coalesce(acronym, CASE WHEN c_acctbal > 0 THEN 'D' || c_custkey END) AS acronym, CASE WHEN o_orderpriority = '1-URGENT' THEN 'timing-purple' END AS token
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN e ON l_orderkey = o_orderkey""")
+def classification(orders, customer, nation, lineitem):
+    """DM19: results with the short name of the driver's latest session of the race, or else the best code."""
+    held = orders.join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey", "left")
+    results = held.select(F.col("o_orderkey").alias("race_id"), F.concat(F.lit("d"), "o_custkey").alias("driver_entity_id"), F.concat(F.lit("t"), "c_nationkey").alias("team_entity_id"), F.when(F.col("o_orderpriority") == "1-URGENT", 1).alias("fastest_lap_rank"))
+    lines = lineitem.where("l_quantity > 20").groupBy("l_orderkey", "l_shipdate", "l_linenumber").agg(F.max("l_returnflag").alias("flag")).withColumn("id", F.concat_ws("/", "l_linenumber", "l_orderkey", "l_shipdate"))
+    sessions = lines.select("id", F.col("l_orderkey").alias("race_id"), F.col("l_shipdate").alias("starts_at"))
+    entries = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("id").alias("session_id"), F.concat(F.lit("d"), "o_custkey").alias("driver_entity_id"), F.col("flag").alias("name_acronym"), F.lit("none").alias("team_colour"))
+    named = lambda df, kind, key, name: df.select(F.concat(F.lit(kind), key).alias("id"), F.lower(name).alias("slug"), F.col(name).alias("display_name"))
+    aliases = customer.where("c_acctbal > 0").select(F.concat(F.lit("d"), "c_custkey").alias("entity_id"), F.concat(F.lit("D"), "c_custkey").alias("alias"), F.lit("driver_code").alias("alias_type"), F.lit(True).alias("enabled"), F.lit(1).alias("confidence"))
+    entities = named(customer, "d", "c_custkey", "c_name").unionByName(named(nation, "t", "n_nationkey", "n_name"))
+    chart = classification_chart(results, entities, sessions, entries, aliases)
+    return chart.select(F.col("race_id").alias("o_orderkey"), F.col("driver_label").alias("driver"), F.col("team_label").alias("team"), F.col("driver_acronym").alias("acronym"), F.col("fastest_lap_token").alias("token"))
 
 
 @query("orders", sql="""

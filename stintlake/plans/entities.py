@@ -145,9 +145,11 @@ FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partk
 def token_jaccard_pairs(part):
     """ST03, ST04, DM37: similarity of token sets within blocks."""
     n = part.select("p_partkey", "p_brand", "p_size", T.tokens(F.col("p_name"), STOP).alias("t"))
-    o = n.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
-    both = n.join(o, ["p_brand", "p_size"]).where((F.col("p_partkey") < F.col("b")) & F.arrays_overlap("t", "u"))
-    return both.select(F.col("p_partkey").alias("a"), "b", F.round(T.jaccard(F.col("t"), F.col("u")), 6).alias("score"))
+    by_word = n.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.size("t").alias("na"), F.explode("t").alias("w"))
+    other = by_word.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("na").alias("nb"), "w")
+    # members of a block meet by a word they share, so pairs without one never form
+    shared = by_word.join(other, ["p_brand", "p_size", "w"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
+    return shared.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("score"))
 
 
 @query("nation", "customer", sql="""
@@ -250,10 +252,10 @@ SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.w = b.w THEN 'exact_title'
 WHERE a.w = b.w OR len(list_intersect(a.w, b.w)) >= 1""")
 def blocked_candidates(part):
     """JN17, SO03: candidate pairs of different providers that meet in a block."""
-    p = part.select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"), "p_size", "p_type")
-    o = p.select(F.col("p_partkey").alias("right_id"), F.col("p_brand").alias("brand"), F.col("w").alias("v"), "p_size", "p_type")
-    both = p.join(o, ["p_size", "p_type"]).where("p_brand <> brand and p_partkey < right_id").where(F.arrays_overlap("w", "v"))
-    return both.select(F.col("p_partkey").alias("left_id"), "right_id", F.when(F.col("w") == F.col("v"), "exact_title").otherwise("shared").alias("method"))
+    p = part.select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"), "p_size", "p_type").withColumn("word", F.explode(F.array_distinct("w")))
+    o = p.select(F.col("p_partkey").alias("right_id"), F.col("p_brand").alias("brand"), F.col("w").alias("v"), "p_size", "p_type", "word")
+    both = p.join(o, ["p_size", "p_type", "word"]).where("p_brand <> brand and p_partkey < right_id")
+    return both.select(F.col("p_partkey").alias("left_id"), "right_id", F.when(F.col("w") == F.col("v"), "exact_title").otherwise("shared").alias("method")).distinct()
 
 
 @query("orders", sql="""

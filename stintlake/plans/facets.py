@@ -201,11 +201,12 @@ def facet_rows(tables: Mapping[str, DataFrame], target: str, name: str, key, off
 
 
 @query("orders", "customer", "nation", sql="""
-SELECT o_orderkey AS id, o_totalprice AS points, year(o_orderdate) AS season, month(o_orderdate) AS round, 'r' || month(o_orderdate) AS race_key, c_name AS driver_name, n_name AS team_name
-FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE year(o_orderdate) = 1995""")
+SELECT year(o_orderdate) AS season, 'r' || month(o_orderdate) AS race_key, n_name AS team_name, count(*) AS results, max(o_totalprice) AS most
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderdate IS NOT NULL GROUP BY 1, 2, 3""")
 def facet_season_results(orders, customer, nation):
-    """DM29: the race results of a season, with orders as results and their months as races."""
-    return results_of_season(orders, customer, nation, 1995)
+    """DM29, AG10: the race results of all seasons, with orders as results and their months as races, by race and team."""
+    rows = results_of_season(orders, customer, nation, F.col("season"))
+    return rows.groupBy("season", "race_key", "team_name").agg(F.count(F.lit(1)).alias("results"), F.max("points").alias("most"))
 
 
 @query("orders", "customer", "nation", sql="""

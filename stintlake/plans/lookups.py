@@ -232,8 +232,8 @@ def story_list(orders, lineitem):
 
 
 @query("orders", "lineitem", sql="""
-WITH RECURSIVE link AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN o_orderkey // 2 END AS into_ FROM orders), walk AS (SELECT k AS start, k AS at FROM link UNION ALL SELECT start, into_ FROM walk JOIN link ON k = at WHERE into_ IS NOT NULL AND into_ <> at),
-fin AS (SELECT start, arg_min(at, at) AS story FROM walk GROUP BY 1), e AS (SELECT story, count(*) AS n, max(l_shipdate) AS latest FROM fin JOIN lineitem ON l_orderkey = start GROUP BY 1)
+WITH RECURSIVE link AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN o_orderkey // 2 END AS into_ FROM orders), walk AS (SELECT k AS start, k AS pos FROM link UNION ALL SELECT start, into_ FROM walk JOIN link ON k = pos WHERE into_ IS NOT NULL AND into_ <> pos),
+fin AS (SELECT start, min(pos) AS story FROM walk GROUP BY 1), e AS (SELECT story, count(*) AS n, max(l_shipdate) AS latest FROM fin JOIN lineitem ON l_orderkey = start GROUP BY 1)
 SELECT start AS o_orderkey, story, coalesce(n, 0) AS evidence, latest FROM fin LEFT JOIN e USING (story)""")
 def story_detail(orders, lineitem):
     """DM33, JN19: for every story asked for, the surviving story and the evidence of all that were merged into it."""

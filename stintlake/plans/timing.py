@@ -141,26 +141,27 @@ def position_trace(orders):
 
 
 @query("events", sql="""
-WITH x AS (SELECT user_id, arg_max(value, ts) AS last_value, max(ts) AS last_ts, max(ts) FILTER (WHERE event_type = 'click') AS click_ts, max(ts) FILTER (WHERE event_type = 'purchase') AS purchase_ts, count(*) AS laps FROM events GROUP BY user_id),
+WITH x AS (SELECT user_id, arg_max(value, (ts, event_id)) AS last_value, max(ts) AS last_ts, max(ts) FILTER (WHERE event_type = 'click') AS click_ts, max(ts) FILTER (WHERE event_type = 'purchase') AS purchase_ts, count(*) AS laps FROM events GROUP BY user_id),
 b AS (SELECT max(last_value) AS lead FROM x)
 SELECT user_id, laps, last_value, last_ts, click_ts, purchase_ts, CASE WHEN last_value = lead THEN 'LEADER' ELSE printf('+%.3f', lead - last_value) END AS gap FROM x, b""")
 def timing_tower(events):
     """DM15: the latest of each kind per driver in one aggregation, and the gap to the leader."""
     at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
-    x = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("laps"), F.max_by("value", "ts").alias("last_value"), F.max("ts").alias("last_ts"), at("click").alias("click_ts"), at("purchase").alias("purchase_ts"))
+    x = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("laps"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.max("ts").alias("last_ts"), at("click").alias("click_ts"), at("purchase").alias("purchase_ts"))
     gap = F.when(F.col("last_value") == F.col("lead"), "LEADER").otherwise(F.format_string("+%.3f", F.col("lead") - F.col("last_value")))
     return with_scalar(x, x.agg(F.max("last_value").alias("lead"))).withColumn("gap", gap).drop("lead")
 
 
 @query("events", sql="""
 WITH t AS (SELECT max(ts) - INTERVAL 1 DAY AS at FROM events), x AS (SELECT e.* FROM events e, t WHERE e.ts <= t.at),
-f AS (SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM x GROUP BY user_id), b AS (SELECT min(value) AS low, max(value) AS high FROM x)
+f AS (SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM x GROUP BY user_id), b AS (SELECT min(value) AS low, max(value) AS high FROM x)
 SELECT f.*, b.low, b.high FROM f, b""")
 def track_frame(events):
     """DM16, AG15: where everyone is at an instant, with the bounding box."""
     at = events.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("at"))
     x = with_scalar(events, at).where("ts <= at")
-    frame = x.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", "ts").alias("event_id"), F.max_by("value", "ts").alias("value"))
+    last = F.struct("ts", "event_id")
+    frame = x.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", last).alias("event_id"), F.max_by("value", last).alias("value"))
     return with_scalar(frame, x.agg(F.min("value").alias("low"), F.max("value").alias("high")))
 
 
@@ -177,24 +178,26 @@ def fastest_window_path(events):
 WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until FROM orders WHERE o_orderpriority LIKE '1%')
 SELECT o.o_orderkey, arg_max(s.o_orderkey, s.o_orderkey) AS stint FROM orders o JOIN s ON o.o_custkey = s.o_custkey AND o.o_orderdate >= s.o_orderdate AND (s.until IS NULL OR o.o_orderdate < s.until) GROUP BY 1""")
 def range_lookup(orders):
-    """JN07: the stint that covers an order; the last is open."""
-    stints = with_interval_end(orders.where("o_orderpriority like '1%'").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey")
-    s = stints.select("o_custkey", F.col("o_orderkey").alias("stint"), F.col("o_orderdate").alias("since"), "until")
-    hit = orders.join(s, "o_custkey").where("o_orderdate >= since and (until is null or o_orderdate < until)")
-    return hit.groupBy("o_orderkey").agg(F.max("stint").alias("stint"))
+    """JN07: the stint that covers an order; the last is open. A stint ends where the next begins, so
+    the one that covers a time is the latest begun: one sort a customer, no range join."""
+    stints = orders.where("o_orderpriority like '1%'").select("o_custkey", F.col("o_orderkey").alias("stint"), "o_orderdate")
+    hit = asof_join(orders.select("o_custkey", "o_orderkey", "o_orderdate"), stints, ["o_custkey"], "o_orderdate", "stint")
+    return hit.where("r_stint is not null").select("o_orderkey", F.col("r_stint").alias("stint"))
 
 
 @query("supplier", "lineitem", sql="""
-WITH m AS (SELECT l_suppkey, min(l_extendedprice) AS q1, min(CASE WHEN l_quantity > 5 THEN l_extendedprice END) AS q2, min(CASE WHEN l_quantity > 49 AND l_tax > 0.07 THEN l_extendedprice END) AS q3 FROM lineitem GROUP BY 1),
-u AS (SELECT l_suppkey, 'q1' AS segment, q1 AS time FROM m UNION ALL SELECT l_suppkey, 'q2', q2 FROM m UNION ALL SELECT l_suppkey, 'q3', q3 FROM m)
-SELECT s_name, segment, time, CASE WHEN time IS NOT NULL THEN dense_rank() OVER (PARTITION BY segment ORDER BY time ASC NULLS LAST) END AS pos FROM u JOIN supplier ON s_suppkey = l_suppkey""")
+WITH m AS (SELECT l_orderkey, l_suppkey, min(l_extendedprice) AS q1, min(CASE WHEN l_quantity > 5 THEN l_extendedprice END) AS q2, min(CASE WHEN l_quantity > 25 THEN l_extendedprice END) AS q3 FROM lineitem GROUP BY 1, 2),
+u AS (SELECT l_orderkey, l_suppkey, 'q1' AS segment, q1 AS time FROM m UNION ALL SELECT l_orderkey, l_suppkey, 'q2', q2 FROM m UNION ALL SELECT l_orderkey, l_suppkey, 'q3', q3 FROM m)
+SELECT l_orderkey, s_name, segment, time, CASE WHEN time IS NOT NULL THEN dense_rank() OVER (PARTITION BY l_orderkey, segment ORDER BY time ASC NULLS LAST) END AS pos FROM u JOIN supplier ON s_suppkey = l_suppkey""")
 def segment_ranking(supplier, lineitem):
-    """AJ09, WN03, DM22: three segments as rows, ranked where there is a time."""
+    """AJ09, WN03, DM22: three segments of a session as rows, ranked where there is a time. Sessions are
+    orders, so a window holds the few cars of one."""
     price, qty = F.col("l_extendedprice"), F.col("l_quantity")
-    m = lineitem.groupBy("l_suppkey").agg(F.min(price).alias("q1"), F.min(F.when(qty > 5, price)).alias("q2"), F.min(F.when((qty > 49) & (F.col("l_tax") > 0.07), price)).alias("q3"))
-    u = m.unpivot("l_suppkey", ["q1", "q2", "q3"], "segment", "time")
-    rank = F.dense_rank().over(Window.partitionBy("segment").orderBy(F.col("time").asc_nulls_last()))
-    return u.withColumn("pos", F.when(F.col("time").isNotNull(), rank)).join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").select("s_name", "segment", "time", "pos")
+    m = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.min(price).alias("q1"), F.min(F.when(qty > 5, price)).alias("q2"), F.min(F.when(qty > 25, price)).alias("q3"))
+    u = m.unpivot(["l_orderkey", "l_suppkey"], ["q1", "q2", "q3"], "segment", "time")
+    rank = F.dense_rank().over(Window.partitionBy("l_orderkey", "segment").orderBy(F.col("time").asc_nulls_last()))
+    named = u.withColumn("pos", F.when(F.col("time").isNotNull(), rank)).join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    return named.select("l_orderkey", "s_name", "segment", "time", "pos")
 
 
 @query("orders", "customer", sql="""
@@ -210,10 +213,11 @@ def standings_by_round(orders, customer):
 
 @query("orders", "lineitem", sql="""
 WITH l AS (SELECT l_orderkey, count(*) AS items, sum(l_quantity) AS qty FROM lineitem GROUP BY 1)
-SELECT o_orderkey, o_orderdate, o_orderstatus, items, qty FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE o_custkey = 7""")
+SELECT o_custkey, year(o_orderdate) AS season, count(*) AS results, coalesce(sum(items), 0)::BIGINT AS items, coalesce(sum(qty), 0)::DOUBLE AS qty FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1, 2""")
 def season_results(orders, lineitem):
-    """DM21, JN02: one key's rows with pre-aggregated facts."""
-    return results_of(orders.where("o_custkey = 7"), lineitem).drop("o_custkey")
+    """DM21, JN02: every key's seasons, from rows with pre-aggregated facts."""
+    rows = results_of(orders, lineitem).groupBy("o_custkey", F.year("o_orderdate").alias("season"))
+    return rows.agg(F.count(F.lit(1)).alias("results"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("qty"), F.lit(0.0)).alias("qty"))
 
 
 @query("orders", "lineitem", sql="""

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake.operators.core import keyed_merge
+from stintlake.operators.shared import shared_folder
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stintlake-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def newest(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The newest generation that was written whole, also after a restart that found nothing new."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/gen=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    numbers = [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+    return spark.read.schema(schema).parquet(f"{target}/gen={max(numbers)}") if numbers else spark.createDataFrame([], schema)
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFrame:
@@ -27,7 +34,8 @@ def run_merge(stream: DataFrame, target: str, keys: list[str], version: str) ->
     written as the next one, so a replayed batch writes the same rows and nothing is read from the
     path that is written."""
     spark = stream.sparkSession
-    order = [F.col(version).desc_nulls_last()]
+    # rows of one version are told apart by all their columns, so a replay makes the same choice
+    order = [F.col(version).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in stream.columns if c not in (*keys, version)]]
 
     def merge(batch: DataFrame, number: int) -> None:
         old = spark.read.schema(batch.schema).parquet(f"{target}/gen={number - 1}") if number else batch.limit(0)
@@ -35,8 +43,7 @@ def run_merge(stream: DataFrame, target: str, keys: list[str], version: str) ->
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_log").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(stream.schema).parquet(f"{target}/gen={last}")
+    return newest(spark, target, stream.schema)
 
 
 def merged_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +52,8 @@ def merged_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """TS01: hourly counts of a stream whose events may be 30 minutes late."""
-    events = file_stream(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "30 minutes")
+    """TS01: daily counts of a whole stream: complete mode keeps all windows, so no event is late."""
+    events = file_stream(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
     counts = events.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     target = _folder(spark)
     flat = counts.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
@@ -56,5 +63,14 @@ def stream_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     query = flat.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{target}/_log").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(flat.schema).parquet(f"{target}/gen={last}")
+    return newest(spark, target, flat.schema)
+
+
+def closed_windows(stream: DataFrame, on: str, keys: list[str], size: str, late: str, target: str) -> DataFrame:
+    """TS01: counts of windows that are over, each written once, when the watermark has passed its end.
+    State holds open windows only; a row that is later than ``late`` is not counted."""
+    counts = stream.withWatermark(on, late).groupBy(F.window(on, size).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    flat = counts.select(F.col("w.start").alias("start"), *keys, "n")
+    query = flat.writeStream.outputMode("append").format("parquet").option("path", f"{target}/closed").option("checkpointLocation", f"{target}/_log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(flat.schema).parquet(f"{target}/closed")

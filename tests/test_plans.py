@@ -169,3 +169,22 @@ def test_exclusive_dates_equal_brute_force(spark):
             if near:
                 want.add((r.o_orderkey, free.pop(min(near)[1])[0]))
     assert {(r.left_id, r.right_id) for r in plans.QUERIES["exclusive_dates"](spark, FOLDER).collect()} == want
+
+
+def test_newest_generation_and_late_rows(spark, tmp_path):
+    from stintlake.streaming import incremental
+
+    schema = "k int, version int, note string, at timestamp"
+    write = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    write("a", [(1, 1, "x", at(1)), (1, 1, "y", at(1)), (2, 5, "z", at(1))])
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    merge = lambda: {(r.k, r.version, r.note) for r in incremental.run_merge(read(), f"{tmp_path}/out", ["k"], "version").collect()}
+    assert merge() == {(1, 1, "y"), (2, 5, "z")} == merge()
+    counts = lambda: {(r.start.hour, r.n) for r in incremental.closed_windows(read(), "at", ["k"], "1 hour", "1 hour", f"{tmp_path}/win").where("k < 3").collect()}
+    counts()
+    write("b", [(1, 2, "n", at(9)), (2, 4, "old", at(9))])
+    assert merge() == {(1, 2, "n"), (2, 5, "z")} == merge()
+    counts()
+    write("c", [(1, 3, "late", at(1)), (9, 1, "q", at(20))])
+    assert counts() >= {(1, 2), (1, 1)} and (1, 3) not in counts()
