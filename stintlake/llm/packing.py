@@ -6,8 +6,8 @@ the longest length left is fixed and a bitset dynamic programme over the availab
 finds the fullest feasible rest; that combination is used as often as the counts allow, then
 removed. Since each round exhausts a length (or nearly), the plan has a bounded number of
 patterns. Pieces take their places by rank within their length, counted per hash bucket; a
-length has a bucket for each ``BUCKET_ROWS`` pieces, so that one with a third of all rows is numbered
-in parallel, and the driver sees one number a bucket.
+length has a bucket for each ``BUCKET_ROWS`` pieces, or for each ``FEW_ROWS`` up to ``LEAST_BUCKETS``, so that
+one with a third of all rows is numbered in parallel, and the driver sees one number a bucket.
 
 Defined results: null or empty text is the end token alone, one piece of length 1; rows that
 repeat a doc_id are packed as pieces of their own; an empty table gives no pieces.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CAPACITY, END, BUCKET_ROWS = 4096, 1, 200_000
+CAPACITY, END = 4096, 1
+BUCKET_ROWS, FEW_ROWS, LEAST_BUCKETS = 200_000, 500, 64
 CACHED_WORDS, CACHED_FORMS = 600_000, 150_000
 
 
@@ -154,7 +155,7 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id") -> DataFrame:
     """``pieces`` (stored: it is read three times) with sequence_id and offset."""
     known = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).collect()  # at most capacity rows
-    buckets = pd.Series({int(r["length"]): -(-r["_n"] // bucket_rows) for r in known}, dtype="int64")
+    buckets = pd.Series({int(r["length"]): max(-(-r["_n"] // bucket_rows), min(-(-r["_n"] // FEW_ROWS), LEAST_BUCKETS)) for r in known}, dtype="int64")
 
     @F.pandas_udf("bigint")
     def bucket(length: pd.Series, spread: pd.Series) -> pd.Series:
