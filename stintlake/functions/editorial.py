@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,6 +66,39 @@ def local_moment(text: Column) -> Column:
     return moment - F.make_dt_interval(hours=F.when(part(3) == "CEST", 2).otherwise(1))
 
 
+# fixed values: phrases of titles that hold no story, for all sources and for the teams' own
+NO_STORY = (
+    "daily discussion thread", "ask r/formula1 anything", "featured comment", "send us your questions", "q&a", "in photos", "in pictures",
+    "through our lens", "spotted in the paddock", "creator platform", "make your 2026 spanish gp predictions", "watch behind the scenes",
+)
+NO_TEAM_STORY = (
+    "a seat at the table", "five things you can t teach", "some assembly required", "the team takes over the farmer s dog pub", "explore budapest",
+    "fan designed stickers", "time pieces", "hospitality experience", "football inspired livery and kit", "hot lap car",
+)
+STRONG_RELATIONS = ("subject", "directly_involved")
+STORY_REASONS = ("article_default_v2", "community_with_strong_entity")
+
+
+def story_reason(title: Column, source_class: Column, relations: Column) -> Column:
+    """Why an item makes a story or not; ``relations`` are those of the entities it names, null for none."""
+    said = T.normal(F.coalesce(clean_text(title), F.lit("")))
+    any_of = lambda phrases: reduce(Column.__or__, [F.contains(said, T.normal(F.lit(p))) for p in phrases])
+    own = F.coalesce(source_class, F.lit("")) == "first_party_team"
+    strong = F.coalesce(F.exists(relations, lambda r: r.isin(*STRONG_RELATIONS)), F.lit(False))
+    rules = [
+        (any_of(NO_STORY), "non_story_container"),
+        (own & any_of(NO_TEAM_STORY), "first_party_evergreen_or_promo"),
+        (own & said.startswith("explore "), "first_party_destination_content"),
+        ((source_class == "community_signal") & ~strong, "community_without_strong_entity"),
+        (source_class == "community_signal", "community_with_strong_entity"),
+    ]
+    return T.cascade(rules, "article_default_v2")
+
+
+def is_story(reason: Column) -> Column:
+    return reason.isin(*STORY_REASONS)
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a summary that are long enough to quote."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= SHORT_SENTENCE)

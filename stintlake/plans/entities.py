@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from stintlake.functions import text as T
 from stintlake.functions.results import status_class
-from stintlake.operators.core import follow_redirects, page, union_all, with_scalar
+from stintlake.operators.core import follow_redirects, page, union_all
+from stintlake.operators.mentions import alias_mentions
 from stintlake.sources.tables import article_links
 
 from .registry import query
@@ -161,16 +162,6 @@ def alias_match(nation, customer):
     return alias_mentions(texts, "text", nation, "n_name").select("c_custkey", "n_nationkey")
 
 
-def alias_mentions(texts, text, entities, alias):
-    """The pairs of a text and an entity whose alias it holds. Texts are exploded into their n-grams up to
-    the longest alias, so the match is an equi-join, not a test of every alias on every text."""
-    aliases = entities.withColumn("gram", T.normal(F.col(alias)))
-    longest = aliases.agg(F.coalesce(F.max(F.size(F.split("gram", " "))), F.lit(1)).alias("longest"))
-    rows = with_scalar(texts.withColumn("w", F.split(T.normal(F.col(text)), " ")), longest)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.greatest("longest", F.lit(1)), F.size("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))))
-    return rows.select(*texts.columns, F.explode(F.array_distinct(grams)).alias("gram")).join(aliases, "gram").drop("gram")
-
-
 @query("part", sql="""
 SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS' THEN 'brass' WHEN p_type LIKE 'PROMO%' THEN 'promo' WHEN regexp_matches(p_type, 'STEEL|TIN') THEN 'metal' ELSE 'other' END AS class FROM part""")
 def taxonomy_cascade(part):
