@@ -20,7 +20,7 @@ m AS (SELECT c_custkey, own, n AS entity_id, CASE seg WHEN 'FURNITURE' THEN 'men
 SELECT c_custkey, entity_id, relation_type, confidence, match_method, matched_alias, detected_in FROM m
 UNION ALL SELECT c_custkey, 0, 'context', 100, 'source_context', 'NATION_0', 'source' FROM i WHERE own AND n <> 0""")
 def item_entities(customer, nation, region):
-    """DM36, DM35, AG22, ST24, ST25, DX28, DX34, DX35: people (regions), teams (nations) and a race that each item (a
+    """DM36, DM35, AG22, ST24, ST25, DX34, DX35: people (regions), teams (nations) and a race that each item (a
     customer) names in its four texts, with relation and confidence; the source's own team as context."""
     rows = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey"))
     is_ = {s: F.col("c_mktsegment") == s for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")}
