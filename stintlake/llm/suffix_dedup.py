@@ -61,9 +61,9 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _contexts(unsure: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(g, id, k, lo, n, m, data) of contexts (f, id, k, lo, hi, n), read from the texts; windows
-    start in the first m bytes of the data, since those after belong to other contexts."""
-    wanted = unsure.groupBy("id", "k").agg(F.collect_list(F.struct("f", "lo", "hi", "n")).alias("w"))
+    """(g, id, k, lo, n, m, data, size) of contexts (f, id, k, lo, hi, n, size), read from the texts;
+    windows start in the first m bytes of the data, since those after belong to other contexts."""
+    wanted = unsure.groupBy("id", "k").agg(F.collect_list(F.struct("f", "lo", "hi", "n", "size")).alias("w"))
     # equal rows give equal contexts; these occur twice (n > 1) and only serve to compare with
     both = with_places(texts, wanted, "inner")
 
@@ -76,14 +76,15 @@ def _contexts(unsure: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     raw = piece.column(2)[row].as_py().encode("utf-8", "surrogatepass")
                     for w in piece.column(3)[row].as_py():
                         owner.append(row)
-                        out.append((w["f"], w["lo"], w["n"], w["hi"] - w["lo"] + 1, raw[w["lo"] : w["hi"] + length]))
+                        out.append((w["f"], w["lo"], w["n"], w["hi"] - w["lo"] + 1, raw[w["lo"] : w["hi"] + length], w["size"]))
                 if out:
-                    f, lo, n, m, data = zip(*out, strict=True)
+                    f, lo, n, m, data, size = zip(*out, strict=True)
                     at_ = pa.array(owner)
                     numbers = [pa.array(x, pa.int64()) for x in (lo, n, m)]
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), piece.column(0).take(at_), piece.column(1).take(at_), *numbers, pa.array(data, pa.binary())], names=["g", "id", "k", "lo", "n", "m", "data"])
+                    columns = [pa.array(f, pa.int64()), piece.column(0).take(at_), piece.column(1).take(at_), *numbers, pa.array(data, pa.binary()), pa.array(size, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "k", "lo", "n", "m", "data", "size"])
 
-    return both.select("id", "k", "text", "w").mapInArrow(run, f"g bigint, id {kind_of(texts, 'id')}, k bigint, lo bigint, n bigint, m bigint, data binary")
+    return both.select("id", "k", "text", "w").mapInArrow(run, f"g bigint, id {kind_of(texts, 'id')}, k bigint, lo bigint, n bigint, m bigint, data binary, size bigint")
 
 
 def _by_shard(contexts: DataFrame, length: int, short: int, id_kind: str) -> DataFrame:
@@ -184,11 +185,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = stored(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
     sure = rows.join(contexts.where("n > 1").select("f", "c1", "c2"), ["f", "c1", "c2"], "left_semi").select("id", "k", "lo", "hi", whole).unionByName(copied)
     unsure = contexts.join(several, "f").select("f", "n", "p.*", "size")
-    found = stored(_contexts(unsure.where(F.col("size") <= most), texts, length), "contexts")
-    spans = sure.unionByName(_by_shard(found, length, short, id_kind))
-    large = unsure.where(F.col("size") > most)
+    # small and large groups are read in one pass, since it shuffles the texts
+    found = stored(_contexts(unsure, texts, length), "contexts")
+    spans = sure.unionByName(_by_shard(found.where(F.col("size") <= most), length, short, id_kind))
     if not several.where(F.col("size") > most).isEmpty():
-        spans = spans.unionByName(_by_parts(_contexts(large, texts, length), length, short, gram, most, id_kind))
+        large = found.where(F.col("size") > most).drop("size")
+        spans = spans.unionByName(_by_parts(large, length, short, gram, most, id_kind))
     return stored(spans, "spans")
 
 
