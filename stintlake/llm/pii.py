@@ -5,16 +5,18 @@ kind; a match that fails its check is dropped and not retried. They are always k
 kinds (iban, ssn, local_phone) are kept when their score, after context, reaches ``threshold``
 and they overlap no base span.
 
-Everything is linear in the text: an address is found from its ``@`` outwards, digit groups
-start only where a run of digits starts.
+Patterns are linear in the text (an address is found from its ``@`` outwards, digit groups
+start only where a run of digits starts); spans are sorted, and overlaps are found by bisection.
 
-Defined results: null or empty text has no spans; offsets are code points, end exclusive.
+Defined results: null or empty text has no spans; offsets are code points, end exclusive; spans of the same start stand in
+the order of their kinds; rows that repeat an id are read each by its own text; an empty table has no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,6 +98,17 @@ def _score(kind: str, text: str, start: int, end: int, window: int) -> float:
     return min(1.0, PRIOR[kind] + 0.15 * min(hits, 2))
 
 
+def _merged(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that the spans cover, in order."""
+    starts, ends = [], []
+    for start, end in sorted((s, e) for _, s, e, _ in spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start), ends.append(end)
+    return starts, ends
+
+
 def find_spans(text: str | None, threshold: float = 0.5, window: int = 40) -> list[tuple[str, int, int, float]]:
     """All spans as (kind, start, end, score), by start and then kind."""
     if not text:
@@ -104,9 +117,11 @@ def find_spans(text: str | None, threshold: float = 0.5, window: int = 40) -> li
     found = [(k, s, e, _score(k, text, s, e, window)) for k, s, e in base]
     if _DIGIT.search(text):
         for kind, pattern, check in (("iban", _IBAN, mod97), ("ssn", _SSN, None), ("local_phone", _LOCAL_PHONE, None)):
+            starts, ends = _merged(found)  # matches of one kind don't overlap
             for m in pattern.finditer(text):
                 start, end = m.span()
-                if (check is None or check(m.group())) and not any(s < end and start < e for _, s, e, _ in found):
+                before = bisect_left(starts, end) - 1
+                if (check is None or check(m.group())) and (before < 0 or ends[before] <= start):
                     score = _score(kind, text, start, end, window)
                     if score >= threshold:
                         found.append((kind, start, end, score))
