@@ -58,6 +58,7 @@ IMPLIED_ENDS = {
 FOREIGN = ("svg", "math")
 SHOWN_INPUTS = frozenset("text search email url tel number date time submit reset button".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_OPENING = re.compile("<[A-Za-z/!?]")
 
 
 class Node:
@@ -140,6 +141,12 @@ class TreeBuilder(HTMLParser):
             self._cut(len(self.open) - 1)
             self.clear_cdata_mode()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """CDATA apart, a marked section is a bogus comment: it ends at the next bracket."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, 0)
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
             self.in_head = False
@@ -308,6 +315,8 @@ def render(root: Node, sheet: Sheet) -> str:
             elif tag == "li" and seen:
                 depth = max(len(lists) - 1, 0)
                 number = lists[-1] if lists else None
+                if number is not None and re.fullmatch(r"-?[0-9]{1,9}", node.attrs.get("value", "")):
+                    lists[-1] = number = int(node.attrs["value"])
                 flow.mark = "  " * depth + (f"{number}. " if number is not None else "- ")
                 if number is not None:
                     lists[-1] += 1
@@ -315,12 +324,14 @@ def render(root: Node, sheet: Sheet) -> str:
                 flow.indent.append("    ")
             elif tag == "pre" or tag == "textarea":
                 keep += 1
+                if seen and tag == "textarea" and not node.children:
+                    flow.text(node.attrs.get("placeholder", ""), False)
             elif tag == "br":
                 flow.end_line(True)
             elif tag == "img" and seen and node.attrs.get("alt"):
                 flow.text(node.attrs["alt"], False)
-            elif tag == "input" and seen and node.attrs.get("value") and (node.attrs.get("type") or "text").lower() in SHOWN_INPUTS:
-                flow.text(node.attrs["value"], False)
+            elif tag == "input" and seen and (node.attrs.get("type") or "text").lower() in SHOWN_INPUTS:
+                flow.text(node.attrs.get("value") or node.attrs.get("placeholder", ""), False)
         else:
             if tag in ("td", "th") and tables:
                 cell = flows.pop().done()
@@ -348,11 +359,18 @@ def render(root: Node, sheet: Sheet) -> str:
     return "\n".join(flows[0].done())
 
 
+def closed(html: str) -> str:
+    """Without a tag or comment that the end of the page cuts off, which no browser shows either. What
+    opens after the last closing bracket never closes, so one search finds it."""
+    cut = _OPENING.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
     builder = TreeBuilder()
-    builder.feed(html)
+    builder.feed(closed(html))
     builder.close()
     return render(builder.root, Sheet(builder.sheets))
 

@@ -99,23 +99,22 @@ def _selector(text: str) -> list[tuple] | None:
 
 
 def _matches(selector: list[tuple], node) -> bool:
+    """Compounds from right to left, each against all ancestors that the one before leaves open."""
     if not _fits(selector[0][0], node):
         return False
-    open_ = [(1, node)]
-    while open_:
-        k, at = open_.pop()
-        if k == len(selector):
-            return True
-        direct, up = selector[k - 1][1], at.parent
-        while up is not None:
-            if _fits(selector[k][0], up):
-                open_.append((k + 1, up))
-                if len(open_) > 64:
-                    return False
-            if direct:
-                break
-            up = up.parent
-    return False
+    now = [node]  # all on one path to the root, the deepest first
+    for (_, direct), (part, _) in zip(selector, selector[1:]):
+        if direct:
+            above = [x.parent for x in now if x.parent is not None]
+        else:
+            above, up = [], now[0].parent
+            while up is not None:
+                above.append(up)
+                up = up.parent
+        now = [x for x in above if _fits(part, x)]
+        if not now:
+            return False
+    return True
 
 
 def declared(body: str) -> list[tuple[str, str, bool]]:
