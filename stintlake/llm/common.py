@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word and normalisation contracts: space and tab to carriage return.
@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -48,20 +56,22 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out quarter, chosen by a hash of
-    the id, so the choice neither depends on partitioning nor grows with the corpus. Of several
-    labels of one id the smallest counts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, inputs: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+    """The documents of at most ``rows`` labelled ids outside the held-out quarter: the columns ``inputs``,
+    the label ``y`` and a hash ``k`` of the id and the first input. The ids are chosen by a hash, so the
+    choice neither depends on partitioning nor grows with the corpus. Of several labels of one id the
+    smallest counts. An id may have any number of rows: take the first ``rows`` by ``k``.
 
     The sampled ids are at most ``rows`` pairs of numbers, which bounds the broadcast."""
     picked = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-        .groupBy(id_col)
-        .agg(F.min(F.col(label).cast("double")).alias("_label"))
-        .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(F.col(label).cast("double")).alias("y"))
+        .orderBy(F.xxhash64(F.col("id").cast("string")), F.col("id"))
         .limit(rows)
     )
-    return docs.join(F.broadcast(picked), id_col)
+    known = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in inputs.items()]).join(F.broadcast(picked), "id")
+    return known.select(*inputs, "y", F.xxhash64(next(iter(inputs)), "id").alias("k"))
 
 
 class WordHashes(dict):

@@ -10,7 +10,9 @@ not follow the corpus); features are made on the executors, stochastic AdaGrad r
 sample. Scoring reads every whole text once and needs no shuffle.
 
 Defined results: null or empty text scores like a document of zero length; a null or missing
-metadata value has a bin of its own; without labelled rows the model returns 0.5.
+metadata value has a bin of its own; without labelled rows the model returns exactly 0.5; rows that repeat an
+id are scored each by its own text, and in the sample count as rows of their own, of which those with the smallest hashes
+of text and id are taken (equal hashes are equal rows); an empty table has no scores; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], slots: int, rank: in
     """AdaGrad on the logistic loss, one document at a time, in a seeded order."""
     rng = np.random.default_rng(SEED)
     share = np.clip(np.mean([y for *_, y in rows]), 1e-3, 1 - 1e-3) if rows else 0.5
-    fm = FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(slots), rng.normal(0, 0.02, (slots, rank)))
+    fm = FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(slots), rng.normal(0, 0.02, (slots, rank)) * bool(rows))
     seen_w, seen_v = np.full(slots, 1e-2), np.full((slots, rank), 1e-2)
     for _ in range(epochs):
         for n in rng.permutation(len(rows)):
@@ -119,8 +121,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], slots: int, rank: in
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", meta_col: str = "n_chars", fit_rows: int = FIT_ROWS) -> FactorisationMachine:
     """Learn from at most ``fit_rows`` labelled rows outside the held-out quarter."""
-    sample = labelled_sample(docs, labels, label, fit_rows)
     meta = F.col(meta_col).cast("double") if meta_col in docs.columns else F.lit(None).cast("double")
+    sample = labelled_sample(docs, labels, label, fit_rows, {"text": F.col(text_col), "meta": meta})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -131,8 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
                 names=["i", "v", "y", "k"],
             )
 
-    got = sample.select(text_col, meta.alias("_meta"), "_label", F.xxhash64(text_col, "doc_id").alias("_k")).mapInArrow(run, "i array<int>, v array<float>, y double, k bigint").toArrow()
-    order = np.argsort(got["k"].to_numpy(), kind="stable")[:fit_rows]
+    # the rows of one id have no bound, those that reach the driver do
+    got = sample.mapInArrow(run, "i array<int>, v array<float>, y double, k bigint").orderBy("k").limit(fit_rows).toArrow()
+    order = range(got.num_rows)
     index, value, y = got["i"].to_pylist(), got["v"].to_pylist(), got["y"].to_pylist()
     rows = [(np.array(index[n]), np.array(value[n]), y[n]) for n in order]
     return train(rows, size())

@@ -8,7 +8,9 @@ non-zero weights. Scoring reads every whole text once and needs no shuffle.
 Fitting uses at most ``FIT_ROWS`` labelled documents, a documented bound.
 
 Defined results: null or empty text scores by the bias alone; without labelled rows the score
-is 0.5 for every document.
+is 0.5 for every document; rows that repeat an id are scored each by its own text, and in the sample count as rows
+of their own, of which those with the smallest hashes of text and id are taken (equal hashes are equal rows); an empty
+table has no scores; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def train(rows: list[tuple[np.ndarray, float]], bits: int = BITS, epochs: int =
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", fit_rows: int = FIT_ROWS) -> SparseWeights:
     """Learn from at most ``fit_rows`` labelled rows outside the held-out quarter."""
-    sample = labelled_sample(docs, labels, label, fit_rows)
+    sample = labelled_sample(docs, labels, label, fit_rows, {"text": F.col(text_col)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -93,8 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
             made = [features(t, hashes).astype(np.int32) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["i", "y", "k"])
 
-    got = sample.select(text_col, "_label", F.xxhash64(text_col, "doc_id").alias("_k")).mapInArrow(run, "i array<int>, y double, k bigint").toArrow()
-    order = np.argsort(got["k"].to_numpy(), kind="stable")[:fit_rows]
+    # the rows of one id have no bound, those that reach the driver do
+    got = sample.mapInArrow(run, "i array<int>, y double, k bigint").orderBy("k").limit(fit_rows).toArrow()
+    order = range(got.num_rows)
     index, y = got["i"].combine_chunks(), got["y"].to_pylist()
     return train([(index[int(k)].values.to_numpy().astype(np.int64), y[k]) for k in order])
 
