@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, unused
 
 
 def content_of(text_col: str) -> Column:
@@ -59,6 +59,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns. Losers are few against the
     corpus, so they are the side that is joined: by id, null or not, and digest, as another
     text of a loser's id may be clean."""
-    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_lost_id"), F.col("text_sha256").alias("_lost_sha256")).distinct()
-    rows = docs.withColumn("_text_sha256", F.sha2(content_of(text_col), 256))
-    return rows.join(losers, F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_text_sha256") == F.col("_lost_sha256")), "left_anti").drop("_text_sha256")
+    own, lost, lost_id = unused("own_sha256", docs), unused("lost_sha256", docs), unused("lost_id", docs)
+    losers = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(lost_id), F.col("text_sha256").alias(lost)).distinct()
+    rows = docs.withColumn(own, F.sha2(content_of(text_col), 256))
+    return rows.join(losers, F.col(id_col).eqNullSafe(F.col(lost_id)) & (F.col(own) == F.col(lost)), "left_anti").drop(own)

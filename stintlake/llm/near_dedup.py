@@ -18,8 +18,10 @@
 25 bands of 6 values find a pair at 0.85 with probability 1 - 7e-6 and at 0.9 with 1 - 6e-9;
 below 0.85, 30 bands of 5 find a pair at 0.8 with 1 - 7e-6. Defined results: null, empty or blank text has an empty set, is linked with nothing
 and kept; with fewer words than a shingle the whole sequence is one shingle; rows that repeat a
-doc_id count as one document that has all their links; a null doc_id loses against any other id,
-and where a group has no other, component_id is null and its rows are all kept; an empty table gives no rows.
+doc_id are documents of their own, each linked by its own text (those with equal words share their result,
+and what loses leaves alone what else has its id); a null doc_id loses against any other id,
+and where a group has no other, component_id is null and its rows are all kept; of texts that tie, the smallest
+doc_id stays; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 from .components import stars
 
 VALUES, BATCH, MISS = 150, 15, 1e-6
@@ -311,14 +313,28 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    losers = stored(_groups(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col(id_col), "digest"), "losers")
+    """The documents that stay, one of each group, with all their columns. A row goes by its id; where
+    rows of one id fare differently, or have none, by the digest of its words."""
+    lost, fate, own = unused("lost_digest", docs), unused("fate", docs), unused("own_digest", docs)
+    groups = stored(_groups(docs, id_col, text_col, width, percent).select(id_col, "digest", "kept"), "groups")
+    losers = stored(groups.where(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("digest").alias(lost)).distinct(), "losers")
+    stay = groups.where("kept").select(F.col(id_col).alias("id")).join(losers.select("id").distinct(), "id", "left_semi").distinct()
+    ids = losers.select("id").distinct().where("id IS NOT NULL").join(stay.withColumn("also_kept", F.lit(True)), "id", "left")
+    ids = stored(ids.select(F.col("id").alias(fate), F.coalesce("also_kept", F.lit(False)).alias("mixed")), "fates")
+    mixed, named = unused("mixed", docs), F.col(id_col) == F.col(fate)
+    docs_left = docs.join(ids.where("not mixed").select(fate), named, "left_anti")
+    unclear = losers.join(ids.where("mixed").select(F.col(fate).alias("id")), "id", "left_semi").unionByName(losers.where("id IS NULL"))
+    if unclear.isEmpty():
+        return docs_left
 
     @F.arrow_udf("binary")
-    def digest(texts: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(b" ".join(sequence(t.as_py()))) for t in texts], pa.binary())
-
-    # rows without an id are told apart by their words
-    lost = losers.where(F.col(id_col).isNull()).select(F.col("digest").alias("_digest")).distinct()
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_digest", digest(F.col(text_col))).join(lost, "_digest", "left_anti").drop("_digest")
-    return docs.where(F.col(id_col).isNotNull()).join(losers.select(id_col), id_col, "left_anti").unionByName(nameless)
+    def digest(texts: pa.Array, looked_at: pa.Array) -> pa.Array:
+        pairs = zip(texts, looked_at.to_pylist(), strict=True)
+        return pa.array([xxhash.xxh3_128_digest(b" ".join(sequence(t.as_py()))) if x else None for t, x in pairs], pa.binary())
+
+    marks = unclear.select(F.col("id").alias(fate)).where(F.col(fate).isNotNull()).distinct().withColumn(mixed, F.lit(True))
+    rows = docs_left.join(marks, named, "left")
+    rows = rows.withColumn(own, digest(F.col(text_col), F.col(id_col).isNull() | F.col(mixed).isNotNull()))
+    gone = unclear.select(F.col("id").alias(unused("lost_id", docs)), lost)
+    same = F.col(id_col).eqNullSafe(F.col(gone.columns[0])) & (F.col(own) == F.col(lost))
+    return rows.join(gone, same, "left_anti").select(*[F.col(c) for c in docs.columns])
