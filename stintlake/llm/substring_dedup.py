@@ -13,7 +13,8 @@ settles all of its windows at once. Where a fingerprint occurs with several cont
 are read again and single windows are compared by the digest of their words; the earliest place is
 found by an aggregation that combines before the shuffle.
 
-Batches must come in order of id. Defined results: null or empty text has no words; rows with the same
+Batches must come in order of id: the index keeps the largest id that it has seen, and refuses a batch
+that has an equal or a smaller one (among documents with a window). Defined results: null or empty text has no words; rows with the same
 doc_id and text are one document read twice, so they remove nothing of each other and share one
 verdict; rows with the same doc_id and other texts are documents of their own, in order of a hash
 of their text; a null doc_id comes before all others; ids may be of any type that Spark orders; an
@@ -64,7 +65,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> None:
         self.spark, self.window, self.gram = spark, window, gram
         self.path = path or f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
-        self.step, self.runs, self.tables, self.kind = 0, [], [], None
+        self.step, self.runs, self.tables, self.kind, self.last = 0, [], [], None, None
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     @classmethod
@@ -72,13 +73,13 @@ class FingerprintIndex:
         """The index that an earlier job left at ``path``."""
         last = spark.read.parquet(f"{path}/manifest-*").orderBy(F.desc("step")).first()
         index = cls(spark, path, last["window"], last["gram"], last["buckets"])
-        index.step, index.runs, index.kind = last["step"], list(last["runs"]), last["kind"]
+        index.step, index.runs, index.kind, index.last = last["step"], list(last["runs"]), last["kind"], last["last"]
         return index
 
     def _commit(self, runs: list[str]) -> None:
         self.step, self.runs = self.step + 1, runs
-        row = [(self.step, runs, self.window, self.gram, self.buckets, self.kind)]
-        frame = self.spark.createDataFrame(row, "step int, runs array<string>, window int, gram int, buckets int, kind string")
+        row = [(self.step, runs, self.window, self.gram, self.buckets, self.kind, self.last)]
+        frame = self.spark.createDataFrame(row, f"step int, runs array<string>, window int, gram int, buckets int, kind string, last {self.kind}")
         frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{self.step:06d}")
 
     def _schema(self) -> str:
@@ -109,6 +110,7 @@ class FingerprintIndex:
         self.kind = kind_of(texts, "id")
         run = self._write(anchor_rows(texts, word_reader, self.window, self.gram, self.window, once=True))
         batch = self._table(run)
+        last = self._in_order(batch)
         by_place = Window.partitionBy("f", "c1", "c2").orderBy(*PLACE)
         rows = batch.where("copies > 0").withColumns({"_n": F.row_number().over(by_place), "_first": F.first(F.struct(*PLACE)).over(by_place)})
         # the earliest place met again, in a row that repeats its document, is no repeat
@@ -129,10 +131,20 @@ class FingerprintIndex:
             unsure = unsure.unionByName(past.join(new.select("f").distinct(), "f", "left_semi").withColumn("new", F.lit(False)))
         again = rows.where("not fresh").unionByName(batch.where("copies = 0").select("f", "id", "k", "lo", "hi", F.lit(False).alias("fresh")))
         out = stored(again.select("id", "k", "lo", (F.col("hi") + self.window).alias("end")), "spans"), stored(unsure.drop("f"), "unsure")
+        self.last = last
         self._commit([*self.runs, run])
         self.release()
         return out
 
+    def _in_order(self, batch: DataFrame):
+        """The largest id so far; an error where the batch doesn't follow those before it."""
+        seen = batch.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("n")).first()
+        late = seen["nameless"] or (seen["low"] is not None and self.last is not None and seen["low"] <= self.last)
+        if self.runs and seen["n"] and late:
+            self.release()
+            raise ValueError(f"batches must come in order of id: this one starts at {None if seen['nameless'] else seen['low']}, the index holds ids up to {self.last}")
+        return self.last if seen["high"] is None else seen["high"]
+
     def compact(self) -> None:
         """Merge all runs into one; the earliest place of an entry stays. Old runs are deleted once
         the manifest names the new one."""
