@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; ``run`` writes
 what a stage returns as Parquet in the shared folder and reads it back for the next. All but
 the last return the columns of ``documents``.
+
+Defined results: null texts count as empty; rows that repeat a doc_id are documents of their own in every
+stage; of equal or near-equal documents the smallest doc_id stays, and a null one loses; every stage takes an empty table and
+returns one; other columns are passed on, whatever their names, by all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts (white space aside)."""
     return exact_dedup.drop_exact_duplicates(docs).select(docs.columns)
 
 
@@ -35,10 +40,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed by minimum bin slack."""
     return packing.tokenize_and_pack(docs, queries.tokenizer_path())
 
 
