@@ -41,6 +41,17 @@ def cascade(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     return out.otherwise(F.lit(otherwise))
 
 
+# fixed values: the common character references
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    """The common character references decoded, ``&amp;`` last."""
+    for reference, char in REFERENCES:
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return text
+
+
 def strip_tags(html: Column) -> Column:
     """Mark-up out, the common entities decoded, white space collapsed."""
     bare = F.regexp_replace(F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
