@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .facets import FACETS, Facet, select_rows
+from .facets import FACETS, Facet, rows_of_all, select_rows
 
 PER_TYPE, TOTAL = 12, 30
 
@@ -76,17 +76,17 @@ TIMELINES: dict[str, tuple[Branch, ...]] = {
 }
 
 
-def _events(tables: Mapping[str, DataFrame], target: str, branch: Branch, key) -> DataFrame:
-    rows = select_rows(tables, branch.rows, key)
+def _as_events(rows: DataFrame, tables: Mapping[str, DataFrame], target: str, branch: Branch) -> DataFrame:
+    """Selected rows, with their target as ``_target``, as events."""
     if branch.race:
         rows = rows.join(tables["races"].select(F.col("id").alias("race_id"), F.col("start_at").alias("_start"), F.col("weekend_end_date").alias("_end")), "race_id")
     if branch.kind == "race_result" and target == "team":  # one event a race, with the best car
-        best = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(F.col("finish_position").isNull(), F.col("finish_position"), F.col("id")))
-        rows = rows.groupBy("race_id").agg(best.alias("b"), F.max("fetched_at").alias("newest")).select("b.*", "newest").withColumn("fetched_at", F.col("newest")).withColumn("id", F.concat(F.lit("team-race:"), F.col("race_id").cast("string")))
+        best = F.min_by(F.struct(*[F.col(c) for c in rows.columns if c not in ("race_id", "_target")]), F.struct(F.col("finish_position").isNull(), F.col("finish_position"), F.col("id")))
+        rows = rows.groupBy("_target", "race_id").agg(best.alias("b"), F.max("fetched_at").alias("newest")).select("_target", "race_id", "b.*", "newest").withColumn("fetched_at", F.col("newest")).withColumn("id", F.concat(F.lit("team-race:"), F.col("race_id").cast("string")))
     if branch.rows.distinct:
-        rows = rows.dropDuplicates(["id"])
+        rows = rows.dropDuplicates(["_target", "id"])
     at = F.coalesce(*[F.col(c) for c in branch.at]).cast("timestamp")
-    return rows.select(F.lit(branch.kind).alias("event_type"), F.col("id").cast("string").alias("event_id"), at.alias("occurred_at"), F.expr(branch.label).alias("label"), *[F.expr(e).cast("string").alias(n) for e, n in zip(branch.leads_to, ("target_type", "target_key"), strict=True)])
+    return rows.select(F.col("_target").alias("target"), F.lit(branch.kind).alias("event_type"), F.col("id").cast("string").alias("event_id"), at.alias("occurred_at"), F.expr(branch.label).alias("label"), *[F.expr(e).cast("string").alias(n) for e, n in zip(branch.leads_to, ("target_type", "target_key"), strict=True)])
 
 
 def timeline(tables: Mapping[str, DataFrame], target: str, key, per_type: int = PER_TYPE, total: int = TOTAL) -> DataFrame:
@@ -94,13 +94,23 @@ def timeline(tables: Mapping[str, DataFrame], target: str, key, per_type: int =
     what has no time is left out. The rank is taken within one target's rows, a branch at a time."""
 
     def newest(branch: Branch) -> DataFrame:
-        events = _events(tables, target, branch, key).where("occurred_at is not null")
+        events = _as_events(select_rows(tables, branch.rows, key).withColumn("_target", F.lit(key)), tables, target, branch).drop("target").where("occurred_at is not null")
         return events.orderBy(F.col("occurred_at").desc(), "event_id").limit(per_type)
 
     events = reduce(DataFrame.unionByName, map(newest, TIMELINES[target]))
     return events.orderBy(F.col("occurred_at").desc(), "event_type", "event_id").limit(total)
 
 
+def timelines(tables: Mapping[str, DataFrame], target: str, per_type: int = PER_TYPE, total: int = TOTAL) -> DataFrame:
+    """``timeline`` of every target of a kind, with the column ``target``: one tagged union of the branches, in which
+    ranks by target and kind are limited before the shuffle, and again by target."""
+    newest_first = [F.col("occurred_at").desc(), F.col("event_type"), F.col("event_id")]
+    events = reduce(DataFrame.unionByName, [_as_events(rows_of_all(tables, b.rows), tables, target, b) for b in TIMELINES[target]]).where("occurred_at is not null")
+    events = events.withColumn("_n", F.row_number().over(Window.partitionBy("target", "event_type").orderBy(*newest_first))).where(F.col("_n") <= per_type).drop("_n")
+    out = events.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy(*newest_first))).where(F.col("_n") <= total).drop("_n")
+    return out.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
 def participation(tables: Mapping[str, DataFrame], by: str) -> DataFrame:
     """For all drivers (``by='driver'``) or teams the other side of their session entries: distinct
     sessions, first and last start."""

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlake.operators.core import page
@@ -166,6 +166,32 @@ def _widen(df: DataFrame, look: Lookup, tables: Mapping[str, DataFrame]) -> Data
     return df.select([c for c in df.columns if c not in side.columns or c == look.local]).join(side, F.col(look.local) == F.col("__key"), look.how).drop("__key")
 
 
+def rows_of_all(tables: Mapping[str, DataFrame], spec: Facet) -> DataFrame:
+    """The rows of a specification for all targets, with the target as ``_target``. A row whose scope names
+    two targets is there for each."""
+    rows = reduce(lambda df, hop: _widen(df, LOOKUPS[hop], tables), spec.lookups, tables[spec.table])
+    if len(spec.scope) == 1:
+        return rows.withColumn("_target", F.col(spec.scope[0])).where("_target is not null")
+    return rows.withColumn("_target", F.explode(F.array_distinct(F.array_compact(F.array(*map(F.col, spec.scope))))))
+
+
+def first_rows(tables: Mapping[str, DataFrame], target: str, first: int) -> DataFrame:
+    """(facet, target, n, first_ids) of every facet of every target of a kind. The rank is limited before the
+    shuffle, so a target with a third of all rows sends ``first`` rows a task."""
+
+    def one(name: str, spec: Facet) -> DataFrame:
+        rows = rows_of_all(tables, spec).withColumnRenamed("_target", "target")
+        rows = rows.drop(*[c for c in rows.columns if c.startswith("_")])
+        rows = rows.distinct() if spec.distinct else rows
+        rank = F.row_number().over(Window.partitionBy("target").orderBy(*facet_order(target, name, rows.columns)))
+        top = rows.select("target", F.col("id").cast("string").alias("id"), rank.alias("r")).where(F.col("r") <= first)
+        ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]), ",")
+        sizes = rows.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.join(top.groupBy("target").agg(ids.alias("first_ids")), "target").select(F.lit(name).alias("facet"), F.col("target").cast("string").alias("target"), "n", "first_ids")
+
+    return reduce(DataFrame.unionByName, [one(name, spec) for (kind, name), spec in FACETS.items() if kind == target])
+
+
 def select_rows(tables: Mapping[str, DataFrame], spec: Facet, key) -> DataFrame:
     """The rows of a specification for a target, with the columns that only serve the selection."""
     rows = reduce(lambda df, hop: _widen(df, LOOKUPS[hop], tables), spec.lookups, tables[spec.table])

@@ -12,14 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(*tables: str, sql: str | None = None):
-    """Register a function of DataFrames under its name."""
+def query(*tables: str, sql: str | None = None, name: str | None = None):
+    """Register a function of DataFrames under its name, or another."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(*(table(spark, folder, t) for t in tables))
-        QUERIES[f.__name__].__doc__ = f.__doc__
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, folder: f(*(table(spark, folder, t) for t in tables))
+        QUERIES[key].__doc__ = f.__doc__
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[key] = sql
         return f
 
     return register
