@@ -56,11 +56,12 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, inputs: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, inputs: dict[str, Column], id_col: str = "doc_id") -> tuple[DataFrame, bool]:
     """The documents of at most ``rows`` labelled ids outside the held-out quarter: the columns ``inputs``,
     the label ``y`` and a hash ``k`` of the id and the first input. The ids are chosen by a hash, so the
     choice neither depends on partitioning nor grows with the corpus. Of several labels of one id the
-    smallest counts. An id may have any number of rows: take the first ``rows`` by ``k``.
+    smallest counts. An id may have any number of rows; the second value says whether these are more
+    than ``rows``, of which the first ``rows`` by ``k`` are to be taken.
 
     The sampled ids are at most ``rows`` pairs of numbers, which bounds the broadcast."""
     picked = (
@@ -70,8 +71,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
         .orderBy(F.xxhash64(F.col("id").cast("string")), F.col("id"))
         .limit(rows)
     )
+    many = docs.select(F.col(id_col).alias("id")).join(F.broadcast(picked), "id").count() > rows  # reads ids alone
     known = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in inputs.items()]).join(F.broadcast(picked), "id")
-    return known.select(*inputs, "y", F.xxhash64(next(iter(inputs)), "id").alias("k"))
+    return known.select(*inputs, "y", F.xxhash64(next(iter(inputs)), "id").alias("k")), many
 
 
 class WordHashes(dict):

@@ -122,7 +122,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], slots: int, rank: in
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", meta_col: str = "n_chars", fit_rows: int = FIT_ROWS) -> FactorisationMachine:
     """Learn from at most ``fit_rows`` labelled rows outside the held-out quarter."""
     meta = F.col(meta_col).cast("double") if meta_col in docs.columns else F.lit(None).cast("double")
-    sample = labelled_sample(docs, labels, label, fit_rows, {"text": F.col(text_col), "meta": meta})
+    sample, many = labelled_sample(docs, labels, label, fit_rows, {"text": F.col(text_col), "meta": meta})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -133,9 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
                 names=["i", "v", "y", "k"],
             )
 
+    made = sample.mapInArrow(run, "i array<int>, v array<float>, y double, k bigint")
     # the rows of one id have no bound, those that reach the driver do
-    got = sample.mapInArrow(run, "i array<int>, v array<float>, y double, k bigint").orderBy("k").limit(fit_rows).toArrow()
-    order = range(got.num_rows)
+    got = (made.orderBy("k").limit(fit_rows) if many else made).toArrow()
+    order = np.argsort(got["k"].to_numpy(), kind="stable")
     index, value, y = got["i"].to_pylist(), got["v"].to_pylist(), got["y"].to_pylist()
     rows = [(np.array(index[n]), np.array(value[n]), y[n]) for n in order]
     return train(rows, size())

@@ -87,7 +87,7 @@ def train(rows: list[tuple[np.ndarray, float]], bits: int = BITS, epochs: int =
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", fit_rows: int = FIT_ROWS) -> SparseWeights:
     """Learn from at most ``fit_rows`` labelled rows outside the held-out quarter."""
-    sample = labelled_sample(docs, labels, label, fit_rows, {"text": F.col(text_col)})
+    sample, many = labelled_sample(docs, labels, label, fit_rows, {"text": F.col(text_col)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -95,9 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
             made = [features(t, hashes).astype(np.int32) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["i", "y", "k"])
 
+    made = sample.mapInArrow(run, "i array<int>, y double, k bigint")
     # the rows of one id have no bound, those that reach the driver do
-    got = sample.mapInArrow(run, "i array<int>, y double, k bigint").orderBy("k").limit(fit_rows).toArrow()
-    order = range(got.num_rows)
+    got = (made.orderBy("k").limit(fit_rows) if many else made).toArrow()
+    order = np.argsort(got["k"].to_numpy(), kind="stable")
     index, y = got["i"].combine_chunks(), got["y"].to_pylist()
     return train([(index[int(k)].values.to_numpy().astype(np.int64), y[k]) for k in order])
 

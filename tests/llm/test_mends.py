@@ -129,7 +129,8 @@ def test_the_sample_is_bounded_in_rows_and_names_may_clash(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (3, 1, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     from pyspark.sql import functions as F
 
-    assert labelled_sample(docs, labels, "quality", 50, {"text": F.col("text")}).columns == ["text", "y", "k"]
+    sample, many = labelled_sample(docs, labels, "quality", 50, {"text": F.col("text")})
+    assert sample.columns == ["text", "y", "k"] and many and not labelled_sample(docs, labels, "quality", 400, {"text": F.col("text")})[1]
     seen = []
     train = quality.train
     quality.train = lambda rows, *a: seen.append(len(rows)) or train(rows, *a)
