@@ -27,11 +27,11 @@ def overlay_antijoin(orders):
 
 @query("customer", "supplier", sql="""
 WITH u AS (SELECT 1 AS src, c_custkey AS ord, c_nationkey AS target FROM customer UNION ALL SELECT 2, s_suppkey, s_nationkey FROM supplier),
-m AS (SELECT target, min(src * 1000000 + ord) AS first FROM u GROUP BY target) SELECT target, first FROM m ORDER BY first LIMIT 12""")
+m AS (SELECT target, src, ord, row_number() OVER (PARTITION BY target ORDER BY src, ord) AS k FROM u) SELECT target, src, ord FROM m WHERE k = 1 ORDER BY src, ord LIMIT 12""")
 def related_capped(customer, supplier):
     """SL05, DM28: ordered de-duplication over two lists, twelve targets (the cap is the feature)."""
     u = customer.select(F.lit(1).alias("src"), F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("target")).unionByName(supplier.select(F.lit(2).alias("src"), F.col("s_suppkey").alias("ord"), F.col("s_nationkey").alias("target")))
-    return u.groupBy("target").agg(F.min(F.col("src") * 1000000 + F.col("ord")).alias("first")).orderBy("first").limit(12)
+    return u.groupBy("target").agg(F.min(F.struct("src", "ord")).alias("first")).orderBy("first").limit(12).select("target", "first.src", "first.ord")
 
 
 @query("orders", "events", sql="""
