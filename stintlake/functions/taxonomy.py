@@ -33,6 +33,21 @@ DOCUMENT_CLASSES = {
 DOCUMENT_OTHERWISE = "other"
 
 
+# fixed values: what pictures show, in order, with words of their captions
+PICTURE_ROLES = {
+    "podium": ("podium", "trophy", "champagne"), "winner": ("winner", "wins the", "victory", "parc ferme"), "race_start": ("at the start", "race start", "turn one", "first corner"),
+    "incident": ("crash", "collision", "contact", "spins", "spin"), "pit_stop": ("pit stop", "pitstop", "pit lane"), "overtake": ("overtake", "passes", "battle for", "fight for"),
+    "technical_detail": ("front wing", "rear wing", "floor", "technical detail"), "celebration": ("celebrates", "celebration"), "garage": ("garage", "mechanics"), "driver_action": ("driving", "on track"),
+}
+PICTURE_OTHERWISE = "generic"
+
+
+def picture_role(caption: Column) -> Column:
+    """The first role one of whose phrases the caption contains, case and white space aside."""
+    text = F.lower(F.trim(F.regexp_replace(F.coalesce(caption, F.lit("")), r"\s+", " ")))
+    return T.cascade([(text.rlike("|".join(phrases)), role) for role, phrases in PICTURE_ROLES.items()], PICTURE_OTHERWISE)
+
+
 def classify(title: Column, classes: dict[str, tuple[str, ...]], otherwise: str) -> Column:
     """The first class one of whose phrases the title's normal form contains, also inside words; ``otherwise`` for a null title too."""
     norm = T.normal(title)
