@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintlake.operators import drilldown
+
 from . import context, facets
 from .registry import query
 
@@ -33,13 +35,14 @@ WORLD = {
     "session_results": "SELECT id, race_id * 10 + 3 AS session_id, driver_entity_id, team_entity_id, CASE WHEN id % 9 <> 0 THEN place END AS position, id % 99 AS driver_number FROM {held}",
     "session_starting_grid": "SELECT id, race_id * 10 + 3 AS session_id, driver_entity_id, team_entity_id, place AS position FROM {held} WHERE id % 2 = 0",
     "session_laps": _TIMED.format(c="lap_number", d="started_at", most=7),
-    "session_stints": _TIMED.format(c="stint_number", d="fetched_at", most=2),
+    "session_stints": """SELECT id, race_id * 10 + 3 AS session_id, driver_entity_id, n AS stint_number, at_ AS fetched_at, CASE WHEN n = 1 THEN 1 WHEN id % 3 = 0 THEN 40 ELSE 3 END AS lap_start,
+        CASE WHEN n = 1 THEN 2 WHEN id % 2 = 0 THEN 50 END AS lap_end FROM {lines} WHERE n <= 2""",
     "session_positions": _TIMED.format(c="position", d="observed_at", most=4),
     "session_intervals": _TIMED.format(c="gap", d="observed_at", most=5),
     "session_pit_stops": "SELECT id, race_id * 10 + 3 AS session_id, CASE WHEN id % 7 <> 0 THEN driver_entity_id END AS driver_entity_id, n AS lap_number, at_ AS observed_at, id % 99 AS provider_driver_number FROM {lines} WHERE n > 4",
     "session_overtakes": """SELECT id, race_id * 10 + 3 AS session_id, driver_entity_id AS overtaking_driver_entity_id, CASE WHEN supp % 5 = 0 THEN driver_entity_id ELSE 'd' || supp END AS overtaken_driver_entity_id,
         CASE WHEN id % 6 <> 0 THEN at_ END AS observed_at, id % 99 AS overtaking_driver_number, supp AS overtaken_driver_number FROM {lines} WHERE n <= 2""",
-    "session_race_control_events": "SELECT id, race_id * 10 + 1 + id % 3 AS session_id, CASE WHEN id % 4 <> 0 THEN driver_entity_id END AS driver_entity_id, at_ AS observed_at, 'Flag for ' || supp AS message FROM {lines} WHERE n = 1",
+    "session_race_control_events": "SELECT id, race_id * 10 + 1 + id % 3 AS session_id, CASE WHEN id % 4 <> 0 THEN driver_entity_id END AS driver_entity_id, at_ AS observed_at, 'Flag for ' || supp AS message, CASE WHEN id % 3 <> 0 THEN n END AS lap_number FROM {lines} WHERE n = 1",
     "session_weather": "SELECT id, race_id * 10 + 3 AS session_id, at_ AS observed_at FROM {lines} WHERE n = 2",
     "race_results": "SELECT id, race_id, driver_entity_id, team_entity_id, CASE WHEN id % 9 <> 0 THEN place END AS finish_position, at_ AS fetched_at FROM {held}",
     "qualifying_results": "SELECT id, race_id, driver_entity_id, team_entity_id, place AS position FROM {held} WHERE id % 2 = 1",
@@ -191,3 +194,45 @@ UNION ALL SELECT 'race:' || race_id, 'has_session', 'session:' || id, p FROM pla
 def structure_of_all(*given):
     """DM24, DX02: the fixed relations of seasons, races and sessions."""
     return context.structure(tables_of(*given))
+
+
+_COORDINATE = "w.season, w.race_key, w.session_code"
+_DRILL = """,
+w AS (SELECT s.id AS session_id, s.race_id, s.session_code, s.session_name, s.starts_at, r.season, r.slug AS race_key FROM race_sessions s JOIN races r ON r.id = s.race_id),
+e AS ({events})
+SELECT scope, event_id, event_type, label, timeline_at, precision, season::INTEGER AS season, race_key, session_code, who AS drivers, driver_key, stint::INTEGER AS stint_number, lap::INTEGER AS lap_number, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY scope ORDER BY timeline_at NULLS LAST, coalesce(lap, 0), coalesce(stint, 0), event_id) AS place FROM e) WHERE place <= 20"""
+_NONE = "'' AS who, NULL AS driver_key, NULL::INTEGER AS stint, NULL::INTEGER AS lap"
+_LEVELS = {
+    "season": (["races", "race_sessions"], f"SELECT season::VARCHAR AS scope, 'race:' || id AS event_id, 'race' AS event_type, official_name AS label, start_at AS timeline_at, 'race' AS precision, season, slug AS race_key, NULL AS session_code, {_NONE} FROM races"),
+    "race": (["races", "race_sessions"], f"SELECT race_id::VARCHAR AS scope, 'session:' || session_id AS event_id, 'session' AS event_type, session_name AS label, starts_at AS timeline_at, 'session' AS precision, {_COORDINATE}, {_NONE} FROM w"),
+    "session": (["races", "race_sessions", "entities", "session_race_control_events", "session_pit_stops", "session_overtakes"], f"""
+  SELECT b.session_id::VARCHAR AS scope, 'race-control:' || b.id AS event_id, 'race_control' AS event_type, message AS label, observed_at AS timeline_at, CASE WHEN lap_number IS NULL THEN 'timestamp' ELSE 'lap' END AS precision, {_COORDINATE},
+    coalesce(driver_entity_id, '') AS who, d.slug AS driver_key, NULL::INTEGER AS stint, lap_number AS lap FROM session_race_control_events b JOIN w USING (session_id) LEFT JOIN entities d ON d.id = driver_entity_id
+  UNION ALL SELECT b.session_id::VARCHAR, 'pit-stop:' || b.id, 'pit_stop', coalesce(d.display_name, 'Driver ' || provider_driver_number) || ' pit stop', observed_at, 'lap', {_COORDINATE}, coalesce(driver_entity_id, ''), d.slug, NULL, lap_number
+    FROM session_pit_stops b JOIN w USING (session_id) LEFT JOIN entities d ON d.id = driver_entity_id
+  UNION ALL SELECT b.session_id::VARCHAR, 'overtake:' || b.id, 'overtake', coalesce(d.display_name, 'Driver ' || overtaking_driver_number) || ' overtook ' || coalesce(o.display_name, 'Driver ' || overtaken_driver_number), observed_at, 'timestamp', {_COORDINATE},
+    CASE WHEN overtaken_driver_entity_id IS DISTINCT FROM overtaking_driver_entity_id THEN concat_ws('|', overtaking_driver_entity_id, overtaken_driver_entity_id) ELSE coalesce(overtaking_driver_entity_id, '') END, d.slug, NULL, NULL
+    FROM session_overtakes b JOIN w USING (session_id) LEFT JOIN entities d ON d.id = overtaking_driver_entity_id LEFT JOIN entities o ON o.id = overtaken_driver_entity_id"""),
+    "driver": (["races", "race_sessions", "entities", "session_laps", "session_stints"], f"""
+  SELECT b.session_id || '/' || driver_entity_id AS scope, 'lap:' || b.id AS event_id, 'lap' AS event_type, d.display_name || ' · lap ' || lap_number AS label, started_at AS timeline_at, 'lap' AS precision, {_COORDINATE}, driver_entity_id AS who, d.slug AS driver_key, NULL::INTEGER AS stint, lap_number AS lap
+    FROM session_laps b JOIN w USING (session_id) JOIN entities d ON d.id = driver_entity_id
+  UNION ALL SELECT b.session_id || '/' || b.driver_entity_id, 'stint:' || b.id, 'stint', d.display_name || ' · stint ' || stint_number,
+    coalesce((SELECT min(started_at) FROM session_laps l WHERE l.session_id = b.session_id AND l.driver_entity_id = b.driver_entity_id AND l.lap_number = b.lap_start), w.starts_at), 'stint', {_COORDINATE}, b.driver_entity_id, d.slug, stint_number, lap_start
+    FROM session_stints b JOIN w USING (session_id) JOIN entities d ON d.id = b.driver_entity_id"""),
+}
+
+
+def _register_level(level: str) -> None:
+    needed, events = _LEVELS[level]
+
+    @query(*GIVEN, sql=with_tables(needed) + _DRILL.format(events=events), name=f"drilldown_{level}")
+    def drill(*given):
+        rows = drilldown.first_of_scope(drilldown.LEVELS[level](tables_of(*given)), 20)
+        return rows.withColumn("drivers", F.array_join("drivers", "|"))
+
+    drill.__doc__ = f"DM31, DX06-DX09: the first twenty events of every {level} in the timeline's total order (the limit is the feature)."
+
+
+for _level in _LEVELS:
+    _register_level(_level)
