@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import deque
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,22 +46,44 @@ def exclusive_nearest(left: DataFrame, right: DataFrame, by: str, on: str, hours
     """Pairs (left_id, right_id) of rows (by, id, on) within ``hours``: of each ``by`` the left rows, in
     order of time and id, each take the nearest right row still free.
 
-    One group is one season's meetings, so a task holds a group's times only; the choice depends on
-    the choices before it, which no window expresses."""
-    rows = left.select(by, "id", on, F.lit(0).alias("side")).unionByName(right.select(by, "id", on, F.lit(1).alias("side")))
-    kinds = dict(rows.dtypes)
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.dropna(subset=[on]).sort_values([on, "id"])
-        free = list(group[group.side == 1][["id", on]].itertuples(index=False, name=None))
-        out = []
-        for own, at in group[group.side == 0][["id", on]].itertuples(index=False, name=None):
-            near = [(abs(at - t), n) for n, (_, t) in enumerate(free) if abs(at - t) <= pd.Timedelta(hours=hours)]
-            if near:
-                out.append((own, free.pop(min(near)[1])[0]))
-        return pd.DataFrame(out, columns=["left_id", "right_id"])
-
-    return rows.groupBy(by).applyInPandas(pair, f"left_id {kinds['id']}, right_id {kinds['id']}")
+    The rows are read once in order of time. A left row is settled when all right rows that it may take have been
+    read, and right rows that none can take any more are forgotten, so a task holds what lies within twice
+    ``hours`` of one time and not its whole group. Rows without a time take and give nothing."""
+    rows = left.select(by, F.col("id"), F.col(on).alias("at"), F.lit(0).alias("side")).unionByName(right.select(by, F.col("id"), F.col(on).alias("at"), F.lit(1).alias("side")))
+    kind = dict(rows.dtypes)["id"]
+    rows = rows.where("at is not null").select(by, F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "side", "id")
+    reach = round(hours * 3_600_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[tuple[int, object]] = deque()
+        free: list[tuple[int, object]] = []
+        group = object()
+
+        def settled(until: int | None) -> Iterator[tuple[object, object]]:
+            while waiting and (until is None or waiting[0][0] + reach < until):
+                t, own = waiting.popleft()
+                while free and free[0][0] < t - reach:
+                    free.pop(0)
+                near = [(abs(x - t), n) for n, (x, _) in enumerate(free) if x <= t + reach]
+                if near:
+                    yield own, free.pop(min(near)[1])[1]
+
+        id_type = None
+        for batch in batches:
+            id_type, pairs = batch.schema.field(3).type, []
+            for who, t, side, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if who != group:
+                    pairs += settled(None)
+                    free.clear()
+                    group = who
+                pairs += settled(t)
+                (free if side else waiting).append((t, name))
+            yield pa.RecordBatch.from_arrays([pa.array(x, id_type) for x in (list(zip(*pairs, strict=True)) or [[], []])], names=["left_id", "right_id"])
+        pairs = list(settled(None))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, id_type) for x in zip(*pairs, strict=True)], names=["left_id", "right_id"])
+
+    return rows.repartition(by).sortWithinPartitions(by, "t", "side", "id").mapInArrow(run, f"left_id {kind}, right_id {kind}")
 
 
 def nested_top(outer: DataFrame, inner: DataFrame, key: str, link: str, outer_order: list[Column], inner_order: list[Column]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake.operators import drilldown
+from stintlake.operators import tower as towers
 
 from . import context, facets
 from .registry import query
@@ -236,3 +237,68 @@ def _register_level(level: str) -> None:
 
 for _level in _LEVELS:
     _register_level(_level)
+
+
+# sessions of one day each, timed by events
+
+TIMING = {
+    "samples": "SELECT user_id % 20 AS driver_number, year(ts) * 10000 + month(ts) * 100 + day(ts) AS session_id, ts AS observed_at, event_id AS id, value FROM {events}",
+    "instants": "SELECT session_id, max(observed_at) - INTERVAL 2 HOUR AS at_ FROM {samples} GROUP BY session_id",
+    "entries": "SELECT DISTINCT session_id, driver_number FROM {samples}",
+    "positions": "SELECT session_id, driver_number, observed_at, id % 20 + 1 AS position FROM {samples} WHERE id % 5 = 0",
+    "intervals": "SELECT session_id, driver_number, observed_at, CASE WHEN id % 3 <> 0 THEN value END AS gap_seconds, CASE WHEN id % 3 = 0 THEN '+1 LAP' END AS gap_text, value AS interval_seconds FROM {samples} WHERE id % 5 = 1",
+    "laps": "SELECT session_id, driver_number, id % 50 + 1 AS lap_number, CASE WHEN id % 4 <> 0 THEN observed_at END AS started_at, CASE WHEN id % 7 <> 0 THEN value * 100 END AS lap_seconds, id % 3 = 0 AS is_pit_out_lap FROM {samples} WHERE id % 5 = 2",
+    "locations": "SELECT session_id, driver_number, observed_at, value AS x, id % 97 AS y, id % 13 AS z FROM {samples}",
+    "stops": "SELECT session_id, driver_number, observed_at FROM {samples} WHERE id % 5 = 4",
+    "stints": """SELECT session_id, driver_number, 1 AS stint_number, 1 AS lap_start, 20 AS lap_end, 'SOFT' AS compound, driver_number % 4 AS tyre_age_at_start FROM {entries}
+        UNION ALL SELECT session_id, driver_number, 2, 21, CASE WHEN driver_number % 3 = 0 THEN 30 END, 'hard ', 0 FROM {entries} UNION ALL SELECT session_id, driver_number, 3, 29, NULL, 'odd', 5 FROM {entries} WHERE driver_number % 2 = 0""",
+}
+
+
+def _timing(events: DataFrame) -> dict[str, DataFrame]:
+    out = {"events": events}
+    for name, sql in TIMING.items():
+        out[name] = events.sparkSession.sql(sql, **{t: out[t] for t in set(re.findall(r"\{(\w+)\}", sql))})
+    out["instants"] = out["instants"].withColumnRenamed("at_", "at")
+    return out
+
+
+_TIMING_SQL = "WITH " + ",\n".join(f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', sql)})" for name, sql in TIMING.items())
+
+
+@query("events", sql=_TIMING_SQL + """,
+p AS (SELECT session_id, driver_number, arg_max(position, (observed_at, position)) AS position FROM positions JOIN instants USING (session_id) WHERE observed_at <= at_ GROUP BY 1, 2),
+i AS (SELECT session_id, driver_number, gap_seconds, gap_text, interval_seconds FROM intervals JOIN instants USING (session_id) WHERE observed_at <= at_ QUALIFY row_number() OVER (PARTITION BY session_id, driver_number ORDER BY observed_at DESC, gap_seconds DESC NULLS LAST, gap_text DESC NULLS LAST, interval_seconds DESC) = 1),
+l AS (SELECT session_id, driver_number, lap_number, lap_seconds FROM laps JOIN instants USING (session_id) WHERE started_at <= at_ QUALIFY row_number() OVER (PARTITION BY session_id, driver_number ORDER BY lap_number DESC, started_at DESC, lap_seconds DESC NULLS LAST) = 1),
+s AS (SELECT s.*, s.tyre_age_at_start + l.lap_number - s.lap_start AS tyre_age FROM stints s JOIN l USING (session_id, driver_number) WHERE lap_start <= lap_number AND lap_number <= coalesce(lap_end, 999) QUALIFY row_number() OVER (PARTITION BY session_id, driver_number ORDER BY stint_number DESC) = 1),
+c AS (SELECT session_id, driver_number, count(*) AS n FROM stops JOIN instants USING (session_id) WHERE observed_at <= at_ GROUP BY 1, 2)
+SELECT session_id, driver_number, position, CASE WHEN position = 1 THEN 'LEADER' ELSE coalesce(gap_text, printf('%.3f', gap_seconds)) END AS gap, interval_seconds, lap_number, lap_seconds AS last_lap_seconds, stint_number, compound,
+  CASE upper(trim(compound)) WHEN 'SOFT' THEN 'tyre-soft' WHEN 'HARD' THEN 'tyre-hard' END AS tyre, tyre_age, coalesce(n, 0) AS pit_stops
+FROM entries LEFT JOIN p USING (session_id, driver_number) LEFT JOIN i USING (session_id, driver_number) LEFT JOIN l USING (session_id, driver_number) LEFT JOIN s USING (session_id, driver_number) LEFT JOIN c USING (session_id, driver_number)""")
+def towers_of_sessions(events):
+    """DM15, JN05, JN07: the tower of every session two hours before its end."""
+    t = _timing(events)
+    return towers.tower(t["entries"], t["instants"], t["positions"], t["intervals"], t["laps"], t["stints"], t["stops"])
+
+
+@query("events", sql=_TIMING_SQL + """,
+ends AS (SELECT session_id, max(observed_at) AS at_ FROM samples GROUP BY 1),
+h AS (SELECT session_id, driver_number, observed_at, x, y, z FROM locations JOIN ends USING (session_id) WHERE observed_at <= at_ AND observed_at >= at_ - INTERVAL 3 SECOND QUALIFY row_number() OVER (PARTITION BY session_id, driver_number ORDER BY observed_at DESC, x DESC, y DESC, z DESC) = 1),
+p AS (SELECT session_id, driver_number, arg_max(position, (observed_at, position)) AS position FROM positions JOIN ends USING (session_id) WHERE observed_at <= at_ GROUP BY 1, 2),
+l AS (SELECT session_id, driver_number, max(lap_number) AS lap_number FROM laps JOIN ends USING (session_id) WHERE started_at <= at_ GROUP BY 1, 2),
+b AS (SELECT session_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM locations GROUP BY 1)
+SELECT h.*, position, lap_number, min_x, max_x, min_y, max_y, min_z, max_z FROM h LEFT JOIN p USING (session_id, driver_number) LEFT JOIN l USING (session_id, driver_number) JOIN b USING (session_id)""")
+def track_maps_of_sessions(events):
+    """DM16, AG15: cars with a location of the last three seconds at the end of every session, with the session's bounds."""
+    t = _timing(events)
+    ends = t["samples"].groupBy("session_id").agg(F.max("observed_at").alias("at"))
+    return towers.track_map(t["entries"], ends, t["locations"], t["positions"], t["laps"])
+
+
+@query("events", sql=_TIMING_SQL + """,
+best AS (SELECT * FROM laps WHERE started_at IS NOT NULL AND lap_seconds IS NOT NULL AND NOT is_pit_out_lap QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY lap_seconds, driver_number, lap_number, started_at) = 1)
+SELECT session_id, driver_number, b.lap_number, o.observed_at, x, y, z FROM locations o JOIN best b USING (session_id, driver_number) WHERE o.observed_at >= b.started_at AND o.observed_at <= b.started_at + to_microseconds((b.lap_seconds * 1000000)::BIGINT)""")
+def reference_paths_of_sessions(events):
+    """DM16, JN12: the path of the fastest lap of every session."""
+    t = _timing(events)
+    return towers.reference_paths(t["laps"], t["locations"])
