@@ -151,6 +151,16 @@ def test_every_id_of_the_documents_is_packed_once_without_padding(spark):
         assert not left
 
 
+def test_ids_of_unseen_words_equal_the_tokenizers():
+    rng = random.Random(21)
+    words = packing.WordTokens(queries.tokenizer_path(), limit=40)
+    letters = "abcXYZéÉßİΣσς12.,!-_#'<|> \t\n\x1c\u00a0日本"
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        assert vector_packing.text_ids(words, text) == words.encode(text)
+    assert len(words) - words.forms <= 40 + 60
+
+
 def test_limits_on_segments_and_loss_hold_for_instruction_data(spark):
     rng = random.Random(8)
     say = lambda a, b: " ".join(rng.choices(["yes", "no", "why", "because"], k=rng.randint(a, b)))
