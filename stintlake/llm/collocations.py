@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
-SHARD, SLICE, FILTER_BITS = 1 << 21, 1 << 17, 1 << 27
+SHARD, SLICE, FILTER_BITS = 1 << 19, 1 << 15, 1 << 27
 
 #: Letters to lower case, borders of pieces to line feeds, tab to space; other bytes stay.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
