@@ -34,11 +34,25 @@ def media_story_scores(assets: DataFrame, asset_entities: DataFrame, story_entit
     is the feature. A pair needs a shared race or two shared entities. Merged stories are left out.
 
     assets (id, content_role), stories (id, title, updated_at, merged_into), entities (id, entity_type)."""
-    kind = entities.select(F.col("id").alias("entity_id"), "entity_type")
     live = stories.where("merged_into is null").select(F.col("id").alias("story_id"), "title", "updated_at")
-    pairs = asset_entities.select("asset_id", "entity_id").join(kind, "entity_id").join(story_entities.select("story_id", "entity_id"), "entity_id")
-    count = lambda name: F.count_if(F.col("entity_type") == name).alias(name)
-    shared = pairs.groupBy("asset_id", "story_id").agg(F.count(F.lit(1)).alias("shared"), count("race"), count("person"), count("team")).where("race > 0 or shared >= 2")
+    kind = entities.select(F.col("id").alias("entity_id"), "entity_type")
+
+    def bags(rows: DataFrame, key: str) -> DataFrame:
+        """The entities of each asset or story, which are few."""
+        return rows.select(key, "entity_id").join(kind, "entity_id").groupBy(key).agg(F.collect_set(F.struct("entity_id", "entity_type")).alias("bag"))
+
+    def meeting(bag: DataFrame, key: str) -> DataFrame:
+        """What must be shared: a race, or two others at once. A person of a third of all stories joins nothing alone."""
+        of = lambda race: F.array_sort(F.transform(F.filter("bag", lambda e: F.coalesce(e["entity_type"] == "race", F.lit(False)) == race), lambda e: e["entity_id"].cast("string")))
+        others = of(False)
+        pairs = F.flatten(F.transform(others, lambda a: F.transform(F.filter(others, lambda b: b > a), lambda b: F.concat_ws("\u0001", a, b))))
+        return bag.select(key, F.explode(F.concat(F.transform(of(True), lambda r: F.concat(F.lit("\u0002"), r)), pairs)).alias("meets"))
+
+    mine, theirs = bags(asset_entities, "asset_id"), bags(story_entities.join(live.select("story_id"), "story_id", "left_semi"), "story_id")
+    met = meeting(mine, "asset_id").join(meeting(theirs, "story_id"), "meets").select("asset_id", "story_id").distinct()
+    both = met.join(mine, "asset_id").join(theirs.withColumnRenamed("bag", "other"), "story_id").withColumn("common", F.array_intersect("bag", "other"))
+    count = lambda name: F.size(F.filter("common", lambda e: e["entity_type"] == name)).alias(name)
+    shared = both.select("asset_id", "story_id", F.size("common").alias("shared"), count("race"), count("person"), count("team"))
     rows = shared.join(live, "story_id").join(assets.select(F.col("id").alias("asset_id"), "content_role"), "asset_id")
     order = Window.partitionBy("asset_id").orderBy(F.col("race").desc(), F.col("shared").desc(), F.col("updated_at").desc_nulls_first(), F.col("story_id"))
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= STORIES)

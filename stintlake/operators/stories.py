@@ -51,7 +51,8 @@ def same_story_pairs(items: DataFrame, window_days: int = WINDOW_DAYS) -> DataFr
     entity = F.array_union(F.coalesce("strong", F.array()), F.coalesce("races", F.array()))
     key = lambda kind, value: F.concat(F.lit(kind), value)
     own = lambda shifts: F.array_compact(F.concat(F.array(key("e:", F.col("event")), key("t:", F.col("norm"))), F.coalesce(F.flatten(F.transform(entity, lambda e: F.array(*[F.concat(F.lit("n:"), e.cast("string"), F.lit("@"), (day + k).cast("string")) for k in shifts]))), F.array().cast("array<string>"))))
-    left, right = base.select("id", "provider", F.explode(own((0,))).alias("key")), base.select(F.col("id").alias("other"), F.col("provider").alias("p2"), F.explode(own((-1, 0, 1))).alias("key"))
+    left, right = base.select("id", "provider", F.explode(own((0,))).alias("key")), base.select(F.col("id").alias("other"), F.col("provider").alias("p2"), F.explode(own((-1, 0))).alias("key"))
+    # of two items in neighbouring spans the later one finds the earlier, whichever id is smaller
     met = left.join(right, "key").where("id <> other and provider <> p2").select(F.least("id", "other").alias("left_id"), F.greatest("id", "other").alias("right_id")).distinct()
     side = lambda p: base.select(*[F.col(c).alias(f"{p}_{c}") for c in base.columns])
     both = met.join(side("left"), "left_id").join(side("right"), "right_id")

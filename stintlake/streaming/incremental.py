@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintlake.operators.core import keyed_merge
 from stintlake.operators.shared import shared_folder
 
+from .ledger import Inbox, loaded, merge_batch
+
 
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -30,20 +31,14 @@ def file_stream(spark: SparkSession, folder: str, name: str, files: int = 1) ->
 
 
 def run_merge(stream: DataFrame, target: str, keys: list[str], version: str) -> DataFrame:
-    """Fold a stream into a keyed table: each micro-batch is merged into the last generation and
-    written as the next one, so a replayed batch writes the same rows and nothing is read from the
-    path that is written."""
+    """Fold a stream into a keyed table. Keys are spread over buckets, and a micro-batch writes the buckets that it touches
+    to a folder of its own: nothing is read from the path that is written, a replayed batch writes the same rows, and the
+    cost of a batch follows its keys' buckets and not the table."""
     spark = stream.sparkSession
-    # rows of one version are told apart by all their columns, so a replay makes the same choice
-    order = [F.col(version).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in stream.columns if c not in (*keys, version)]]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(f"{target}/gen={number - 1}") if number else batch.limit(0)
-        keyed_merge(old, batch, keys, order).write.mode("overwrite").parquet(f"{target}/gen={number}")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_log").trigger(availableNow=True).start()
+    inbox = Inbox("", target, stream.schema, tuple(keys), version)
+    query = stream.writeStream.foreachBatch(lambda batch, number: merge_batch(spark, inbox, batch, number)).option("checkpointLocation", f"{target}/_log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return newest(spark, target, stream.schema)
+    return loaded(spark, inbox)
 
 
 def merged_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,19 +101,34 @@ def load_batch(spark: SparkSession, inbox: Inbox, sources: list[str], batch: int
         if state == "loaded":
             parts.append(staged)
     if parts:
-        bucket = F.pmod(F.xxhash64(*inbox.keys), F.lit(inbox.buckets)).cast("int")
-        new = spark.read.schema(inbox.schema).parquet(*parts)
-        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-        old = _rows(spark, inbox, {b: places[b] for b in touched if b in places})
-        # rows of one version are told apart by all their columns, so a batch that is done again makes the same choice
-        order = [F.col(inbox.version).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in inbox.schema.names if c not in (*inbox.keys, inbox.version)]]
-        merged = keyed_merge(old, new, list(inbox.keys), order).withColumn("_bucket", bucket)
-        merged.write.mode("overwrite").partitionBy("_bucket").parquet(_at(inbox, batch, "rows"))
-        places |= {b: batch for b in touched}
+        places = _merge(spark, inbox, spark.read.schema(inbox.schema).parquet(*parts), batch, places)
     spark.createDataFrame(notes, LEDGER).coalesce(1).write.mode("overwrite").parquet(_at(inbox, batch, "ledger"))
+    _finish(spark, inbox, batch, places)
+
+
+def _merge(spark: SparkSession, inbox: Inbox, new: DataFrame, batch: int, places: dict[int, int]) -> dict[int, int]:
+    """Write the buckets that the new rows touch, merged with what they held; ``new`` is read twice. Returns where buckets are now."""
+    bucket = F.pmod(F.xxhash64(*inbox.keys), F.lit(inbox.buckets)).cast("int")
+    touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+    old = _rows(spark, inbox, {b: places[b] for b in touched if b in places})
+    # rows of one version are told apart by all their columns, so a batch that is done again makes the same choice
+    order = [F.col(inbox.version).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in inbox.schema.names if c not in (*inbox.keys, inbox.version)]]
+    merged = keyed_merge(old, new, list(inbox.keys), order).withColumn("_bucket", bucket)
+    merged.write.mode("overwrite").partitionBy("_bucket").parquet(_at(inbox, batch, "rows"))
+    return places | {b: batch for b in touched}
+
+
+def _finish(spark: SparkSession, inbox: Inbox, batch: int, places: dict[int, int]) -> None:
     spark.createDataFrame(list(places.items()), PLACES).coalesce(1).write.mode("overwrite").parquet(_at(inbox, batch, "places"))
 
 
+def merge_batch(spark: SparkSession, inbox: Inbox, new: DataFrame, batch: int) -> None:
+    """Merge rows that a stream delivers as batch number ``batch``; a batch that is finished is left alone."""
+    last = _last(spark, inbox)
+    if last is None or batch > last:
+        _finish(spark, inbox, batch, _merge(spark, inbox, new, batch, _places(spark, inbox, last)))
+
+
 class Enough(Exception):
     """The run has done its batches; the one at hand is left to the next run."""
 
