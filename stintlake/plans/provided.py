@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stintlake.functions import taxonomy
+from stintlake.operators.routing import route_items
 from stintlake.sources.feeds import feed_entries, feed_states
 from stintlake.sources.galleries import gallery_pictures
 
@@ -102,3 +103,29 @@ def gallery_items(lineitem):
     pages = _pages(lineitem, F.when(n % 4 == 0, bare).when(n % 4 == 1, linked).when(n % 4 == 2, alone).otherwise(other))
     pages = pages.select(F.col("l_orderkey").alias("page"), F.lit("https://g.example/2024/gallery").alias("url"), _joined("<h1> </h1><h1>Gallery <b>", F.col("l_orderkey"), "</b></h1><h1>late</h1>", F.col("html")).alias("html"))
     return gallery_pictures(pages, "page", "url", "html")
+
+
+@query("part", sql=r"""
+WITH i AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'News of the week' WHEN 1 THEN 'xf1 test' ELSE 'Formula  1:' END || CASE WHEN p_partkey % 17 = 0 THEN ' ica-2024-0' || (p_partkey % 5) ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END || ' ' || p_name AS text FROM part),
+rules AS (SELECT DISTINCT p_type AS story_id, CASE WHEN starts_with(p_type, 'E') THEN 5 ELSE 3 END AS min_score FROM part),
+terms AS (SELECT story_id, story_id AS term, 3 AS weight FROM rules UNION ALL SELECT DISTINCT p_type, upper(p_name), 2 FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT DISTINCT p_type, p_name || '', 1 FROM part WHERE p_partkey % 30 = 7 UNION ALL SELECT story_id, 'f', 1 FROM rules WHERE length(story_id) % 2 = 0),
+idents AS (SELECT story_id, 'ICA-2024-0' || (length(story_id) % 5) AS value FROM rules),
+own AS (SELECT id, min(story_id) AS a, max(story_id) AS b FROM (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bICA-\d{4}(?:-\d{2})+\b'), lambda x: upper(x)))) AS value FROM i) JOIN idents USING (value) GROUP BY 1),
+s AS (SELECT id, story_id, sum(weight) AS score FROM i JOIN terms ON contains(lower(text), lower(term)) GROUP BY 1, 2),
+e AS (SELECT s.* FROM s JOIN rules USING (story_id) WHERE score >= min_score),
+t AS (SELECT id, max(score) AS top FROM e GROUP BY 1),
+u AS (SELECT t.id, top, count(*) AS ties, min(story_id) AS story_id FROM t JOIN e ON e.id = t.id AND e.score = t.top GROUP BY 1, 2),
+r AS (SELECT i.id, a, b, top, ties, u.story_id AS story, CASE WHEN a <> b THEN 'ambiguous' WHEN a IS NOT NULL THEN 'matched' WHEN NOT regexp_matches(text, '(?i)\bformula\s+one\b|\bformula\s*1\b|\bf1\b') THEN 'filtered' WHEN ties IS NULL THEN 'unmatched' WHEN ties > 1 THEN 'ambiguous' ELSE 'matched' END AS status
+  FROM i LEFT JOIN own ON own.id = i.id LEFT JOIN u ON u.id = i.id)
+SELECT id, status, CASE WHEN status = 'matched' THEN coalesce(a, story) END AS story_id, CASE WHEN a IS NOT NULL THEN 100 WHEN status IN ('filtered', 'unmatched') THEN 0 ELSE top END::BIGINT AS score FROM r""")
+def routed_items(part):
+    """ST14, DM53: items to stories by identifiers and weighted terms, filtered and ambiguous ones included."""
+    k, kind, name = F.col("p_partkey"), F.col("p_type"), F.col("p_name")
+    opening = F.when(k % 6 == 0, "News of the week").when(k % 6 == 1, "xf1 test").otherwise("Formula  1:")
+    title = F.concat(opening, F.when(k % 17 == 0, F.concat(F.lit(" ica-2024-0"), k % 5)).otherwise(""))
+    items = part.select(k.alias("id"), title.alias("title"), F.array_compact(F.array(F.when(k % 3 == 0, kind), name)).alias("categories"))
+    rules = part.select(kind.alias("story_id"), F.when(kind.startswith("E"), 5).otherwise(3).alias("min_score")).distinct()
+    story, term = F.col("story_id"), lambda where, text, weight: part.where(where).select(kind.alias("story_id"), text.alias("term")).distinct().withColumn("weight", F.lit(weight))
+    terms = rules.select(story, story.alias("term"), F.lit(3).alias("weight")).unionByName(term(k % 20 == 0, F.upper(name), 2)).unionByName(term(k % 30 == 7, name, 1)).unionByName(rules.where(F.length(story) % 2 == 0).select(story, F.lit("f").alias("term"), F.lit(1).alias("weight")))
+    identifiers = rules.select(story, F.concat(F.lit("ICA-2024-0"), F.length(story) % 5).alias("value"))
+    return route_items(items, rules, terms, identifiers)
