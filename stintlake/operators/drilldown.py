@@ -107,3 +107,26 @@ def first_of_scope(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The first events of every scope (the limit is the feature) with their ``place``; ranks are limited before the shuffle."""
     order = [F.col("timeline_at").isNull(), F.col("timeline_at"), F.coalesce("lap_number", F.lit(0)), F.coalesce("stint_number", F.lit(0)), F.col("event_id")]
     return events.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(*order))).where(F.col("place") <= limit)
+
+
+def session_choices(tables: dict[str, DataFrame]) -> DataFrame:
+    """The sessions of every race in order, for a picker: race_id, session_id, session_code, place, results, drivers, loaded. ``drivers`` counts those
+    entered or timed, ``loaded`` says whether laps are there. Cancelled sessions are left out."""
+    sessions = tables["race_sessions"]
+    live = sessions.where("not coalesce(is_cancelled, false)") if "is_cancelled" in sessions.columns else sessions
+    order = Window.partitionBy("race_id").orderBy(F.col("starts_at").asc_nulls_last(), "id")
+    rows = live.select("race_id", F.col("id").alias("session_id"), "session_code", F.row_number().over(order).alias("place"))
+    count = lambda name, out: tables[name].groupBy("session_id").agg(F.count(F.lit(1)).alias(out))
+    seen = tables["session_entries"].select("session_id", "driver_entity_id").unionByName(tables["session_laps"].select("session_id", "driver_entity_id"))
+    drivers = seen.groupBy("session_id").agg(F.countDistinct("driver_entity_id").alias("drivers"))
+    rows = rows.join(count("session_results", "results"), "session_id", "left").join(drivers, "session_id", "left").join(count("session_laps", "laps"), "session_id", "left")
+    return rows.select("race_id", "session_id", "session_code", "place", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("drivers", F.lit(0)).alias("drivers"), F.col("laps").isNotNull().alias("loaded"))
+
+
+def session_drivers(tables: dict[str, DataFrame]) -> DataFrame:
+    """The drivers of every session, for a picker: session_id, driver_entity_id, driver_key, driver_name, laps; those with a name alone."""
+    laps = tables["session_laps"].groupBy("session_id", "driver_entity_id").agg(F.count(F.lit(1)).alias("laps"))
+    seen = tables["session_entries"].select("session_id", "driver_entity_id").where("driver_entity_id is not null").distinct()
+    rows = seen.join(laps.where("driver_entity_id is not null"), ["session_id", "driver_entity_id"], "full")
+    named = tables["entities"].select(F.col("id").alias("driver_entity_id"), F.col("slug").alias("driver_key"), F.col("display_name").alias("driver_name"))
+    return rows.join(named, "driver_entity_id").select("session_id", "driver_entity_id", "driver_key", "driver_name", F.coalesce("laps", F.lit(0)).alias("laps"))

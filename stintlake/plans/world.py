@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stintlake.operators import drilldown
 from stintlake.operators import tower as towers
+from stintlake.operators.canonical import deep_anchor
 
 from . import context, facets
 from .registry import query
@@ -302,3 +303,37 @@ def reference_paths_of_sessions(events):
     """DM16, JN12: the path of the fastest lap of every session."""
     t = _timing(events)
     return towers.reference_paths(t["laps"], t["locations"])
+
+
+@query(*GIVEN, sql=with_tables(["race_sessions", "session_results", "session_entries", "session_laps"]) + """,
+seen AS (SELECT session_id, driver_entity_id FROM session_entries UNION ALL SELECT session_id, driver_entity_id FROM session_laps)
+SELECT race_id, s.id AS session_id, session_code, row_number() OVER (PARTITION BY race_id ORDER BY starts_at, s.id) AS place, (SELECT count(*) FROM session_results r WHERE r.session_id = s.id) AS results,
+  (SELECT count(DISTINCT driver_entity_id) FROM seen WHERE seen.session_id = s.id) AS drivers, EXISTS (SELECT 1 FROM session_laps l WHERE l.session_id = s.id) AS loaded FROM race_sessions s""")
+def session_choices(*given):
+    """DX02, DX12, DX15: the sessions of every race with their results, drivers and whether laps are there."""
+    return drilldown.session_choices(tables_of(*given))
+
+
+@query(*GIVEN, sql=with_tables(["entities", "session_entries", "session_laps"]) + """,
+l AS (SELECT session_id, driver_entity_id, count(*) AS laps FROM session_laps GROUP BY 1, 2),
+d AS (SELECT session_id, driver_entity_id FROM session_entries UNION SELECT session_id, driver_entity_id FROM l)
+SELECT d.session_id, d.driver_entity_id, e.slug AS driver_key, display_name AS driver_name, coalesce(laps, 0) AS laps FROM d JOIN entities e ON e.id = d.driver_entity_id LEFT JOIN l ON l.session_id = d.session_id AND l.driver_entity_id = d.driver_entity_id""")
+def session_driver_choices(*given):
+    """DX12: the drivers of every session."""
+    return drilldown.session_drivers(tables_of(*given))
+
+
+_PLACEMENTS = """SELECT 's' || id AS story_id, race_id * 10 + 3 AS session_id, CASE WHEN id % 15 <> 0 THEN driver_entity_id END AS driver_entity_id, CASE WHEN id % 4 < 3 THEN id % 7 + 1 END AS lap_number,
+  CASE WHEN id % 3 = 0 THEN 1 + id % 2 END AS stint_number, at_ AS fallback FROM {held} WHERE id % 5 = 0"""
+
+
+@query(*GIVEN, sql=with_tables(["held", "session_stints", "session_laps"]) + f""",
+p AS ({re.sub(r"[{](\w+)[}]", r"\1", _PLACEMENTS)}),
+b AS (SELECT session_id, driver_entity_id, stint_number, lap_start FROM session_stints QUALIFY row_number() OVER (PARTITION BY session_id, driver_entity_id, stint_number ORDER BY fetched_at DESC NULLS FIRST, lap_start NULLS LAST) = 1),
+q AS (SELECT p.*, coalesce(nullif(b.lap_start, 0), p.lap_number) AS lap FROM p LEFT JOIN b ON b.session_id = p.session_id AND b.driver_entity_id = p.driver_entity_id AND b.stint_number = p.stint_number)
+SELECT story_id, session_id, driver_entity_id, lap_number, stint_number, fallback, coalesce((SELECT min(started_at) FROM session_laps l WHERE l.session_id = q.session_id AND l.lap_number = q.lap AND (q.driver_entity_id IS NULL OR l.driver_entity_id = q.driver_entity_id)), fallback) AS anchor_at FROM q""")
+def deep_anchors_of_stints(*given):
+    """DM45, DX09: when the lap or the first lap of the stint that a story speaks of began, for its driver or the first of all."""
+    tables = tables_of(*given)
+    placements = given[0].sparkSession.sql(_PLACEMENTS, held=tables["held"])
+    return deep_anchor(placements, tables["session_stints"], tables["session_laps"])
