@@ -1,4 +1,4 @@
-"""Byte-exact substring removal with sharded suffix arrays.
+"""Substring removal on bytes with sharded suffix arrays.
 
 Every byte covered by a ``LENGTH``-byte string that also starts anywhere else is removed. The
 same search tells how many bytes lie in shorter repeats, of ``SHORT`` bytes, about a passage of

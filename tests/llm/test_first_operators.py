@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stintlake.llm import decontaminate, exact_dedup, packing, pii, quality, queries, toxicity
+from stintlake.llm.common import labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, _id int"
 
@@ -212,8 +213,8 @@ def test_classifiers_on_held_out_rows(spark, odd, empty, tmp_path):
         assert {r.doc_id for r in held} == {k for k in range(600) if zlib.crc32(str(k).encode()) % 4 == 2}
         assert sum(r.predicted == label(r.doc_id) for r in held) / len(held) > 0.95
     twice = labels.unionByName(labels.where("doc_id = 1").withColumn("quality", labels.quality * 0))
-    picked = queries.quality.labelled_sample(docs, twice, "quality", 10**6) if hasattr(queries.quality, "labelled_sample") else None
-    assert picked is None or [r._label for r in picked.where("doc_id = 1").collect()] in ([0.0], [])
+    picked, _ = labelled_sample(docs, twice, "quality", 10**6, {"text": docs.text})
+    assert [r.y for r in picked.where(f"text = '{docs.where('doc_id = 1').first().text}'").collect()] in ([0.0], [])
     model, tox = quality.fit(docs, labels), toxicity.fit(docs, labels)
     assert quality.with_quality(odd.drop("n_chars"), model, out="q").count() == 9
     assert odd.select(toxicity.toxicity_score(tox, odd.text).alias("s")).where("s between 0 and 1").count() == 9
