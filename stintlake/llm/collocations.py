@@ -6,8 +6,7 @@ bitmap of a phrase holds where it ends: shifting it by one and ANDing it with th
 all its extensions, and popcounts are their occurrences, overlaps included. A blank is in no bitmap, so no phrase crosses
 the border of a piece. Prefix classes are extended depth first, a bounded slice of first words at a time.
 
-Counts of shards are summed by Spark. Passes over the stored shards count words, pairs (first by their hashes, as most are
-rare, then the likely ones by name), triples, and phrases of four and five words; a pass extends only what the passes before found frequent. Shards learn
+Counts of shards are summed by Spark. Four passes over the stored shards count words, pairs, triples, and phrases of four and five words; a pass extends only what the passes before found frequent. Shards learn
 that from a filter of ``FILTER_BITS`` bits over phrase hashes (16 MB, whatever the corpus): a false hit costs
 time, never a result, since the sums decide. A filter that fills up prunes less; raise ``filter_bits`` with the corpus.
 
@@ -194,8 +193,8 @@ def joined(words: pa.Array, phrases: np.ndarray) -> pa.Array:
     return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, b" ")
 
 
-def counts(parts: DataFrame, lengths: range, filters: dict[int, np.ndarray], named: bool = True) -> DataFrame:
-    """Rows (lang, phrase, f) of each shard, to be summed, of phrases that may be frequent; without names, rows (hash, f)."""
+def counts(parts: DataFrame, lengths: range, filters: dict[int, np.ndarray]) -> DataFrame:
+    """Rows (lang, phrase, f) of each shard, to be summed, of phrases that may be frequent."""
     shared = parts.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,21 +205,18 @@ def counts(parts: DataFrame, lengths: range, filters: dict[int, np.ndarray], nam
                 if lengths.start == 1:
                     n = np.bincount(ids, minlength=len(names))
                     found = iter([(np.arange(1, len(names))[:, None], n[1:])])
-                    hashes = word_hashes(lang, names)
                 else:
                     shard = Shard(lang, names, ids, shared.value)
-                    found, hashes = shard.mine(lengths), shard.hashes
+                    found = shard.mine(lengths)
                 for phrases, n in found:
-                    if len(n) and named:
+                    if len(n):
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), joined(words, phrases), pa.array(n)], names=["lang", "phrase", "f"])
-                    elif len(n):
-                        yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(hashes, phrases).view(np.int64)), pa.array(n)], names=["hash", "f"])
 
-    return parts.mapInArrow(run, "lang string, phrase binary, f bigint" if named else "hash bigint, f bigint")
+    return parts.mapInArrow(run, "lang string, phrase binary, f bigint")
 
 
 def summed(rows: DataFrame, least: int) -> DataFrame:
-    return rows.groupBy(*[c for c in rows.columns if c != "f"]).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def hashed(phrases: DataFrame) -> DataFrame:
@@ -256,9 +252,6 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX
     for lengths in (range(1, 2), range(2, 3), range(3, 4), range(4, longest + 1)):
         if lengths.start > longest or not len(lengths):
             break
-        if lengths.start == 2:
-            # pairs are many and mostly rare: sums of their hashes alone say which may be frequent, and only those are named
-            filters[2] = hash_filter(summed(counts(parts, lengths, dict(filters), named=False), least), filter_bits)
         rows = ones if lengths.start == 1 else counts(parts, lengths, dict(filters))
         found.append(stored(summed(rows, least), f"phrases_{lengths.start}"))
         if lengths.stop <= longest:
