@@ -6,9 +6,11 @@ bitmap of a phrase holds where it ends: shifting it by one and ANDing it with th
 all its extensions, and popcounts are their occurrences, overlaps included. A blank is in no bitmap, so no phrase crosses
 the border of a piece. Prefix classes are extended depth first, a bounded slice of first words at a time.
 
-Counts of shards are summed by Spark. Four passes over the stored shards count words, pairs, triples, and phrases of four and five words; a pass extends only what the passes before found frequent. Shards learn
-that from a filter of ``FILTER_BITS`` bits over phrase hashes (16 MB, whatever the corpus): a false hit costs
-time, never a result, since the sums decide. A filter that fills up prunes less; raise ``filter_bits`` with the corpus.
+Counts of shards are summed by Spark. Passes over the stored shards count words, then pairs and triples by slots of their hashes, then all likely phrases by name; a pass extends only what the passes before found
+likely. A slot's sum is never less than the count of a phrase in it, so rare phrases, which are most, never leave a shard by name. Slots travel sorted, in byte planes, and there are
+2^32 for each 2^21 positions or less, so they fill up at no corpus size. Shards learn of frequent phrases
+from a filter of ``FILTER_BITS`` bits over phrase hashes (16 MB, whatever the corpus): a false hit costs
+time, never a result, since the sums by name decide. A filter that fills up prunes less; raise ``filter_bits`` with the corpus.
 
 A shard is closed at ``SHARD`` positions or at the end of a task's rows, so a language with a third of all rows fills more
 shards; a single text longer than that is one shard. Scores are ratios of decimals with 38 digits, exact while 1000 * a * n stays below 10^38.
@@ -32,6 +34,8 @@ from .common import stored
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 SHARD, SLICE, FILTER_BITS = 1 << 19, 1 << 15, 1 << 27
+#: Positions behind a group of slots, slots that a task holds before they leave it, and shards of a row group, of which a reader decodes all at once.
+GROUP, HELD, ROW_GROUP = 1 << 21, 1 << 21, 4
 
 #: Letters to lower case, borders of pieces to line feeds, tab to space; other bytes stay.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -219,6 +223,73 @@ def summed(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
+def merged(slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots in order with their sums."""
+    order = np.argsort(slots)
+    slots, n = slots[order], n[order]
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.zeros(0, np.int64)
+    return slots[first], np.add.reduceat(n, first) if len(slots) else n
+
+
+def planes(slots: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as four planes of bytes, of which the upper ones hardly change."""
+    return slots.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def likely(parts: DataFrame, length: int, filters: dict[int, np.ndarray], least: int, groups: int) -> DataFrame:
+    """The slots (hash) whose phrases of ``length`` words occur ``least`` times in sum: the low 32 bits of the phrase hash and the
+    number of its group, of which there are ``groups`` (a power of two), above them."""
+    shared = parts.sparkSession.sparkContext.broadcast(filters)
+    mask = np.uint64(groups * (1 << 32) - 1)
+
+    def packed(found: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
+        slots, n = merged(np.concatenate(found), np.concatenate(sums))
+        group = (slots >> np.uint64(32)).astype(np.int32)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = [*first[1:].tolist(), len(slots)]
+        n = np.minimum(n, least).astype(np.int32)  # that many in one task are enough
+        cut = list(zip(first.tolist(), ends, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array([planes(slots[a:b]) for a, b in cut], pa.binary()), pa.array([planes(n[a:b]) for a, b in cut], pa.binary())], names=["group", "slots", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sums, held = [], [], 0
+        for batch in batches:
+            for k, lang in enumerate(batch.column(0).to_pylist()):
+                names, ids = batch.column(1)[k].values.to_pylist(), batch.column(2)[k].values.to_numpy()
+                shard = Shard(lang, names, ids, shared.value)
+                for phrases, n in shard.mine(range(length, length + 1)):
+                    found.append(phrase_hash(shard.hashes, phrases) & mask)
+                    sums.append(n)
+                    held += len(n)
+                if held >= HELD:
+                    yield packed(found, sums)
+                    found, sums, held = [], [], 0
+        if held:
+            yield packed(found, sums)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, n, group = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        held, bound = 0, HELD
+        for batch in batches:
+            for g, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                group = g
+                slots.append(from_planes(a).astype(np.uint64))
+                n.append(from_planes(b).astype(np.int64))
+                held += len(n[-1])
+                if held >= bound:
+                    one, total = merged(np.concatenate(slots), np.concatenate(n))
+                    slots, n, held, bound = [one], [total], len(one), max(HELD, 2 * len(one))
+        one, total = merged(np.concatenate(slots), np.concatenate(n))
+        hit = one[total >= least] | np.uint64(group << 32)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.view(np.int64))], names=["hash"])
+
+    return parts.mapInArrow(run, "group int, slots binary, n binary").groupBy("group").applyInArrow(settled, "hash bigint")
+
+
 def hashed(phrases: DataFrame) -> DataFrame:
     """The hashes of phrases (lang, phrase), as ``phrase_hash`` makes them."""
 
@@ -245,20 +316,19 @@ def hash_filter(frequent: DataFrame, bits: int) -> np.ndarray:
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang", size: int = SHARD, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, n) of all words."""
-    parts = stored(shards(docs, text_col, lang_col, size), "shards")
+    parts = stored(shards(docs, text_col, lang_col, size), "shards", ROW_GROUP)
     ones = counts(parts, range(1, 2), {})
     totals = stored(ones.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    filters, found = {}, []
-    for lengths in (range(1, 2), range(2, 3), range(3, 4), range(4, longest + 1)):
-        if lengths.start > longest or not len(lengths):
-            break
-        rows = ones if lengths.start == 1 else counts(parts, lengths, dict(filters))
-        found.append(stored(summed(rows, least), f"phrases_{lengths.start}"))
-        if lengths.stop <= longest:
-            filters[lengths.start] = hash_filter(hashed(found[-1]), filter_bits)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = stored(summed(ones, least), "words")
+    if longest > 1:
+        n = totals.agg(F.sum("n")).first()[0] or 0
+        groups = 64
+        while groups * GROUP < n:
+            groups *= 2
+        filters = {1: hash_filter(hashed(out), filter_bits)}
+        for length in range(2, min(longest, 3) + 1):
+            filters[length] = hash_filter(likely(parts, length, dict(filters), least, groups), filter_bits)
+        out = out.unionByName(stored(summed(counts(parts, range(2, longest + 1), filters), least), "phrases"))
     phrase = F.col("phrase").cast("string")
     return out.select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ", -1)).alias("words"), "f"), totals
 

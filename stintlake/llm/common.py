@@ -29,12 +29,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", row_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that
-    outlive any executor."""
+    outlive any executor. Tables of very large rows name how many make a row group, since readers decode all of one at once."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    options = {"parquet.block.row.count.limit": row_group} if row_group else {}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
