@@ -35,16 +35,16 @@ def accepted_pairs(pairs: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", a: str = "left_id", b: str = "right_id") -> DataFrame:
     """(id, root): the smallest id each node reaches. Every pass takes the smallest root among the
     neighbours and then the root's own root, so distances shrink fast; minima are combined
-    before the shuffle. Ends of edges that are no nodes are left out."""
+    before the shuffle, and no pass sends the nodes through the driver. Ends of edges that are no nodes are left out."""
     ids = nodes.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     ends = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = durable(ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().join(ids.withColumnRenamed("id", "x"), "x", "left_semi").join(ids.withColumnRenamed("id", "y"), "y", "left_semi"))
     now = durable(both.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("root")))
     while True:
-        near = both.join(now.select(F.col("id").alias("y"), "root"), "y").groupBy(F.col("x").alias("id")).agg(F.min("root").alias("near"))
-        low = now.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        near = both.join(now.select(F.col("id").alias("y"), "root").hint("merge"), "y").groupBy(F.col("x").alias("id")).agg(F.min("root").alias("near"))
+        low = now.join(near.hint("merge"), "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         up = now.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        after = durable(low.join(up, "root", "left").select("id", F.least("root", "above").alias("root"), "was"))
+        after = durable(low.join(up.hint("merge"), "root", "left").select("id", F.least("root", "above").alias("root"), "was"))
         settled = after.where("root != was").isEmpty()
         now = after.drop("was")
         if settled:

@@ -1,8 +1,9 @@
-"""Iterations cut their lineage with checkpoints in the folder that driver and executors share."""
+"""Iterations cut their lineage with tables in the folder that driver and executors share; rows that grow are spread first."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint. The session's folder is used where there is one
-    (``spark.checkpoint.dir``); otherwise, as in tests, a temporary one is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Written once to the shared folder and read back: neither plans nor their broadcasts grow with the
+    passes, and no pass is computed a second time, as ``checkpoint`` does."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Dealt by columns over as many partitions as the session has for shuffles: small rows of which each makes many
+    are neither read in one task nor put together again by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
