@@ -20,6 +20,8 @@ ROLE_WORDS = {
     "reaction": ("react", "reaction", "speaks", "says"),
 }
 BASE, SHARED, RACE, PERSON, TEAM, ROLE, MOST, STORIES = 45, 10, 20, 10, 5, 10, 95, 30
+#: Stories of an entity beyond which it meets only together with another; the results are the same for any number.
+COMMON = 1000
 
 
 def role_in_title(role: Column, title: Column) -> Column:
@@ -37,22 +39,30 @@ def media_story_scores(assets: DataFrame, asset_entities: DataFrame, story_entit
     live = stories.where("merged_into is null").select(F.col("id").alias("story_id"), "title", "updated_at")
     kind = entities.select(F.col("id").alias("entity_id"), "entity_type")
 
-    def bags(rows: DataFrame, key: str) -> DataFrame:
-        """The entities of each asset or story, which are few."""
-        return rows.select(key, "entity_id").join(kind, "entity_id").groupBy(key).agg(F.collect_set(F.struct("entity_id", "entity_type")).alias("bag"))
+    told = story_entities.join(live.select("story_id"), "story_id", "left_semi").select("story_id", "entity_id").distinct()
+    many = told.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > COMMON).select("entity_id", F.lit(True).alias("_many"))
+    race = F.coalesce(F.col("entity_type") == "race", F.lit(False))
+    known = kind.join(many, "entity_id", "left").select("entity_id", F.struct("entity_id", "entity_type").alias("e"), (F.coalesce("_many", F.lit(False)) & ~race).alias("common")).distinct()
+    mine, theirs = asset_entities.select("asset_id", "entity_id").distinct().join(known, "entity_id").drop("entity_id"), told.join(known, "entity_id").drop("entity_id")
 
-    def meeting(bag: DataFrame, key: str) -> DataFrame:
-        """What must be shared: a race, or two others at once. A person of a third of all stories joins nothing alone."""
-        of = lambda race: F.array_sort(F.transform(F.filter("bag", lambda e: F.coalesce(e["entity_type"] == "race", F.lit(False)) == race), lambda e: e["entity_id"].cast("string")))
-        others = of(False)
-        pairs = F.flatten(F.transform(others, lambda a: F.transform(F.filter(others, lambda b: b > a), lambda b: F.concat_ws("\u0001", a, b))))
-        return bag.select(key, F.explode(F.concat(F.transform(of(True), lambda r: F.concat(F.lit("\u0002"), r)), pairs)).alias("meets"))
+    def counted(rows: DataFrame) -> DataFrame:
+        count = lambda name: F.count_if(F.col("e.entity_type") == name).alias(name)
+        return rows.groupBy("asset_id", "story_id").agg(F.count(F.lit(1)).alias("shared"), count("race"), count("person"), count("team"))
 
-    mine, theirs = bags(asset_entities, "asset_id"), bags(story_entities.join(live.select("story_id"), "story_id", "left_semi"), "story_id")
-    met = meeting(mine, "asset_id").join(meeting(theirs, "story_id"), "meets").select("asset_id", "story_id").distinct()
-    both = met.join(mine, "asset_id").join(theirs.withColumnRenamed("bag", "other"), "story_id").withColumn("common", F.array_intersect("bag", "other"))
-    count = lambda name: F.size(F.filter("common", lambda e: e["entity_type"] == name)).alias(name)
-    shared = both.select("asset_id", "story_id", F.size("common").alias("shared"), count("race"), count("person"), count("team"))
+    # entities of a bounded number of stories, and races, meet alone. A person of a third of all stories joins nothing
+    # alone: common ones meet by two at once, and are looked up where something else has met
+    few = counted(mine.where("not common").join(theirs.where("not common").drop("common"), "e"))
+    of_asset, of_story = mine.where("common").drop("common"), theirs.where("common").drop("common")
+
+    def two(rows: DataFrame, key: str) -> DataFrame:
+        bag = rows.groupBy(key).agg(F.sort_array(F.collect_set("e")).alias("bag")).where(F.size("bag") > 1)
+        return bag.select(key, F.posexplode("bag").alias("at", "first"), "bag").select(key, "first", F.explode(F.slice("bag", F.col("at") + 2, F.size("bag"))).alias("second"))
+
+    pairs = two(of_asset, "asset_id").join(two(of_story, "story_id"), ["first", "second"]).select("asset_id", "story_id")
+    met = few.join(of_story.select("story_id").distinct(), "story_id", "left_semi").select("asset_id", "story_id").unionByName(pairs).distinct()
+    often = counted(met.join(of_story, "story_id").join(of_asset, ["asset_id", "e"]))
+    total = [F.sum(c).cast("int").alias(c) for c in ("shared", "race", "person", "team")]
+    shared = few.unionByName(often).groupBy("asset_id", "story_id").agg(*total).where("race > 0 or shared > 1")
     rows = shared.join(live, "story_id").join(assets.select(F.col("id").alias("asset_id"), "content_role"), "asset_id")
     order = Window.partitionBy("asset_id").orderBy(F.col("race").desc(), F.col("shared").desc(), F.col("updated_at").desc_nulls_first(), F.col("story_id"))
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= STORIES)

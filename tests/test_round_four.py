@@ -42,3 +42,17 @@ def test_token_pairs_of_copies(spark):
     want = [(a, b, 1.0) for a in range(6) for b in range(a + 1, 6)] + [(a, 9, 0.333333) for a in range(6)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "RepartitionByExpression" in plan(got)
+
+
+@pytest.mark.parametrize("common", [0, 1, 2, 1000])
+def test_pictures_meet_stories_whatever_counts_as_common(spark, monkeypatch, common):
+    monkeypatch.setattr(media, "COMMON", common)
+    table = spark.createDataFrame
+    kinds = table([(1, "race"), (2, "person"), (3, "person"), (4, "team"), (5, None)], "id long, entity_type string")
+    bags = {1: [1, 2], 2: [2, 3], 3: [3, 4, 5], 4: [2], 5: [4, 5]}
+    shown = {1: [1, 2, 3], 2: [2, 3, 4, 5], 3: [3]}
+    rows = lambda d, key: table([(k, e) for k, es in d.items() for e in es + es[:1]], f"{key} long, entity_id long")
+    stories = table([(k, "Quiet", None, 1 if k == 4 else None) for k in bags], "id long, title string, updated_at timestamp, merged_into long")
+    got = media.media_story_scores(table([(k, "portrait") for k in shown], "id long, content_role string"), rows(shown, "asset_id"), rows(bags, "story_id"), stories, kinds)
+    want = {(a, s, len(set(x) & set(y))) for a, x in shown.items() for s, y in bags.items() if s != 4 and (1 in set(x) & set(y) or len(set(x) & set(y)) > 1)}
+    assert {(r.asset_id, r.story_id, r.shared) for r in got.collect()} == want
