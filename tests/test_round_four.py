@@ -56,3 +56,18 @@ def test_pictures_meet_stories_whatever_counts_as_common(spark, monkeypatch, com
     got = media.media_story_scores(table([(k, "portrait") for k in shown], "id long, content_role string"), rows(shown, "asset_id"), rows(bags, "story_id"), stories, kinds)
     want = {(a, s, len(set(x) & set(y))) for a, x in shown.items() for s, y in bags.items() if s != 4 and (1 in set(x) & set(y) or len(set(x) & set(y)) > 1)}
     assert {(r.asset_id, r.story_id, r.shared) for r in got.collect()} == want
+
+
+def test_a_payload_of_standings_is_bounded(spark, monkeypatch):
+    customers = spark.createDataFrame([(k, 1, float(k)) for k in range(1_200)], "c_custkey long, c_nationkey int, c_acctbal double")
+    suppliers = spark.createDataFrame([(7, 1), (5, 1)], "s_suppkey long, s_nationkey int")
+    sizes, before = [], P.driver_standings
+
+    def standings(lists):
+        sizes.extend(r.payload.count("driverId") for r in lists.collect())
+        return before(lists)
+
+    monkeypatch.setattr(P, "driver_standings", standings)
+    got = payloads.payload_standings(customers, suppliers).collect()
+    assert len(got) == 1_200 and {(r.teams, r.pairs) for r in got} == {("t5,t7", 2)}
+    assert sum(sizes) == 1_200 and max(sizes) <= 500
