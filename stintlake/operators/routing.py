@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from stintlake.functions.editorial import is_relevant, reference_ids
 
+from .shared import spread
+
 LETTERS = 3
 
 
@@ -36,7 +38,8 @@ def term_scores(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def route_items(items: DataFrame, rules: DataFrame, terms: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(id, status, story_id, score) of items (id, title, categories) by rules (story_id, min_score), terms (story_id, term, weight
     above 0) and identifiers (story_id, value)."""
-    texts = items.select("id", searchable(F.col("title"), F.col("categories")).alias("text"))
+    # a text makes a row for each of its letters, so those of a small file must not be one task's
+    texts = spread(items.select("id", searchable(F.col("title"), F.col("categories")).alias("text")), "id")
     owned = identifiers.select(F.upper("value").alias("value"), "story_id").join(rules.select("story_id"), "story_id", "left_semi").distinct()
     named = texts.select("id", F.explode(reference_ids(F.col("text"))).alias("value")).join(owned, "value")
     named = named.groupBy("id").agg(F.min("story_id").alias("_own"), (F.min("story_id") != F.max("story_id")).alias("_several"))

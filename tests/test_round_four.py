@@ -71,3 +71,11 @@ def test_a_payload_of_standings_is_bounded(spark, monkeypatch):
     got = payloads.payload_standings(customers, suppliers).collect()
     assert len(got) == 1_200 and {(r.teams, r.pairs) for r in got} == {("t5,t7", 2)}
     assert sum(sizes) == 1_200 and max(sizes) <= 500
+
+
+def test_routed_texts_are_spread(spark):
+    table = spark.createDataFrame
+    items, rules = table([(1, "Formula 1: red", ["x"])], "id long, title string, categories array<string>"), table([("s", 1)], "story_id string, min_score int")
+    got = routing.route_items(items, rules, table([("s", "red", 2)], "story_id string, term string, weight int"), table([], "story_id string, value string"))
+    assert "RepartitionByExpression" in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, "matched", "s", 2)]
