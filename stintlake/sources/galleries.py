@@ -24,10 +24,15 @@ SOURCES = ("data-full-url", "data-src", "data-lazy-src", "src")
 _PIECE = r"(?is)<figure\b.*?</figure\s*>|<img\b[^>]*>"
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _attribute(tag: Column, name: str) -> Column:
     found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    value = F.regexp_replace(F.regexp_replace(found, r"(?is)^[^=]*=\s*", ""), r"""^["']|["']$""", "")
-    return F.when(found != "", T.unescaped(value))
+    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?is)^[^=]*=\s*", ""), r"""^["']|["']$""", "")
+    return _once(found, lambda x: F.when(x != "", T.unescaped(value(x))))
 
 
 def _spaced(html: Column) -> Column:
@@ -40,13 +45,12 @@ def _is_picture(url: Column) -> Column:
 
 def _source(tag: Column) -> Column:
     """The best address of a picture, if that is a picture's."""
-    best = F.coalesce(*[F.nullif(_attribute(tag, name), F.lit("")) for name in SOURCES])
-    return F.when(_is_picture(best), best)
+    best = F.coalesce(*[_once(_attribute(tag, name), lambda x: F.when(x != "", x)) for name in SOURCES])
+    return _once(best, lambda x: F.when(_is_picture(x), x))
 
 
 def _last(values: Column) -> Column:
-    known = F.array_compact(values)
-    return F.when(F.size(known) > 0, F.element_at(known, -1))
+    return F.try_element_at(F.array_compact(values), F.lit(-1))
 
 
 def gallery_pictures(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -57,12 +61,15 @@ def gallery_pictures(pages: DataFrame, id_col: str, url_col: str, html_col: str)
     title = F.get(F.array_compact(F.transform(all_of(html, r"(?is)<h1\b.*?</h1\s*>"), _spaced)), F.lit(0))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("_page"), title.alias("gallery_title"), F.posexplode(all_of(html, _PIECE)).alias("_at", "_piece"))
     figure = F.col("_piece").rlike("(?i)^<figure")
-    pictures = F.filter(all_of(F.col("_piece"), r"(?is)<img\b[^>]*>"), lambda t: _source(t).isNotNull())
-    links = F.transform(all_of(F.col("_piece"), r"(?is)<a\s[^>]*>"), lambda t: F.when(_is_picture(_attribute(t, "href")), _attribute(t, "href")))
-    shown, alt = _last(F.transform(pictures, _source)), _last(F.transform(F.slice(pictures, F.greatest(F.size(pictures), F.lit(1)), F.lit(1)), lambda t: _attribute(t, "alt")))
+    # a row of an inline array is computed once; columns of a projection are copied to where they are used
+    tags = F.transform(all_of(F.col("_piece"), r"(?is)<img\b[^>]*>"), lambda t: F.struct(_source(t).alias("url"), t.alias("tag")))
+    pictures = _once(F.filter(tags, lambda p: p["url"].isNotNull()), lambda ps: F.struct(_last(F.transform(ps, lambda p: p["url"])).alias("shown"), _attribute(F.try_element_at(ps, F.lit(-1))["tag"], "alt").alias("alt")))
+    links = F.transform(all_of(F.col("_piece"), r"(?is)<a\s[^>]*>"), lambda t: _once(_attribute(t, "href"), lambda x: F.when(_is_picture(x), x)))
     caption = _last(F.transform(F.slice(F.reverse(all_of(F.col("_piece"), r"(?is)<figcaption\b.*?</figcaption\s*>")), 1, 1), _spaced))
-    link = F.when(figure, F.coalesce(_last(links), shown)).otherwise(shown)
-    found = rows.select(id_col, "gallery_title", "_at", absolute(F.col("_page"), link).alias("image_url"), F.when(figure, caption).otherwise(alt).alias("_caption"), alt.alias("alt_text"), figure.alias("_figure"))
+    rows = rows.select(id_col, "_page", "gallery_title", "_at", F.inline(F.array(F.struct(figure.alias("_figure"), pictures.alias("_img"), F.when(figure, _last(links)).alias("_link"), F.when(figure, caption).alias("_said")))))
+    shown, alt, figure = F.col("_img.shown"), F.col("_img.alt"), F.col("_figure")
+    link = F.when(figure, F.coalesce("_link", shown)).otherwise(shown)
+    found = rows.where(F.coalesce("_link", shown).isNotNull()).select(id_col, "gallery_title", "_at", absolute(F.col("_page"), link).alias("image_url"), F.when(figure, F.col("_said")).otherwise(alt).alias("_caption"), alt.alias("alt_text"), "_figure")
     found = found.where(F.col("image_url").isNotNull() & (F.col("_figure") | F.col("image_url").contains(UPLOADS)))
     once = found.groupBy(id_col, "image_url").agg(F.min_by(F.struct("_at", "gallery_title", "_caption", "alt_text"), "_at").alias("p")).select(id_col, "image_url", "p.*")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("_at"))

@@ -79,3 +79,10 @@ def test_routed_texts_are_spread(spark):
     got = routing.route_items(items, rules, table([("s", "red", 2)], "story_id string, term string, weight int"), table([], "story_id string, value string"))
     assert "RepartitionByExpression" in plan(got)
     assert [tuple(r) for r in got.collect()] == [(1, "matched", "s", 2)]
+
+
+def test_gallery_attributes_are_read_once_a_picture(spark):
+    pages = spark.createDataFrame([(1, "https://a.b/c", "<figure><img data-full-url='/x.jpg'></figure>")], "id long, url string, html string")
+    got = galleries.gallery_pictures(pages, "id", "url", "html")
+    assert plan(got).count("data-full-url") == 1
+    assert [r.image_url for r in got.collect()] == ["https://a.b/x.jpg"]
