@@ -137,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
     # the rows of one id have no bound, those that reach the driver do
     got = (made.orderBy("k").limit(fit_rows) if many else made).toArrow()
     order = np.argsort(got["k"].to_numpy(), kind="stable")
-    index, value, y = got["i"].to_pylist(), got["v"].to_pylist(), got["y"].to_pylist()
-    rows = [(np.array(index[n]), np.array(value[n]), y[n]) for n in order]
+    index, value, y = got["i"], got["v"], got["y"].to_pylist()
+    # views of the table's numbers: as Python objects they would take several times the driver's memory
+    rows = [(index[int(n)].values.to_numpy(), value[int(n)].values.to_numpy().astype(np.float64), y[n]) for n in order]
     return train(rows, size())
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from stintlake.llm import collocations
+from stintlake.llm import collocations, quality
 from stintlake.llm.common import stored
 
 
@@ -38,3 +38,17 @@ def test_large_rows_stand_in_small_row_groups(spark):
     files = stored(spark.range(0, 10, 1, 1).withColumn("x", F.lit("x")), "rows", 4).inputFiles()
     sizes = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in files]
     assert [m.row_group(k).num_rows for m in sizes for k in range(m.num_row_groups)] == [4, 4, 2]
+
+
+def test_the_quality_sample_stays_numbers_of_the_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} and more", "en", "s") for k in range(20)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    seen, before = [], quality.train
+
+    def train(rows, slots):
+        seen.extend(rows)
+        return before(rows, slots)
+
+    monkeypatch.setattr(quality, "train", train)
+    quality.fit(docs, labels)
+    assert seen and all(index.dtype == np.int32 and not index.flags.owndata and value.dtype == np.float64 for index, value, _ in seen)
