@@ -93,16 +93,23 @@ span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events)
 arriving AS (SELECT e.*, least({_PARTS - 1}, ((epoch_us(ts) - low) * {_PARTS}) // (high - low + 1) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS part FROM events e, span)"""
 
 
-def _part_files(events, columns: list[str]) -> str:
-    """A folder of one file a part, written one after the other; returns its path."""
+def _part_files(events, columns: list[str], files: int = 1) -> str:
+    """A folder of the parts, ``files`` files each, written one after the other; returns its path. The rows of a part are read in all tasks and
+    dealt to its files in turn."""
     spark = events.sparkSession
     folder = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
     rows = _arriving(events)
     for part in range(_PARTS):
-        rows.where(F.col("part") == part).select(*columns).coalesce(1).write.parquet(f"{folder}/part={part}")
+        rows.where(F.col("part") == part).select(*columns).repartition(files).write.parquet(f"{folder}/part={part}")
     return folder
 
 
+def _files_of(events) -> int:
+    """Files a part, of a million rows or more: so that none is left without rows, the smallest part decides."""
+    sizes = _arriving(events).groupBy("part").count().collect()  # one row a part
+    return max(1, min(r["count"] for r in sizes) // 1_000_000) if len(sizes) == _PARTS else 1
+
+
 @query("events", sql=f"""
 WITH {_ARRIVING_SQL},
 rows AS (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS session_id, date_trunc('day', ts) + INTERVAL 1 DAY AS ends_at, ts, value, part FROM arriving),
@@ -113,13 +120,14 @@ SELECT session_id, ends_at, count(*) AS n, round(sum(value), 2) AS total, count(
 FROM released JOIN rows USING (session_id, ends_at) GROUP BY 1, 2""")
 def released_sessions(events):
     """TS01: a user's day is released half an hour after its end in stream time, and corrected once when events of it come with a
-    later part. Events arrive in four files."""
+    later part. Events arrive in four parts, each of them a batch."""
     spark = events.sparkSession
     end = F.date_trunc("day", F.col("ts")) + F.make_dt_interval(days=F.lit(1))
     rows = events.select("event_id", "ts", F.concat_ws("@", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("session_id"), end.cast("timestamp").alias("ends_at"), F.col("ts").cast("timestamp").alias("at"), "value")
     columns = ["session_id", "ends_at", "at", "value"]
-    folder = _part_files(rows, columns)
-    stream = spark.readStream.schema(rows.select(columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    files = _files_of(rows)
+    folder = _part_files(rows, columns, files)
+    stream = spark.readStream.schema(rows.select(columns).schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
     # a part late is at most two parts of the whole time, which all state has to wait for
     lateness = gate.dt.timedelta(days=365)
     versions = gate.run_gate(stream, f"{shared_folder(spark)}/gate-{uuid.uuid4().hex}", gate.HOLD, lateness)

@@ -109,6 +109,20 @@ def test_gate_releases_once_and_corrects_once_over_two_runs(spark, tmp_path):
     assert run() == got
 
 
+def test_gate_runs_no_code_for_single_sessions(spark, tmp_path):
+    rows = [(f"s{k}", at(3600), at(60), None if k else 1.5) for k in range(500)]
+    spark.createDataFrame(rows, "session_id string, ends_at timestamp, at timestamp, value double").write.parquet(f"{tmp_path}/in/a")
+    spark.createDataFrame([("z", at(9000), at(8000), 1.0)], "session_id string, ends_at timestamp, at timestamp, value double").write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema("session_id string, ends_at timestamp, at timestamp, value double").parquet(f"{tmp_path}/in/*")
+    versions = gate.run_gate(stream, f"{tmp_path}/out", dt.timedelta(minutes=30))
+    got = {r.session_id: (r.n, r.total, r.late, r.version) for r in versions.collect()}
+    assert len(got) == 500 and got["s0"] == (1, 1.5, 0, 1) and got["s7"] == (1, None, 0, 1)
+    assert not [f for f in (tmp_path / "out").rglob("*") if f.name == "state"]  # no state store, which calls Python for each session
+    # a batch that comes again is passed over
+    gate._take(spark, f"{tmp_path}/out", spark.createDataFrame(rows, stream.schema), 0, gate.HOLD, gate.LATENESS)
+    assert gate._clock(spark, f"{tmp_path}/out")[0] == 1
+
+
 def test_inbox_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     schema = "k int, v string, n int"
 
