@@ -50,8 +50,10 @@ def picture_role(caption: Column) -> Column:
 
 def classify(title: Column, classes: dict[str, tuple[str, ...]], otherwise: str) -> Column:
     """The first class one of whose phrases the title's normal form contains, also inside words; ``otherwise`` for a null title too."""
-    norm = T.normal(title)
+    return T.bound(T.normal(title), lambda norm: _first_class(norm, classes, otherwise))
 
+
+def _first_class(norm: Column, classes: dict[str, tuple[str, ...]], otherwise: str) -> Column:
     def holds(phrase: str) -> Column:
         return norm.startswith(phrase[1:]) if phrase[0] == "^" else F.contains(norm, F.lit(phrase))
 

@@ -28,7 +28,10 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 def event_fingerprint(title: Column) -> Column:
     """The identity of a few kinds of named events, or null."""
-    v = T.normal(title)
+    return T.bound(T.normal(title), _named_event)
+
+
+def _named_event(v: Column) -> Column:
     season = F.nullif(F.regexp_extract(v, r"\b(20\d{2})\b", 1), F.lit(""))
     team = F.coalesce(*[F.when(F.contains(v, F.lit(t)), F.lit(t.replace(" ", "_"))) for t in TEAMS])
     all_of = F.lit(True)
