@@ -61,12 +61,14 @@ def decision_documents(pages: DataFrame, events: DataFrame, id_col: str = "page_
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("link") & F.col("_event").isNull(), F.struct("n", "text")))), lambda x: x["text"]), " ")
     opened = lambda c: F.max(F.when(F.col("link"), F.col(c))).alias(c)
     blocks = rows.where("event_name is not null").groupBy(id_col, "event_name", "block").agg(opened("href"), opened("text"), texts.alias("tail"))
+    # each step is named before it is used more than once, so that no expression of one is written into the next
     inside, after = (F.nullif(F.regexp_extract(c, PUBLISHED, 0), F.lit("")) for c in ("text", "tail"))
-    name = F.trim(F.regexp_replace("text", rf"(?s){PUBLISHED}.*$", ""))
-    part = lambda k: F.regexp_extract(name, LINK_NAME, k)
-    out = blocks.where(F.col("href").isNotNull() & name.rlike(LINK_NAME)).select(
-        id_col, "event_name", part(2).try_cast("int").alias("document_number"), F.trim(part(3)).alias("title"), document_class(F.trim(part(3))).alias("document_type"),
+    links = blocks.where(F.col("href").isNotNull()).select(id_col, "event_name", "href", F.trim(F.regexp_replace("text", rf"(?s){PUBLISHED}.*$", "")).alias("_name"), inside.alias("_inside"), after.alias("_after"))
+    part = lambda k: F.regexp_extract("_name", LINK_NAME, k)
+    named = links.where(F.col("_name").rlike(LINK_NAME)).select(id_col, "event_name", "href", part(1).alias("_recalled"), part(2).alias("_number"), F.trim(part(3)).alias("title"), F.coalesce("_inside", "_after").alias("published_label"))
+    out = named.select(
+        id_col, "event_name", F.col("_number").try_cast("int").alias("document_number"), "title", document_class(F.col("title")).alias("document_type"),
         F.when(F.col("href").startswith("/"), F.concat(F.lit(base), "href")).otherwise(F.col("href")).alias("document_url"),
-        F.coalesce(inside, after).alias("published_label"), published_at(F.coalesce(inside, after)).alias("published_at"), (part(1) != "").alias("recalled"),
+        "published_label", published_at(F.col("published_label")).alias("published_at"), (F.col("_recalled") != "").alias("recalled"),
     )
     return out.withColumn("external_id", F.sha2(F.concat_ws("|", "event_name", "document_number", "document_url"), 256))

@@ -86,3 +86,20 @@ def test_gallery_attributes_are_read_once_a_picture(spark):
     got = galleries.gallery_pictures(pages, "id", "url", "html")
     assert plan(got).count("data-full-url") == 1
     assert [r.image_url for r in got.collect()] == ["https://a.b/x.jpg"]
+
+
+def test_feeds_and_pages_are_parsed_once(spark):
+    from stintlake.sources.decisions import decision_documents
+    from stintlake.sources.feeds import feed_entries, feed_states
+
+    xml = "<rss><channel><item>\n<title> \u000a A </title><link>l</link><guid> </guid></item><item/></channel><item><title> </title></item></rss>"
+    feeds = spark.createDataFrame([(1, xml), (2, xml[:-3]), (3, " "), (4, None), (5, "<rss><channel><item></item></channel></rss>")], "f int, xml string")
+    assert {r.f: (r.state, r["items"]) for r in feed_states(feeds, "f").collect()} == {1: ("read", 3), 2: ("malformed", 0), 3: ("empty", 0), 4: ("empty", 0), 5: ("read", 1)}
+    entries = feed_entries(feeds, "f")
+    assert [(r.f, r.title, len(r.external_id)) for r in entries.collect()] == [(1, "A", 64)]
+    assert entries._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    page = "<h3>Cup</h3><a href='/x'>Recalled - Doc 3 - Entry List Published on 01.02.24 10:00 CET</a>"
+    docs = decision_documents(spark.createDataFrame([(1, page)], "page_id int, html string"), spark.createDataFrame([("Cup",)], "name string"))
+    one = docs.first()
+    assert (one.document_number, one.title, one.document_type, one.recalled, str(one.published_at)) == (3, "Entry List", "entry_list", True, "2024-02-01 09:00:00")
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 20
