@@ -1,7 +1,7 @@
 """Ordered keyword taxonomies of titles: the first rule that holds names the class.
 
 Rules are data: (order, class, kind of match, phrase). ``classify`` decides one title in an expression; ``classify_by_terms``
-looks phrases of any number of rules up as an equi-join on the title's word sequences."""
+looks phrases of any number of rules up as an equi-join on the title's words."""
 
 from __future__ import annotations
 
@@ -79,18 +79,13 @@ def classify_by_terms(items: DataFrame, rules: DataFrame, text: Column, id_col:
     item's whole words, the one of the smallest place, with its smallest phrase. A rule that excludes strikes its class
     from the items that contain its phrase.
 
-    Phrases meet the items' word sequences by an equi-join, so thousands of rules cost one shuffle and not one
-    expression each; the longest phrase, read from the rules, bounds the sequences that are formed."""
-    longest = rules.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
-
-    def sequences(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-        return F.when(F.size("w") >= n, F.transform(starts, lambda k: F.array_join(F.slice(F.col("w"), k, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    met = items.select(F.col(id_col), F.split(T.normal(text), " ").alias("w"))
-    grams = F.flatten(F.array(*[sequences(n) for n in range(1, longest + 1)])) if longest else F.array().cast("array<string>")
-    met = met.select(id_col, F.explode(F.array_distinct(grams)).alias("phrase")).join(rules, "phrase")
-    struck = met.where("excludes").select(id_col, "class").distinct()
-    left = met.where("not excludes").join(struck, [id_col, "class"], "left_anti")
-    first = left.groupBy(id_col).agg(F.min(F.struct("place", "phrase", "class")).alias("f"))
+    A rule is looked up by the first word of its phrase, as an equi-join with the words of the items, and the words that follow are compared in
+    place: a text is read once, no word sequence is formed that no rule begins, and thousands of rules are one join."""
+    begun = rules.withColumns({"_first": F.substring_index("phrase", " ", 1), "_size": F.size(F.split("phrase", " "))})
+    words = items.select(F.col(id_col), F.split(T.normal(text), " ").alias("_w")).select(id_col, "_w", F.posexplode("_w").alias("_k", "_first"))
+    met = words.join(begun, "_first").where((F.col("_size") == 1) | (F.array_join(F.slice("_w", F.col("_k") + 1, F.col("_size")), " ") == F.col("phrase")))
+    best = F.min(F.when(~F.col("excludes"), F.struct("place", "phrase"))).alias("f")
+    classes = met.groupBy(id_col, "class").agg(best, F.coalesce(F.bool_or("excludes"), F.lit(False)).alias("struck"))
+    left = classes.where("f is not null and not (struck and class is not null)").select(id_col, F.struct("f.place", "f.phrase", "class").alias("f"))
+    first = left.groupBy(id_col).agg(F.min("f").alias("f"))
     return items.select(id_col).join(first, id_col, "left").select(id_col, F.coalesce("f.class", F.lit(otherwise)).alias("class"), F.col("f.phrase").alias("phrase"))
