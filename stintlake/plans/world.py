@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stintlake.operators import drilldown
 from stintlake.operators import tower as towers
 from stintlake.operators.canonical import deep_anchor
+from stintlake.operators.shared import durable
 
 from . import context, facets
 from .registry import query
@@ -67,22 +68,42 @@ WORLD = {
 }
 
 
-def tables_of(*given: DataFrame) -> dict[str, DataFrame]:
+#: tables that others are made of
+_ROOTS = ("held", "lines", "races")
+
+
+def tables_of(*given: DataFrame, kept: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """The tables; of those that the ``kept`` ones are made of, the roots are written once and read back, so that a query of many
+    parts doesn't compute them in each, and knows which of them are small."""
     out = dict(zip(GIVEN, given, strict=True))
     spark = given[0].sparkSession
+    written = _made_of(kept) & set(_ROOTS)
     for name, sql in WORLD.items():
         out[name] = spark.sql(sql, **{t: out[t] for t in set(re.findall(r"\{(\w+)\}", sql))})
+        if name in written:
+            out[name] = durable(out[name])
     return out
 
 
-def with_tables(needed: Iterable[str]) -> str:
-    """The WITH clause that defines the needed tables and what they are made of."""
+def _made_of(needed: Iterable[str]) -> set[str]:
+    """The needed tables and what they are made of."""
     wanted, open_ = set(), list(needed)
     while open_:
         name = open_.pop()
         if name in WORLD and name not in wanted:
             wanted.add(name)
             open_ += re.findall(r"\{(\w+)\}", WORLD[name])
+    return wanted
+
+
+def _read_by(specs: Iterable[facets.Facet]) -> set[str]:
+    """The tables that specifications read."""
+    return {name for spec in specs for name in (spec.table, *(facets.LOOKUPS[hop].table for hop in spec.lookups))}
+
+
+def with_tables(needed: Iterable[str]) -> str:
+    """The WITH clause that defines the needed tables and what they are made of."""
+    wanted = _made_of(needed)
     return "WITH " + ",\n".join(f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', sql)})" for name, sql in WORLD.items() if name in wanted)
 
 
@@ -162,14 +183,15 @@ FIRST = 3
 def _register(target: str) -> None:
     @query(*GIVEN, sql=_facet_sql(target), name=f"facets_of_every_{target}")
     def all_facets(*given):
-        tables = tables_of(*given)
+        tables = tables_of(*given, kept=_read_by(spec for (kind, _), spec in facets.FACETS.items() if kind == target))
         return facets.first_rows(tables, target, FIRST)
 
     all_facets.__doc__ = f"DM29, DM25: size and first rows of every facet of every {target}."
 
     @query(*GIVEN, sql=_timeline_sql(target), name=f"timeline_of_every_{target}")
     def all_timelines(*given):
-        return context.timelines(tables_of(*given), target).withColumn("target", F.col("target").cast("string"))
+        tables = tables_of(*given, kept=_read_by(b.rows for b in context.TIMELINES[target]) | {"races"})
+        return context.timelines(tables, target).withColumn("target", F.col("target").cast("string"))
 
     all_timelines.__doc__ = f"DM27: the newest twelve events of a kind, thirty in all, of every {target} (the limits are the feature)."
 

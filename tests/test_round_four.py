@@ -103,3 +103,24 @@ def test_feeds_and_pages_are_parsed_once(spark):
     one = docs.first()
     assert (one.document_number, one.title, one.document_type, one.recalled, str(one.published_at)) == (3, "Entry List", "entry_list", True, "2024-02-01 09:00:00")
     assert docs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 20
+
+
+def test_facets_of_all_read_their_roots_from_written_tables(spark):
+    from stintlake import plans
+
+    for name in ("facets_of_every_session", "timeline_of_every_race"):
+        files = plans.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not [f for f in files if f.endswith(("lineitem.parquet", "orders.parquet"))]
+
+
+def test_rules_are_looked_up_by_first_words(spark):
+    from pyspark.sql import functions as F
+
+    from stintlake.functions import taxonomy
+
+    rules = spark.createDataFrame([(1, "x", "red car", False), (2, "y", "red", False), (2, "y", "blue", True), (3, "z", "car red car", False), (0, "w", "", False)], "place int, class string, phrase string, excludes boolean")
+    texts = {1: "a red car", 2: "Red blue", 3: "CAR, red; car", 4: "redcar", 5: None, 6: "", 7: "red red red"}
+    out = taxonomy.classify_by_terms(spark.createDataFrame(list(texts.items()), "id int, t string"), rules, F.col("t"), "id", "none")
+    assert {r.id: (r["class"], r.phrase) for r in out.collect()} == {1: ("x", "red car"), 2: ("none", None), 3: ("x", "red car"), 4: ("none", None), 5: ("none", None), 6: ("w", ""), 7: ("y", "red")}
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert taxonomy.classify_by_terms(spark.createDataFrame([(1, "a")], "id int, t string"), rules.limit(0), F.col("t"), "id", "none").first()["class"] == "none"
