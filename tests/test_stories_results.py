@@ -40,3 +40,16 @@ def test_same_story_rules(spark):
     assert got[1, 2] == (100, "exact_title") and got[7, 8] == (96, "event_fingerprint")
     assert got[1, 3] == (97, "multi_entity_title")  # 88 + 4 + 2 + round((3/6 - 0.2) * 10)
     assert got[3, 4][1] == "single_entity_title" and (4, 5) not in got and not any(6 in k or 9 in k for k in got)
+
+
+def test_equal_titles_are_paired_from_titles_alone(spark):
+    from stintlake.operators import stories
+
+    rows = [(k, f"p{k % 2}", "Aston Martin hires technical chief", None, ["e"], ["r"]) for k in range(6)] + [(k, "p0", "Only one provider has this", None, [], []) for k in range(10, 14)]
+    rows += [(20, "p0", "Short", None, ["e"], []), (21, "p1", "Short", None, ["e"], [])]
+    items = spark.createDataFrame(rows, "id int, provider string, title string, published_at timestamp_ntz, strong array<string>, races array<string>")
+    got = {(r.left_id, r.right_id): (r.score, r.method, r.similarity) for r in stories.same_story_pairs(items).collect()}
+    want = {(a, b): (100, "exact_title", 1.0) for a in range(6) for b in range(a + 1, 6) if (a - b) % 2}
+    assert {k: v for k, v in got.items() if k[0] < 10} == want and set(got) - set(want) == {(20, 21)}
+    base = items.selectExpr("id", "provider", "lower(title) as norm", "array('w') as words")
+    assert {(r.left_id, r.right_id) for r in stories._equal_titles(base.where("id < 20")).collect()} == set(want)
