@@ -43,9 +43,13 @@ def _named(df: DataFrame, entities: DataFrame, key: str, prefix: str) -> DataFra
 
 
 def overtake_chart(overtakes: DataFrame, entities: DataFrame, entries: DataFrame) -> DataFrame:
-    car = entries.select("session_id", F.col("driver_number").alias("overtaking_driver_number"), "name_acronym", hex_colour(F.col("team_colour")).alias("color"))
-    rows = _named(_named(overtakes, entities, "overtaking_driver_entity_id", "overtaker"), entities, "overtaken_driver_entity_id", "overtaken")
-    return rows.join(car, ["session_id", "overtaking_driver_number"], "left")
+    """Overtakes with the names of both sides and the car of the one that overtakes. The cars of a session, as many as it has entries, meet
+    its overtakes by the session alone, so rows that lie together by session are not shuffled for them; names come after."""
+    car = F.struct("driver_number", "name_acronym", hex_colour(F.col("team_colour")).alias("color"))
+    cars = entries.groupBy("session_id").agg(F.collect_list(car).alias("_cars"))
+    own = F.filter("_cars", lambda c: c["driver_number"] == F.col("overtaking_driver_number"))
+    rows = overtakes.join(cars, "session_id", "left").select(*overtakes.columns, F.explode_outer(own).alias("_car")).select(*overtakes.columns, "_car.name_acronym", "_car.color")
+    return _named(_named(rows, entities, "overtaken_driver_entity_id", "overtaken"), entities, "overtaking_driver_entity_id", "overtaker")
 
 
 def session_result_chart(results: DataFrame, entries: DataFrame, entities: DataFrame) -> DataFrame:

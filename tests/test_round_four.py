@@ -124,3 +124,15 @@ def test_rules_are_looked_up_by_first_words(spark):
     assert {r.id: (r["class"], r.phrase) for r in out.collect()} == {1: ("x", "red car"), 2: ("none", None), 3: ("x", "red car"), 4: ("none", None), 5: ("none", None), 6: ("w", ""), 7: ("y", "red")}
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert taxonomy.classify_by_terms(spark.createDataFrame([(1, "a")], "id int, t string"), rules.limit(0), F.col("t"), "id", "none").first()["class"] == "none"
+
+
+def test_cars_meet_overtakes_by_session_alone(spark):
+    from stintlake.plans import charts
+
+    passes = spark.createDataFrame([(1, 4, "a", "b"), (1, 5, None, "b"), (2, 4, "a", None), (3, None, "a", "b")], "session_id int, overtaking_driver_number int, overtaking_driver_entity_id string, overtaken_driver_entity_id string")
+    entries = spark.createDataFrame([(1, 4, "AAA", "ff8000"), (1, 4, "AAB", "x"), (1, 6, "CCC", None), (3, None, "NNN", None)], "session_id int, driver_number int, name_acronym string, team_colour string")
+    chart = charts.overtake_chart(passes, spark.createDataFrame([("a", "s-a", "A"), ("b", "s-b", "B")], "id string, slug string, display_name string"), entries)
+    got = {(r.session_id, r.overtaking_driver_number, r.overtaker_label, r.overtaken_label, r.name_acronym, r.color) for r in chart.collect()}
+    assert got == {(1, 4, "A", "B", "AAA", "#FF8000"), (1, 4, "A", "B", "AAB", None), (1, 5, None, "B", None, None), (2, 4, "A", None, None, None), (3, None, "A", "B", None, None)}
+    joins = [x for x in chart._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 3 and not [x for x in joins if "number" in x]
