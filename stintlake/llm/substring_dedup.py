@@ -4,7 +4,7 @@ The index is a folder of immutable runs and of small manifests, so a later job o
 last one stopped. A run is a table bucketed and sorted by fingerprint. Neighbouring windows
 (``WINDOW`` consecutive words) that share their anchor are one entry: fingerprint, digest of all
 their words, place; that is about an eighth of the entries that single windows would take. A new
-batch becomes a run, is merge-joined with the older runs bucket by bucket (no further shuffle)
+batch becomes a run, is put beside the older runs bucket by bucket (no further shuffle, one sort)
 and verified; ``compact`` merges runs into one, which keeps the earliest place of every entry.
 
 A window is removed where its words also start earlier: in a document with a smaller id, or
@@ -33,25 +33,44 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .anchored import anchor_rows, covered, keyed, kind_of, with_places
+from .anchored import Roller, anchor_rows, covered, keyed, kind_of, with_places
 from .common import delete_folder, scratch_root, stored
-from .near_dedup import Words
 
 WINDOW, GRAM, PARTS = 20, 5, 3
 PLACE = ("id", "k", "lo")
-
-
-def _bytes_of(words: list[bytes]) -> tuple[bytes, np.ndarray]:
-    """The words joined by one space, and where each starts (and where one more would)."""
-    return b" ".join(words), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+#: Words are hashed in pieces of at most this many bytes; a longer word is hashed by itself.
+PIECE = 1 << 16
+
+
+def _bytes_of(text: str | None) -> tuple[bytes, np.ndarray]:
+    """The words of the text joined by one space, and where each starts (and where one more would)."""
+    data = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+    if not data:
+        return data, np.zeros(1, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)  # no word holds a space
+    return data, np.concatenate([[0], gaps + 1, [len(data) + 1]])
+
+
+def word_hashes(data: bytes, where: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word, from running sums over all bytes and not word by word. Equal words
+    have equal hashes; they only choose anchors, so the hashes of other words may agree too."""
+    out, at = np.zeros(len(where) - 1, np.uint64), 0
+    while at < len(out):
+        end = max(at + 1, int(np.searchsorted(where, where[at] + PIECE, "right")) - 1)
+        low, high = int(where[at]), int(where[end]) - 1
+        if high - low >= PIECE:
+            out[at] = xxhash.xxh64_intdigest(memoryview(data)[low:high])
+        else:
+            piece = Roller(np.frombuffer(data, np.uint8, high - low, low).astype(np.uint64))
+            out[at:end] = piece.stretch(where[at:end] - low, np.diff(where[at : end + 1]) - 1)
+        at = end
+    return out
 
 
 def word_reader():
-    cache = Words()
-
     def symbols(text: str | None) -> tuple[np.ndarray, bytes, np.ndarray]:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), *_bytes_of(words)
+        data, where = _bytes_of(text)
+        return word_hashes(data, where), data, where
 
     return symbols
 
@@ -111,26 +130,26 @@ class FingerprintIndex:
         run = self._write(anchor_rows(texts, word_reader, self.window, self.gram, self.window, once=True))
         batch = self._table(run)
         last = self._in_order(batch)
+        # all runs lie in the same buckets, so their union needs no shuffle (no column may be added to its parts), and one sort
+        # serves both windows; as batches come in order of id, entries of older runs come first and are known by their id
+        rows = batch.where("copies > 0")
+        for run_ in self.runs:
+            rows = rows.unionByName(self._table(run_).where("copies > 0"))
+        upto = F.lit(False) if self.last is None else F.coalesce(F.col("id") <= F.lit(self.last), F.lit(False))
+        old = (F.col("id").isNull() | upto) if self.runs else F.lit(False)
         by_place = Window.partitionBy("f", "c1", "c2").orderBy(*PLACE)
-        rows = batch.where("copies > 0").withColumns({"_n": F.row_number().over(by_place), "_first": F.first(F.struct(*PLACE)).over(by_place)})
-        # the earliest place met again, in a row that repeats its document, is no repeat
-        rows = rows.where((F.col("_n") == 1) | ~F.struct(*PLACE).eqNullSafe(F.col("_first"))).drop("_first")
-        rows = rows.withColumns({"seen": F.lit(False), "old": F.lit(0)})
-        for old in self.runs:
-            past = self._table(old).where("copies > 0")
-            rows = rows.join(past.select("f", "c1", "c2", F.lit(True).alias("_s")).distinct(), ["f", "c1", "c2"], "left").withColumn("seen", F.col("seen") | F.coalesce("_s", F.lit(False))).drop("_s")
-            rows = rows.join(past.groupBy("f").agg(F.lit(1).alias("_o")), "f", "left").withColumn("old", F.col("old") + F.coalesce("_o", F.lit(0))).drop("_o")
-        # how many contents of the fingerprint are new, and which rows that leaves to look at
-        rows = rows.withColumn("fresh", (F.col("_n") == 1) & ~F.col("seen"))
-        rows = rows.withColumn("_k", F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("f")) + F.col("old"))
-        rows = stored(rows.where(~F.col("fresh") | (F.col("_k") > 1)).select("f", "id", "k", "lo", "hi", "fresh"), "repeats")
-        new = rows.where("fresh").select("f", "id", "k", "lo", "hi", F.lit(True).alias("new"))
-        unsure = new
-        for old in self.runs:
-            past = self._table(old).where("copies > 0").groupBy("f", "c1", "c2").agg(F.min(F.struct("id", "k", "lo", "hi")).alias("p")).select("f", "p.*")
-            unsure = unsure.unionByName(past.join(new.select("f").distinct(), "f", "left_semi").withColumn("new", F.lit(False)))
-        again = rows.where("not fresh").unionByName(batch.where("copies = 0").select("f", "id", "k", "lo", "hi", F.lit(False).alias("fresh")))
-        out = stored(again.select("id", "k", "lo", (F.col("hi") + self.window).alias("end")), "spans"), stored(unsure.drop("f"), "unsure")
+        rows = rows.withColumns({"_n": F.row_number().over(by_place), "_rank": F.rank().over(by_place)}).withColumns({"old": old, "fresh": (F.col("_n") == 1) & ~old})
+        by_anchor = Window.partitionBy("f")
+        rows = rows.withColumns({"_fresh": F.count_if("fresh").over(by_anchor), "_past": F.max("old").over(by_anchor)})
+        # the earliest place met again (of rank 1 too), in a row that repeats its document, is no repeat
+        again = ~F.col("old") & (F.col("_rank") > 1)
+        new = F.col("fresh") & ((F.col("_fresh") > 1) | F.col("_past"))
+        known = F.col("old") & (F.col("_n") == 1) & (F.col("_fresh") > 0)
+        rows = rows.where(again | new | known).select(*PLACE, "hi", again.alias("again"), new.alias("new"))
+        copies = batch.where("copies = 0").select(*PLACE, "hi", F.lit(True).alias("again"), F.lit(False).alias("new"))
+        rows = stored(rows.unionByName(copies), "repeats")
+        spans = rows.where("again").select(*PLACE, (F.col("hi") + self.window).alias("end"))
+        out = spans, rows.where("not again").select(*PLACE, "hi", "new")
         self.last = last
         self._commit([*self.runs, run])
         self.release()
@@ -174,7 +193,7 @@ class FingerprintIndex:
                     owner, digests, starts, news = [], [], [], []
                     for row in range(piece.num_rows):
                         text, lo, hi, new = (piece.column(c)[row].as_py() for c in (2, 3, 4, 5))
-                        data, where = _bytes_of(text.encode("utf-8", "surrogatepass").split())
+                        data, where = _bytes_of(text)
                         view = memoryview(data)
                         at_ = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)])
                         digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(where[at_].tolist(), (where[at_ + window] - 1).tolist(), strict=True)]
@@ -216,15 +235,14 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
                 piece = batch.slice(at, 500)
                 total, removed, texts, digests = [], [], [], []
                 for text, starts, ends in zip(*(piece.column(k) for k in (1, 2, 3)), strict=True):
-                    words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                    gone = 0
-                    if starts.is_valid and words:
-                        mask = covered(len(words), np.array(starts.as_py(), np.int64), np.array(ends.as_py(), np.int64))
+                    kept, where = _bytes_of(text.as_py())
+                    n, gone = len(where) - 1, 0
+                    if starts.is_valid and n:
+                        mask = covered(n, starts.values.to_numpy(), ends.values.to_numpy())
                         gone = int(mask.sum())
-                        kept = b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x])
-                    else:
-                        kept = b" ".join(words)
-                    total.append(len(words)), removed.append(gone), texts.append(kept.decode("utf-8", "surrogatepass")), digests.append(hashlib.sha256(kept).hexdigest())
+                        turns = where[np.flatnonzero(np.diff(mask, prepend=True, append=True))].tolist()
+                        kept = b" ".join([kept[x : y - 1] for x, y in zip(turns[::2], turns[1::2], strict=True)])
+                    total.append(n), removed.append(gone), texts.append(kept), digests.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(digests, pa.string())], names=["id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     return both.mapInArrow(run, f"id {kind_of(docs, id_col)}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string").withColumnRenamed("id", id_col)

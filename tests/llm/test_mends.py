@@ -233,3 +233,44 @@ def test_batches_out_of_order_are_refused(spark):
         again.add(batch(9))
     spans, _ = again.add(batch(11))
     assert spans.select("id", "k", "lo", "end").distinct().count() >= 1 and again.last == 11
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_index_shuffles_a_batch_once(spark):
+    """Older runs lie in buckets of the anchor: a batch meets them there, and neither is shuffled for it."""
+    rng, spark = random.Random(12), spark.newSession()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shared = [f"s{k}" for k in range(40)]
+    text = lambda: " ".join([f"w{rng.randrange(10**6)}" for _ in range(200)] + shared[: rng.randint(0, 40)])
+    batch = lambda low: spark.createDataFrame([(d, d, text()) for d in range(low, low + 200)], "id long, k long, text string")
+    index = substring_dedup.FingerprintIndex(spark)
+    index.add(batch(0))
+    before = shuffled_rows(spark)
+    index.add(batch(1000))
+    entries = spark.read.parquet(f"{index.path}/{index.runs[-1]}").count()
+    moved = sum(n for k, n in shuffled_rows(spark).items() if k not in before)
+    assert entries > 3000
+    assert entries <= moved <= entries + 500, (entries, moved)
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng, most = random.Random(13), substring_dedup.PIECE
+    vocabulary = [b"a", b"b", b"ab", b"ba", b"\0a", "\u00e9t\u00e9".encode(), b"x" * (most - 1), b"x" * most, b"y" * (most + 1), b"z" * (3 * most)] + [b"w%d" % k for k in range(300)]
+    words = [rng.choice(vocabulary[10:]) for _ in range(40_000)]
+    for k, w in enumerate(vocabulary[:10] * 3):
+        words.insert(rng.randrange(len(words)) if k % 3 else 0, w)
+    symbols, data, where = substring_dedup.word_reader()(b" ".join(words).decode())
+    assert data == b" ".join(words) and [data[a : b - 1] for a, b in zip(where.tolist(), where[1:].tolist(), strict=False)] == words
+    by = {}
+    for w, h in zip(words, symbols.tolist(), strict=True):
+        by.setdefault(w, set()).add(h)
+    assert all(len(h) == 1 for h in by.values()) and len({min(h) for h in by.values()}) == len(by)
+    for nothing in (None, "", " \n\t "):
+        assert [len(x) for x in substring_dedup.word_reader()(nothing)] == [0, 0, 1]
