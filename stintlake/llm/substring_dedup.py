@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchored import Roller, anchor_rows, covered, keyed, kind_of, with_places
-from .common import delete_folder, scratch_root, stored
+from .common import delete_folder, scratch_root, shuffles_removed, stored
 
 WINDOW, GRAM, PARTS = 20, 5, 3
 PLACE = ("id", "k", "lo")
@@ -254,12 +254,13 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     index, spans = FingerprintIndex(spark, path, window, gram), None
     batches = batches_by_id(docs, parts, id_col)
-    for n, (batch, so_far) in enumerate(batches):
-        sure, unsure = index.add(keyed(batch, id_col, text_col))
-        more = sure.unionByName(stored(index.verify(unsure, keyed(so_far, id_col, text_col)), "spans"))
-        spans = more if spans is None else spans.unionByName(more)
-        if n + 1 < len(batches):
-            index.compact()
+    with shuffles_removed(spark):
+        for n, (batch, so_far) in enumerate(batches):
+            sure, unsure = index.add(keyed(batch, id_col, text_col))
+            more = sure.unionByName(stored(index.verify(unsure, keyed(so_far, id_col, text_col)), "spans"))
+            spans = more if spans is None else spans.unionByName(more)
+            if n + 1 < len(batches):
+                index.compact()
     if path is None:
         delete_folder(spark, index.path)
     return remove_spans(docs, spans, id_col, text_col)

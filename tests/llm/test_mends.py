@@ -1,6 +1,7 @@
 """Cases that once crashed, lost texts, were quadratic or unbounded, and brute force for the toxicity model and HTML."""
 
 import math
+import os
 import random
 import time
 
@@ -274,3 +275,14 @@ def test_word_hashes_depend_on_the_word_alone():
     assert all(len(h) == 1 for h in by.values()) and len({min(h) for h in by.values()}) == len(by)
     for nothing in (None, "", " \n\t "):
         assert [len(x) for x in substring_dedup.word_reader()(nothing)] == [0, 0, 1]
+
+
+def test_substring_dedup_leaves_no_shuffle_files(spark):
+    sc, key = spark.sparkContext, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: sum(p.endswith(".data") for d in sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(d) for p in names)
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, words) for k in range(6)], "doc_id long, text string")
+    before, was = held(), spark.conf.get(key, None)
+    out = substring_dedup.dedup_windows(docs)
+    assert held() <= before and spark.conf.get(key, None) == was
+    assert sorted(r.n_removed for r in out.collect()) == [0] + [60] * 5
