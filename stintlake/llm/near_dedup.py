@@ -174,7 +174,7 @@ def _family_links(large: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
     those that join two of its components leave it."""
     fewest = least_matches(percent)
     head = large.groupBy("key").agg(F.min("node").alias("head"))
-    roots = stars(large.join(head, "key").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    roots = stars(large.join(head, "key").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
     nodes = large.groupBy("node").agg(F.min("comp").alias("comp")).join(roots.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left")
     nodes = nodes.select("node", "comp", F.coalesce("root", "node").alias("family")).join(reps.select(F.col("digest").alias("node"), "n", "sig"), "node")
     blocks = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
@@ -228,21 +228,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _spread(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """``rows`` of members joined with one row a bucket, (key, size, ...): a bucket has a salt for
-    each ``HOT`` members, so that no task gets more of a large one. The bucket rows are
-    written first: counted in the same stage, they would bind the join to whole keys."""
+    each ``HOT`` members, so that no task gets more of a large one. The bucket rows are stored:
+    counted in the same stage, they would bind the join to whole keys."""
     salts = F.ceil(F.col("size") / HOT).cast("long")
     left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), salts))
-    right = stored(buckets, "buckets").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("size")
+    right = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("size")
     return left.join(right, ["key", "salt"]).drop("salt")
 
 
-def _open_buckets(members: DataFrame, star: DataFrame | None) -> DataFrame:
-    """The members of buckets that hold more than one component, with their components."""
+def _with_components(members: DataFrame, star: DataFrame | None) -> DataFrame:
     if star is None:
         return members.withColumn("comp", F.col("node"))
-    known = members.join(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left").select("key", "size", "node", "degree", F.coalesce("root", "node").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("size").alias("size")).where("x != y").select("key", "size")
-    return _spread(stored(known, "known"), mixed)
+    known = members.join(star.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left")
+    return stored(known.select("key", "size", "node", "degree", F.coalesce("root", "node").alias("comp")), "known")
+
+
+def _open_buckets(known: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The buckets that hold more than one component, (key, size, heads): in the pivot rounds with the pivots of the turn."""
+    order = [F.struct("degree", "node")] if turn == 0 else [F.struct(F.xxhash64("node", F.lit(turn * 8 + k)), "node") for k in range(2 * turn if turn < rounds else 0)]
+    chosen = [F.max(F.struct(o, F.struct(F.col("node").alias("pivot"), F.col("comp").alias("pc")).alias("head"))).alias(f"p{k}") for k, o in enumerate(order)]
+    buckets = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("size").alias("size"), *chosen).where("x != y")
+    heads = [F.array_distinct(F.array(*[F.col(f"p{k}.head") for k in range(len(order))])).alias("heads")] if order else []
+    return stored(buckets.select("key", "size", *heads), "buckets")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
@@ -271,18 +278,16 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     star, edges, tested = None, None, None
     for turn in range(rounds + 1):
-        open_now = stored(_open_buckets(members, star), "open")
-        if open_now.isEmpty():
+        known = _with_components(members, star)
+        buckets = _open_buckets(known, turn, rounds)
+        if buckets.isEmpty():
             break
         links = None
         if turn < rounds:
-            order = [F.struct("degree", "node")] if turn == 0 else [F.struct(F.xxhash64("node", F.lit(turn * 8 + k)), "node") for k in range(2 * turn)]
-            chosen = [F.max(F.struct(o, F.struct(F.col("node").alias("pivot"), F.col("comp").alias("pc")).alias("head"))).alias(f"p{k}") for k, o in enumerate(order)]
-            pivots = open_now.groupBy("key").agg(*chosen, F.first("size").alias("size"))
-            heads = F.array_distinct(F.array(*[F.col(f"p{k}.head") for k in range(len(order))]))
-            pivots = pivots.select("key", "size", F.explode(heads).alias("h")).select("key", "size", "h.pivot", "h.pc")
-            pairs = _spread(open_now, pivots).where("comp != pc").select("node", "pivot")
+            pivots = buckets.select("key", "size", F.explode("heads").alias("h")).select("key", "size", "h.pivot", "h.pc")
+            pairs = _spread(known, pivots).where("comp != pc").select("node", "pivot")
         else:
+            open_now = stored(_spread(known, buckets), "open")
             small = open_now.where(F.col("size") <= SMALL)
             other = small.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pc"))
             pairs = small.join(other, "key").where("comp != pc and node < pivot").select("node", "pivot")

@@ -52,3 +52,17 @@ def test_the_quality_sample_stays_numbers_of_the_table(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", train)
     quality.fit(docs, labels)
     assert seen and all(index.dtype == np.int32 and not index.flags.owndata and value.dtype == np.float64 for index, value, _ in seen)
+
+
+def test_a_pass_of_stars_is_two_shuffles(spark):
+    """Components that are stars already take one pass: an exchange for each star, the write and one look at it."""
+    from stintlake.llm import components
+
+    edges = spark.createDataFrame([(k * 1000 + j, k * 1000) for k in range(20) for j in range(30)] * 2, "a long, b long")
+    spark.sparkContext.setJobGroup("stars", "stars")
+    got = components.stars(edges)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("stars")
+    spark.sparkContext.setJobGroup("after", "after")
+    assert sorted(map(tuple, got.collect())) == [(k * 1000 + j, k * 1000) for k in range(20) for j in range(1, 30)]
+    assert 1 <= len(jobs) <= 6
+    assert components.stars(edges.limit(0)).count() == 0
