@@ -16,8 +16,10 @@ repeat a doc_id are packed as pieces of their own; an empty table gives no piece
 from __future__ import annotations
 
 import os
+import string
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +33,7 @@ from .common import stored
 CAPACITY, END = 4096, 1
 BUCKET_ROWS, FEW_ROWS, LEAST_BUCKETS = 200_000, 500, 64
 CACHED_WORDS, CACHED_FORMS = 600_000, 150_000
+MARKS, AT_ONCE = string.punctuation, 500_000
 
 
 class WordTokens(dict):
@@ -39,7 +42,8 @@ class WordTokens(dict):
     Exact for a vocabulary whose pre-tokenizer never joins across white space and cuts letters
     from other characters: a word that is letters and closing marks is put together from its
     lower-case letters and its marks (a capital sigma aside, whose small form depends on its
-    place); any other unseen word goes to the tokenizer as it is."""
+    place); any other unseen word goes to the tokenizer as it is. Unseen words of letters go to the
+    tokenizer as one text, whose ids are cut behind those that end a word."""
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
         super().__init__()
@@ -47,12 +51,17 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.forms = Tokenizer.from_file(path), limit, 0
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        last = {i: len(x) - len(suffix) for x, i in vocab.items() if x.endswith(suffix)} if suffix else {}
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if sum(n == 1 for n in last.values()) == 256:  # any byte can end a word, so every word of letters has one end
+            self.ends[list(last)] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,!")
+        core = word.rstrip(MARKS)
         low = core.lower()
         if core.isalpha() and low.isalpha() and (len(core) < len(word) or low != word) and "\u03a3" not in core:
             value = self[low] + (self[word[len(core) :]] if len(core) < len(word) else b"")
@@ -65,10 +74,67 @@ class WordTokens(dict):
             self[word] = value
         return value
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are letters alone."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(words):
+            return list(map(self.encode, words))
+        whole = ids.tobytes()
+        return [whole[at:to] for at, to in zip([0, *cuts], cuts, strict=False)]
+
+    def learn(self, words: Iterable[str]) -> list[str]:
+        """Encodes what ``words`` are put together from; returns the entries that are new."""
+        letters, other = set(), set()
+        for word in words:
+            core = word.rstrip(MARKS)
+            if core.isalpha() and (low := core.lower()).isalpha() and "\u03a3" not in core:
+                letters.add(low)
+                if len(core) < len(word):
+                    other.add(word[len(core) :])
+            else:
+                other.add(word)
+        names, rest = [x for x in letters if x not in self], [x for x in other if x not in self]
+        self.update(zip(names, self._letters(names), strict=True))
+        self.update(zip(rest, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return names + rest
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of each text, with the words that were not met before encoded together. Beyond the
+        cache's limit they are forgotten afterwards."""
+        found, fresh, out = [], set(), []
+        for t in texts:
+            words = None if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
+            known = list(map(self.get, words or ()))
+            if None in known:
+                fresh.update(w for w, k in zip(words, known, strict=True) if k is None)
+                found.append((words, known))
+            else:
+                found.append((words, b"".join(known)))
+        added = self.learn(fresh) if fresh else []
+        for t, (words, known) in zip(texts, found, strict=True):
+            if words is None:
+                out.append(self.encode(t))
+            else:
+                out.append(known if isinstance(known, bytes) else b"".join([self[w] if k is None else k for w, k in zip(words, known, strict=True)]))
+        if len(self) - self.forms > self.limit:
+            for name in added:
+                del self[name]
+        return out
+
     def ids(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.ids_of([text])[0]
+
+    def ids_of_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``ids`` of each text (null: empty), about ``AT_ONCE`` characters at a time."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(text.as_py() or "")
+            size += len(waiting[-1])
+            if size >= AT_ONCE:
+                yield from self.ids_of(waiting)
+                waiting, size = [], 0
+        yield from self.ids_of(waiting)
 
 
 @lru_cache(maxsize=2)
@@ -85,8 +151,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         words, last, step = _words(tokenizer_path), np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             owner, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = words.ids(text.as_py() or "") + last
+            for row, ids in enumerate(words.ids_of_all(batch.column(1))):
+                ids += last
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     owner.append(row), piece.append(n), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

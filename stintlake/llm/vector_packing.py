@@ -24,7 +24,6 @@ their own; an empty table gives no pieces; columns other than those named are no
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,30 +73,7 @@ class Piece:
 
 
 def text_ids(words: WordTokens, text: str) -> bytes:
-    """``words.ids`` with the words of a text that were not met before encoded in one call, which takes two thirds of the time
-    of one call each. Beyond the cache's limit they are forgotten after the text."""
-    if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return words.encode(text)
-    parts = text.split()
-    ids = list(map(words.get, parts))
-    if None not in ids:
-        return b"".join(ids)
-    fresh = set()
-    for word in {w for w, known in zip(parts, ids, strict=True) if known is None}:
-        core = word.rstrip(".,!")
-        if core.isalpha() and (low := core.lower()).isalpha() and "\u03a3" not in core:
-            fresh.add(low)
-            if len(core) < len(word):
-                fresh.add(word[len(core) :])
-        else:
-            fresh.add(word)
-    names = [x for x in fresh if x not in words]
-    words.update(zip(names, (array("I", x.ids).tobytes() for x in words.tokenizer.encode_batch_fast(names, add_special_tokens=False)), strict=True))
-    out = b"".join(map(words.__getitem__, parts))
-    if len(words) - words.forms > words.limit:
-        for name in names:
-            del words[name]
-    return out
+    return words.ids(text)
 
 
 class Packer:

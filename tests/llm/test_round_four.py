@@ -66,3 +66,19 @@ def test_a_pass_of_stars_is_two_shuffles(spark):
     assert sorted(map(tuple, got.collect())) == [(k * 1000 + j, k * 1000) for k in range(20) for j in range(1, 30)]
     assert 1 <= len(jobs) <= 6
     assert components.stars(edges.limit(0)).count() == 0
+
+
+def test_unseen_words_of_many_texts_go_to_the_tokenizer_as_one(monkeypatch):
+    from stintlake.llm import packing, queries
+
+    words = packing.WordTokens(queries.tokenizer_path())
+    exact, calls = packing.WordTokens(queries.tokenizer_path()).encode, []
+    texts = [f"{a}{b}x {a.upper()}{b}$$$ É{b}{a}, ǅ{b}! ßΑΣ{a} o'{b}" for a in ("qua", "zel", "日本", "ñi") for b in ("vor", "tük", "à")] + ["", " \t", "a <|endoftext|>b", "x\x1cy don'T", "İa e\u0301b 12.5%"]
+    with monkeypatch.context() as m:
+        m.setattr(words, "encode", lambda text: calls.append(text) or exact(text))
+        assert words.ids_of(texts) == list(map(exact, texts))
+    assert calls == [t for t in texts if "<|" in t or "\x1c" in t]
+    few = packing.WordTokens(queries.tokenizer_path(), limit=5)
+    assert few.ids_of(texts) == list(map(exact, texts)) and len(few) - few.forms <= 5
+    few.ends[:] = False  # a vocabulary that does not mark ends
+    assert few.ids_of(texts) == list(map(exact, texts))
