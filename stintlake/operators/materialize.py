@@ -7,7 +7,7 @@ are computed at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlake.functions import text as T
@@ -32,6 +32,22 @@ def accepted_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("status") == "accepted") | ((F.col("status") == "candidate") & strong)).select("left_id", "right_id")
 
 
+def near_links(rows: DataFrame, by: list[str], key: str, value: str, id_col: str, width: float) -> DataFrame:
+    """Links (left_id, right_id) that join what all pairs of one block (``by``) join whose keys differ and whose values are at
+    most ``width`` apart, at most three a row. What lies between two such rows in order is as near to both, so neighbours are enough:
+    a stretch of near neighbours is linked to its first row. Rows of one key don't pair, so a row beside its own key is also linked to the nearest
+    row of another key on either side. A block is sorted in one task and never gathered; rows without a value or an id pair with nothing."""
+    known = rows.dropna(subset=[*by, key, value, id_col]).select(*by, F.struct(F.col(value).alias("value"), F.col(key).alias("key"), F.col(id_col).alias("id")).alias("me"))
+    up, down = Window.partitionBy(*by).orderBy("me"), Window.partitionBy(*by).orderBy(F.desc("me"))
+    other = lambda x: F.coalesce(F.col(f"{x}.key") != F.col("me.key"), F.lit(False))
+    near = lambda x: F.coalesce(other(x) & (F.abs(F.col("me.value") - F.col(f"{x}.value")) <= width), F.lit(False))
+    carried = lambda rule, x, order: F.last(F.when(rule, F.col(x)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    beside = known.withColumns({"before": F.lag("me").over(up), "after": F.lead("me").over(up)})
+    placed = beside.withColumns({"head": carried(~near("before"), "me", up), "below": carried(other("before"), "before", up), "above": carried(other("after"), "after", down)})
+    ends = F.array(F.col("head.id"), F.when(near("below") & ~other("before"), F.col("below.id")), F.when(near("above") & ~other("after"), F.col("above.id")))
+    return placed.select(F.explode(F.array_compact(ends)).alias("left_id"), F.col("me.id").alias("right_id")).where("left_id <> right_id")
+
+
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", a: str = "left_id", b: str = "right_id") -> DataFrame:
     """(id, root): the smallest id each node reaches. Every pass takes the smallest root among the
     neighbours and then the root's own root, so distances shrink fast; minima are combined

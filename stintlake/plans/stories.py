@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stintlake.operators import canonical, materialize
 
-from .entities import ordered_union_pairs
 from .registry import query
 
 
@@ -15,8 +14,10 @@ WITH RECURSIVE p AS (SELECT a.c_name AS l, b.c_name AS r FROM customer a JOIN cu
 reach AS (SELECT c_name AS id, c_name AS other FROM customer UNION SELECT reach.id, p.r FROM reach JOIN p ON p.l = reach.other)
 SELECT id, min(other) AS story_id FROM reach GROUP BY id""")
 def story_components(customer):
-    """DM39, DM40: customers as items; pairs of one block with near balances are accepted."""
-    pairs = ordered_union_pairs(customer).select(F.col("lo").alias("left_id"), F.col("hi").alias("right_id"), F.lit(95).alias("score"), F.lit("multi_entity_title").alias("method"), F.lit("candidate").alias("status"))
+    """DM39, DM40: customers as items; pairs of one block with near balances are accepted, of which the links are made that join
+    the same customers."""
+    links = materialize.near_links(customer, ["c_nationkey", "c_mktsegment"], "c_custkey", "c_acctbal", "c_name", 100)
+    pairs = links.select("left_id", "right_id", F.lit(95).alias("score"), F.lit("multi_entity_title").alias("method"), F.lit("candidate").alias("status"))
     return materialize.story_groups(customer.select(F.col("c_name").alias("id"), F.lit("").alias("fingerprint")), pairs)
 
 
