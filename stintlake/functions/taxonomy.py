@@ -40,12 +40,14 @@ PICTURE_ROLES = {
     "technical_detail": ("front wing", "rear wing", "floor", "technical detail"), "celebration": ("celebrates", "celebration"), "garage": ("garage", "mechanics"), "driver_action": ("driving", "on track"),
 }
 PICTURE_OTHERWISE = "generic"
+# white space that isn't one blank: what a replacement by a blank would change
+SPACES = r"\s(?:\s+|(?<! ))"
 
 
 def picture_role(caption: Column) -> Column:
     """The first role one of whose phrases the caption contains, case and white space aside."""
-    text = F.lower(F.trim(F.regexp_replace(F.coalesce(caption, F.lit("")), r"\s+", " ")))
-    return T.cascade([(text.rlike("|".join(phrases)), role) for role, phrases in PICTURE_ROLES.items()], PICTURE_OTHERWISE)
+    text = F.lower(F.trim(F.regexp_replace(F.coalesce(caption, F.lit("")), SPACES, " ")))
+    return T.bound(text, lambda known: _first_class(known, PICTURE_ROLES, PICTURE_OTHERWISE))
 
 
 def classify(title: Column, classes: dict[str, tuple[str, ...]], otherwise: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlake.functions import text as T
-from stintlake.functions.taxonomy import picture_role
+from stintlake.functions.taxonomy import SPACES, picture_role
 
 from .feeds import PICTURES, absolute
 
@@ -21,7 +21,9 @@ ASSET_ID, RIGHTS = r"\b(SI[0-9]{9,}|[0-9]{10})\b", "editorial use only"
 UPLOADS = "wp-content/uploads"
 SOURCES = ("data-full-url", "data-src", "data-lazy-src", "src")
 
-_PIECE = r"(?is)<figure\b.*?</figure\s*>|<img\b[^>]*>"
+_PIECE = r"(?is)<(?:figure\b.*?</figure\s*>|img\b[^>]*>)"
+_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
+_IMAGE = r"(?is)<img\b[^>]*>"
 
 
 def _once(value: Column, f) -> Column:
@@ -29,14 +31,34 @@ def _once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _with(rows: DataFrame, **values: Column) -> DataFrame:
+    """Columns that are computed once a row: those of an inline array are, while columns of a projection are copied to where they
+    are used, and beside a generator they are computed for each row it makes."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))
+
+
+def _named(name: str) -> str:
+    """The pattern of an attribute: its value, in quotes or bare, is the group."""
+    return rf"""(?is)\s{name}\s*=\s*(?:"|'|)((?<=")[^"]*(?=")|(?<=')[^']*(?=')|(?<!["'])[^\s"'>]+)"""
+
+
+def _decoded(text: Column) -> Column:
+    """Character references decoded, where there may be any."""
+    return _once(text, lambda x: F.when(F.contains(x, F.lit("&")), T.unescaped(x)).otherwise(x))
+
+
+def _filled(tag: Column, name: str) -> Column:
+    """An attribute's value; empty where there is none."""
+    return _decoded(F.regexp_extract(tag, _named(name), 1))
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?is)^[^=]*=\s*", ""), r"""^["']|["']$""", "")
-    return _once(found, lambda x: F.when(x != "", T.unescaped(value(x))))
+    """An attribute's value, which may be empty; null where there is none."""
+    return _decoded(F.get(F.regexp_extract_all(tag, F.lit(_named(name)), F.lit(1)), F.lit(0)))
 
 
 def _spaced(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(T.unescaped(F.regexp_replace(html, "<[^>]*>", "")), r"\s+", " ")), F.lit(""))
+    return _once(F.trim(F.regexp_replace(_decoded(F.regexp_replace(html, "<[^>]*>", "")), SPACES, " ")), lambda x: F.when(x != "", x))
 
 
 def _is_picture(url: Column) -> Column:
@@ -45,7 +67,10 @@ def _is_picture(url: Column) -> Column:
 
 def _source(tag: Column) -> Column:
     """The best address of a picture, if that is a picture's."""
-    best = F.coalesce(*[_once(_attribute(tag, name), lambda x: F.when(x != "", x)) for name in SOURCES])
+    given = {name: _once(_filled(tag, name), lambda x: F.when(x != "", x)) for name in SOURCES}
+    # most pictures have no attribute of the lazy kinds
+    lazy = F.coalesce(*[x for name, x in given.items() if name.startswith("data-")])
+    best = F.coalesce(F.when(F.contains(F.lower(tag), F.lit("data-")), lazy), given["src"])
     return _once(best, lambda x: F.when(_is_picture(x), x))
 
 
@@ -56,21 +81,20 @@ def _last(values: Column) -> Column:
 def gallery_pictures(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(id, n, image_url, gallery_title, caption, alt_text, photographer, agency, origin_provider, origin_asset_id, content_role, rights_note); ``n`` counts a page's pictures
     from 1 in order."""
-    html = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
     all_of = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    title = F.get(F.array_compact(F.transform(all_of(html, r"(?is)<h1\b.*?</h1\s*>"), _spaced)), F.lit(0))
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("_page"), title.alias("gallery_title"), F.posexplode(all_of(html, _PIECE)).alias("_at", "_piece"))
-    figure = F.col("_piece").rlike("(?i)^<figure")
-    # a row of an inline array is computed once; columns of a projection are copied to where they are used
-    tags = F.transform(all_of(F.col("_piece"), r"(?is)<img\b[^>]*>"), lambda t: F.struct(_source(t).alias("url"), t.alias("tag")))
+    rows = _with(pages.select(F.col(id_col), F.col(url_col).alias("_page"), F.col(html_col).alias("_given")), _html=F.regexp_replace("_given", _HIDDEN, " "))
+    title = F.get(F.array_compact(F.transform(all_of(F.col("_html"), r"(?is)<h1\b.*?</h1\s*>"), _spaced)), F.lit(0))
+    rows = _with(rows, gallery_title=title, _pieces=all_of(F.col("_html"), _PIECE)).select(id_col, "_page", "gallery_title", F.posexplode("_pieces").alias("_at", "_piece"))
+    figure = F.substring("_piece", 2, 1).isin("f", "F")
+    tags = F.transform(F.when(figure, all_of(F.col("_piece"), _IMAGE)).otherwise(F.array("_piece")), lambda t: F.struct(_source(t).alias("url"), t.alias("tag")))
     pictures = _once(F.filter(tags, lambda p: p["url"].isNotNull()), lambda ps: F.struct(_last(F.transform(ps, lambda p: p["url"])).alias("shown"), _attribute(F.try_element_at(ps, F.lit(-1))["tag"], "alt").alias("alt")))
-    links = F.transform(all_of(F.col("_piece"), r"(?is)<a\s[^>]*>"), lambda t: _once(_attribute(t, "href"), lambda x: F.when(_is_picture(x), x)))
-    caption = _last(F.transform(F.slice(F.reverse(all_of(F.col("_piece"), r"(?is)<figcaption\b.*?</figcaption\s*>")), 1, 1), _spaced))
-    rows = rows.select(id_col, "_page", "gallery_title", "_at", F.inline(F.array(F.struct(figure.alias("_figure"), pictures.alias("_img"), F.when(figure, _last(links)).alias("_link"), F.when(figure, caption).alias("_said")))))
-    shown, alt, figure = F.col("_img.shown"), F.col("_img.alt"), F.col("_figure")
-    link = F.when(figure, F.coalesce("_link", shown)).otherwise(shown)
-    found = rows.where(F.coalesce("_link", shown).isNotNull()).select(id_col, "gallery_title", "_at", absolute(F.col("_page"), link).alias("image_url"), F.when(figure, F.col("_said")).otherwise(alt).alias("_caption"), alt.alias("alt_text"), "_figure")
+    links = F.transform(all_of(F.col("_piece"), r"(?is)<a\s[^>]*>"), lambda t: _once(_filled(t, "href"), lambda x: F.when(_is_picture(x), x)))
+    said = _spaced(F.try_element_at(all_of(F.col("_piece"), r"(?is)<figcaption\b.*?</figcaption\s*>"), F.lit(-1)))
+    rows = _with(rows, _figure=figure, _img=pictures, _link=F.when(figure, _last(links)), _said=F.when(figure, said)).drop("_piece")
+    link, alt = F.coalesce("_link", "_img.shown"), F.col("_img.alt")
+    found = _with(rows.where(link.isNotNull()), image_url=absolute(F.col("_page"), link))
     found = found.where(F.col("image_url").isNotNull() & (F.col("_figure") | F.col("image_url").contains(UPLOADS)))
+    found = found.select(id_col, "gallery_title", "_at", "image_url", F.when(F.col("_figure"), F.col("_said")).otherwise(alt).alias("_caption"), alt.alias("alt_text"))
     once = found.groupBy(id_col, "image_url").agg(F.min_by(F.struct("_at", "gallery_title", "_caption", "alt_text"), "_at").alias("p")).select(id_col, "image_url", "p.*")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("_at"))
     caption = F.coalesce(F.nullif("_caption", F.lit("")), "alt_text")
